@@ -1,0 +1,21 @@
+"""Late and repeated rows as a stream: each micro-batch is merged into the stored table by key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from barloom.operators.windows import latest_per_key
+from barloom.sources.tables import merge
+
+
+def upsert_stream(rows: DataFrame, path: str, keys: Sequence[str], partition: str, checkpoint: str, stamp: str = "ingested_at") -> StreamingQuery:
+    """Merges whatever is there and stops; a batch that is repeated after a failure merges to the same table."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        merge(batch.sparkSession, latest_per_key(batch, keys, [F.desc(stamp)]), path, keys, partition)
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
