@@ -151,50 +151,56 @@ def plan_blocks(n: int, similarity: float, recall: float = 0.95) -> tuple[int, i
 
     A bit differs with probability acos(c)/pi, where c = 2s/(1+s) is the cosine of two equal-sized sets. Blocks are as
     wide as log2 n, so that unlike fingerprints rarely meet and candidates grow in proportion to n; there are as many
-    as the recall at that similarity asks for.
+    as the recall at that similarity asks for. The allowed distance lies 1.3 deviations over the expected one, so that
+    nine in ten pairs of just that similarity stay within it.
     """
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = min(32, max(12, math.ceil(math.log2(max(2, n)))))
     probes = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width))
     n_words = math.ceil(probes / (64 // width))
-    return n_words, width, round(64 * n_words * differs)
+    bits = 64 * n_words
+    return n_words, width, round(bits * differs + 1.3 * math.sqrt(bits * differs * (1 - differs)))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.95, hot: int = 24) -> DataFrame:
     """(id, component_id) where documents of about that Jaccard similarity of k-word shingles are linked.
 
     Fingerprints are wide (plan_blocks), and pairs that share a block are verified by the Hamming distance that the
-    similarity corresponds to. Blocks of up to `hot` nodes are paired. In a larger one each node is compared with the
+    similarity corresponds to, first in one other word, where nearly all chance meetings end, and then in all. Blocks of up to `hot` nodes are paired. In a larger one each node is compared with the
     block's least node, and those that aren't close to it meet again under all pairs of blocks, where the same holds.
     """
     n = docs.count()
     n_words, width, most = plan_blocks(n, similarity, recall)
+    differs = most / (64 * n_words)
+    word_most = round(64 * differs + 4.5 * math.sqrt(64 * differs * (1 - differs)))  # of one word; a close pair has more once in some 100,000 times
     fps = checkpoint(fingerprints(docs, doc_id, text, k, n_words).select(F.col(doc_id).alias("id"), "fp", F.xxhash64("fp").alias("node")))
     nodes = checkpoint(fps.groupBy("node").agg(F.min("id").alias("least_id"), F.first("fp").alias("fp")))
     per = 64 // width
     cut = lambda p: F.shiftrightunsigned(F.col("fp")[p // per], (p % per) * width).bitwiseAND(F.lit((1 << width) - 1))
-    values = F.array(*map(cut, range(n_words * per)))
-    first = nodes.select("node", F.posexplode(values).alias("p", "v")).select("node", F.col("p").cast("long").alias("p"), F.col("v").alias("key"))
+    # a block's number and value in one key, and another word of the fingerprint, on which candidates are tried before they are looked up
+    blocks = F.array(*(F.struct(cut(p).bitwiseOR(F.lit(p << 32)).alias("key"), F.col("fp")[(p // per + 1) % n_words].alias("word")) for p in range(n_words * per)))
 
     def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        by = Window.partitionBy("p", "key")
-        sized = keyed.withColumns({"n": F.count("*").over(by), "least": F.min("node").over(by)}).where("n > 1")
-        cold = sized.where(F.col("n") <= hot).select("p", "key", F.col("node").alias("a"))
-        pairs = cold.join(cold.withColumnRenamed("a", "b"), ["p", "key"]).where("a < b").select("a", "b")
-        crowd = sized.where(F.col("n") > hot)
-        return pairs, crowd.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), "p", "key")
+        """(pairs of the small blocks, star of the large ones: a, b, key, whether the words are near)."""
+        by = Window.partitionBy("key")
+        near = F.bit_count(F.col("word").bitwiseXOR(F.col("other"))) <= word_most
+        sized = keyed.withColumns({"n": F.count("*").over(by), "least": F.min(F.struct("node", "word")).over(by)}).where("n > 1")
+        cold = sized.where(F.col("n") <= hot).select("key", F.col("node").alias("a"), "word")
+        pairs = cold.join(cold.select("key", F.col("a").alias("b"), F.col("word").alias("other")), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
+        crowd = sized.where(F.col("n") > hot).select("key", F.col("least.node").alias("a"), F.col("least.word").alias("other"), F.col("node").alias("b"), "word")
+        return pairs, crowd.where("a <> b").select("a", "b", "key", near.alias("near"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
         return pairs.distinct().join(left, "a").join(right, "b").where(distance(F.col("fa"), F.col("fb")) <= most).select("a", "b")
 
-    pairs, star = candidates(first)
+    pairs, star = candidates(nodes.select("node", F.inline(blocks)))
     star = checkpoint(star)
-    edges = checkpoint(verified(pairs.union(star.select("a", "b"))))
-    apart = star.join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "p", "key")
-    again = apart.join(nodes.select("node", "fp"), "node").select("node", "p", "key", F.posexplode(values).alias("q", "v")).where("q <> p")
-    pairs, star = candidates(again.select("node", F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("p"), F.xxhash64(F.when(F.col("p") < F.col("q"), F.struct("key", "v")).otherwise(F.struct(F.col("v").alias("key"), F.col("key").alias("v")))).alias("key")).distinct())
-    linked = connected_components(edges.union(verified(pairs.union(star.select("a", "b")))))
+    edges = checkpoint(verified(pairs.union(star.where("near").select("a", "b"))))
+    apart = star.join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "key")
+    again = apart.join(nodes.select("node", "fp"), "node").select("node", "key", F.inline(blocks).alias("other_key", "word")).where("key <> other_key")
+    pairs, star = candidates(again.groupBy("node", F.xxhash64(F.least("key", "other_key"), F.greatest("key", "other_key")).alias("key")).agg(F.min("word").alias("word")))
+    linked = connected_components(edges.union(verified(pairs.union(star.where("near").select("a", "b")))))
     named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.withColumn("component_id", F.min("least_id").over(Window.partitionBy("component"))).select("node", "component_id")
     return fps.join(least, "node").select(F.col("id").alias(doc_id), "component_id")
