@@ -64,7 +64,11 @@ def classifier(dictionaries: dict[str, bytes], level: int = 3, chunk: int = 4096
         sizes = sorted((sum(len(f(p)) for p in pieces), name) for name, f in coders)
         if len(sizes) == 1:
             return sizes[0][1], 1.0
-        return sizes[0][1], min(1.0, max(0.0, 1 - sizes[0][0] / sizes[1][0]))
+        if sizes[0][0] < sizes[1][0]:
+            return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        # a few words may compress alike everywhere; then the dictionary that holds most of them decides, narrowly
+        tied = sorted((-sum(b" %b " % w in dictionaries[name] for w in raw.split()), name) for size, name in sizes if size == sizes[0][0])
+        return tied[0][1], REJECT_BELOW * (tied[0][0] < tied[1][0])
 
     return of
 
@@ -73,7 +77,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc
     """(id, kept columns, lang_pred, score): one row for each input row.
 
     A NULL text, one without a letter, or any text when nothing was learned gets `und` and score 0. A tie goes to the
-    language first in code order with score 0. The score is the share of bytes saved against the runner-up, 0 to 1.
+    language whose dictionary holds most of the words, with the least score that is accepted, or else to the first in
+    code order with score 0. The score is the share of bytes saved against the runner-up, 0 to 1.
     The dictionaries hold at most languages x rows x characters of the training bounds, so they travel with the task.
     """
     cast = dict(dictionaries)

@@ -162,11 +162,12 @@ def plan_blocks(n: int, similarity: float, recall: float = 0.95) -> tuple[int, i
     return n_words, width, round(bits * differs + 1.3 * math.sqrt(bits * differs * (1 - differs)))
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.95, hot: int = 24) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.95, hot: int = 6) -> DataFrame:
     """(id, component_id) where documents of about that Jaccard similarity of k-word shingles are linked.
 
     Fingerprints are wide (plan_blocks), and pairs that share a block are verified by the Hamming distance that the
-    similarity corresponds to, first in one other word, where nearly all chance meetings end, and then in all. Blocks of up to `hot` nodes are paired. In a larger one each node is compared with the
+    similarity corresponds to, first in one other word, where nearly all chance meetings end, and then in all. A block is
+    expected to hold one node or less; those of up to `hot` nodes are paired. A larger one is a group of copies: there each node is compared with the
     block's least node, and those that aren't close to it meet again under all pairs of blocks, where the same holds.
     """
     n = docs.count()
@@ -202,5 +203,5 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs, star = candidates(again.groupBy("node", F.xxhash64(F.least("key", "other_key"), F.greatest("key", "other_key")).alias("key")).agg(F.min("word").alias("word")))
     linked = connected_components(edges.union(verified(pairs.union(star.where("near").select("a", "b")))))
     named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
-    least = named.withColumn("component_id", F.min("least_id").over(Window.partitionBy("component"))).select("node", "component_id")
-    return fps.join(least, "node").select(F.col("id").alias(doc_id), "component_id")
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return fps.join(named.join(least, "component").select("node", "component_id"), "node").select(F.col("id").alias(doc_id), "component_id")
