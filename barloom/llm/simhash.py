@@ -182,14 +182,21 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     blocks = F.array(*(F.struct(cut(p).bitwiseOR(F.lit(p << 32)).alias("key"), F.col("fp")[(p // per + 1) % n_words].alias("word")) for p in range(n_words * per)))
 
     def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs of the small blocks, star of the large ones: a, b, key, whether the words are near)."""
+        """(links of the small blocks, star of the large ones: a, b, key, whether the words are near).
+
+        In a small block each node is linked to the nodes before it whose words are near, except those that are near
+        one still earlier of these: they are connected through it. So copies give a link a node, not one a pair.
+        """
         by = Window.partitionBy("key")
-        near = F.bit_count(F.col("word").bitwiseXOR(F.col("other"))) <= word_most
-        sized = keyed.withColumns({"n": F.count("*").over(by), "least": F.min(F.struct("node", "word")).over(by)}).where("n > 1")
-        cold = sized.where(F.col("n") <= hot).select("key", F.col("node").alias("a"), "word")
-        pairs = cold.join(cold.select("key", F.col("a").alias("b"), F.col("word").alias("other")), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
-        crowd = sized.where(F.col("n") > hot).select("key", F.col("least.node").alias("a"), F.col("least.word").alias("other"), F.col("node").alias("b"), "word")
-        return pairs, crowd.where("a <> b").select("a", "b", "key", near.alias("near"))
+        near = lambda x, y: F.bit_count(x["word"].bitwiseXOR(y["word"])) <= word_most
+        own = F.struct("node", "word")
+        sized = keyed.withColumns({"n": F.count("*").over(by), "least": F.min(own).over(by)}).where("n > 1")
+        small = sized.where(F.col("n") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all"))
+        before = F.transform("all", lambda c, i: F.struct(c["node"].alias("b"), F.filter(F.slice("all", F.lit(1), i), lambda x: near(x, c)).alias("s")))
+        first = F.transform(F.filter(before, lambda c: F.size(c["s"]) > 0), lambda c: F.struct(c["b"], F.filter(c["s"], lambda x: ~F.exists(c["s"], lambda y: (y["node"] < x["node"]) & near(y, x))).alias("s")))
+        links = small.select(F.inline(F.flatten(F.transform(first, lambda c: F.transform(c["s"], lambda x: F.struct(x["node"].alias("a"), c["b"].alias("b")))))))
+        crowd = sized.where((F.col("n") > hot) & (F.col("least.node") != F.col("node")))
+        return links, crowd.select(F.col("least.node").alias("a"), F.col("node").alias("b"), "key", (F.bit_count(F.col("least.word").bitwiseXOR(F.col("word"))) <= word_most).alias("near"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
