@@ -26,7 +26,7 @@ def daily_features(signals: DataFrame) -> DataFrame:
 
 
 def dense(features: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """A row for each key and each day between the first and last date, 0 where there was none: the key's own sequence, no product."""
+    """A row for each key and each day between the first and last date of all, 0 where there was none."""
     span = features.agg(F.min("date").alias("_a_"), F.max("date").alias("_z_"))
     grid = features.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*keys, F.explode(F.sequence("_a_", "_z_")).alias("date"))  # one row: two dates
     return grid.join(features, [*keys, "date"], "left").fillna(0, list(columns))

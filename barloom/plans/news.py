@@ -63,3 +63,50 @@ def _(s, d):
 @query("DQ10_accepted_values", "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'de') OR lang IS NULL")
 def _(s, d):
     return cleaning.not_accepted(adapters.read(s, d, "documents").select("doc_id", "lang"), "lang", ["en", "de"])
+
+
+@query("TXT2_canonical_url", """WITH b AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), s AS (SELECT page_id, regexp_extract(u, '^[^?]*') AS base,
+  list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid)(=|$)')) AS kept FROM b)
+SELECT page_id, lower(regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*')) || regexp_replace(base, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM s""")
+def _(s, d):
+    return adapters.read(s, d, "pages").select("page_id", tx.canonical_url(F.col("url")).alias("url"))
+
+
+@query("TXT5_article_text", "SELECT doc_id AS article_id, sha256(trim(CASE WHEN contains(lower(coalesce(text, '')), lower(coalesce(source, ''))) THEN coalesce(text, '') ELSE coalesce(source, '') || ' ' || coalesce(text, '') END, ' ')) AS text_hash FROM documents")
+def _(s, d):
+    return adapters.articles(s, d).select("article_id", F.sha2(tx.article_text(F.col("source_id"), F.col("clean_text")), 256).alias("text_hash"))
+
+
+@query("VEC2_cosine_similarity", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2),
+t AS (SELECT label, list(x ORDER BY i) AS topic FROM m GROUP BY 1) SELECT vec_id AS article_id, round(list_cosine_similarity(v, topic), 6) + 0.0 AS similarity FROM e JOIN t USING (label)""")
+def _(s, d):
+    return adapters.vectors(s, d).join(adapters.topic_vectors(s, d), "label").select("article_id", tx.cosine(F.col("embedding"), F.col("topic")).alias("similarity"))
+
+
+@query("JN11_dense_grid", ART + """, f AS (SELECT source_id, published AS date, count(*) AS articles FROM art GROUP BY 1, 2), k AS (SELECT DISTINCT source_id FROM f), r AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM f), g AS (SELECT * FROM k CROSS JOIN r)
+SELECT source_id, date, coalesce(articles, 0)::BIGINT AS articles FROM g LEFT JOIN f USING (source_id, date)""")
+def _(s, d):
+    counted = adapters.articles(s, d).groupBy("source_id", F.col("published").alias("date")).agg(F.count("*").alias("articles"))
+    return news.dense(counted, ["source_id"], ["articles"]).select("source_id", "date", F.col("articles").cast("long").alias("articles"))
+
+
+@query("JN12_pending_articles", "SELECT DISTINCT doc_id AS article_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL AND label = 1)")
+def _(s, d):
+    done = adapters.vectors(s, d).where("label = 1").select("article_id")
+    return adapters.articles(s, d).select("article_id").join(done, "article_id", "left_anti").distinct()
+
+
+@query("AGG22_quantities", "SELECT count(DISTINCT source)::BIGINT AS feeds, count(DISTINCT lang)::BIGINT AS languages, count(*)::BIGINT AS articles FROM documents")
+def _(s, d):
+    return adapters.articles(s, d).agg(F.count_distinct("source_id").alias("feeds"), F.count_distinct("language").alias("languages"), F.count("*").alias("articles"))
+
+
+@query("SET4_melt", "SELECT o_orderkey, part, round(value, 6) + 0.0 AS value FROM (SELECT o_orderkey, unnest(['total', 'share']) AS part, unnest([o_totalprice::DOUBLE, o_totalprice / 1000.0]) AS value FROM orders)")
+def _(s, d):
+    wide = adapters.read(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("total"), (F.col("o_totalprice") / 1000).alias("share"))
+    return wide.unpivot("o_orderkey", ["total", "share"], "part", "value")
+
+
+@query("DQ8_not_null", "SELECT doc_id, lang FROM documents WHERE lang IS NULL")
+def _(s, d):
+    return cleaning.nulls(adapters.read(s, d, "documents").select("doc_id", "lang"), "lang")
