@@ -110,3 +110,17 @@ def _(s, d):
 @query("DQ8_not_null", "SELECT doc_id, lang FROM documents WHERE lang IS NULL")
 def _(s, d):
     return cleaning.nulls(adapters.read(s, d, "documents").select("doc_id", "lang"), "lang")
+
+
+@query("JN13_restrict_to_dates", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity = 50)")
+def _(s, d):
+    shipped = adapters.read(s, d, "lineitem").where("l_quantity = 50").select(F.to_date("l_shipdate").alias("date"))
+    return adapters.read(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).join(shipped, "date", "left_semi").distinct()
+
+
+@query("JN20_null_safe_upsert", """WITH s AS (SELECT source, lang, max(n_chars)::BIGINT AS longest FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2), t AS (SELECT source, lang, max(n_chars)::BIGINT AS longest FROM documents GROUP BY 1, 2)
+SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source IS NOT DISTINCT FROM t.source AND s.lang IS NOT DISTINCT FROM t.lang)""")
+def _(s, d):
+    longest = lambda df: df.groupBy("source", "lang").agg(F.max("n_chars").cast("long").alias("longest"))
+    docs = adapters.read(s, d, "documents")
+    return cleaning.upsert(longest(docs), longest(docs.where("doc_id % 2 = 0")), ["source", "lang"])
