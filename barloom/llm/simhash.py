@@ -199,8 +199,12 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return links, crowd.select(F.col("least.node").alias("a"), F.col("node").alias("b"), "key", (F.bit_count(F.col("least.word").bitwiseXOR(F.col("word"))) <= word_most).alias("near"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-        return pairs.distinct().join(left, "a").join(right, "b").where(distance(F.col("fa"), F.col("fb")) <= most).select("a", "b")
+        """The pairs within the allowed distance. A node meets a few others in each of its blocks, so its list is short
+        and its own fingerprint is looked up once, not once a pair; the distance is part of the second join."""
+        own = pairs.groupBy("b").agg(F.collect_set("a").alias("all")).join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+        other = nodes.select("node", F.col("fp").alias("fa"))
+        close = (F.col("a") == F.col("node")) & (distance(F.col("fa"), F.col("fb")) <= most)
+        return own.select("b", "fb", F.explode("all").alias("a")).join(other, close).select("a", "b")
 
     pairs, star = candidates(nodes.select("node", F.inline(blocks)))
     star = checkpoint(star)
