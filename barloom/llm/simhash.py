@@ -168,7 +168,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Fingerprints are wide (plan_blocks), and pairs that share a block are verified by the Hamming distance that the
     similarity corresponds to, first in one other word, where nearly all chance meetings end, and then in all. A block is
     expected to hold one node or less; those of up to `hot` nodes are paired. A larger one is a group of copies: there each node is compared with the
-    block's least node, and those that aren't close to it meet again under all pairs of blocks, where the same holds.
+    block's least node, and those that aren't close to it meet again under all pairs of blocks, where the same holds; there
+    nodes that the links found so far connect already are not compared.
     """
     n = docs.count()
     n_words, width, most = plan_blocks(n, similarity, recall)
@@ -181,22 +182,25 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # a block's number and value in one key, and another word of the fingerprint, on which candidates are tried before they are looked up
     blocks = F.array(*(F.struct(cut(p).bitwiseOR(F.lit(p << 32)).alias("key"), F.col("fp")[(p // per + 1) % n_words].alias("word")) for p in range(n_words * per)))
 
-    def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def candidates(keyed: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
         """(links of the small blocks, star of the large ones: a, b, key, whether the words are near).
 
         In a small block each node is linked to the nodes before it whose words are near, except those that are near
         one still earlier of these: they are connected through it. So copies give a link a node, not one a pair.
+        Nodes of the same group, if that column is named, need no link.
         """
         by = Window.partitionBy("key")
         near = lambda x, y: F.bit_count(x["word"].bitwiseXOR(y["word"])) <= word_most
-        own = F.struct("node", "word")
+        own = F.struct("node", "word", *group)
+        apart = lambda x, y: F.lit(True) if not group else x[group[0]] != y[group[0]]
         sized = keyed.withColumns({"n": F.count("*").over(by), "least": F.min(own).over(by)}).where("n > 1")
         small = sized.where(F.col("n") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all"))
-        before = F.transform("all", lambda c, i: F.struct(c["node"].alias("b"), F.filter(F.slice("all", F.lit(1), i), lambda x: near(x, c)).alias("s")))
+        before = F.transform("all", lambda c, i: F.struct(c.alias("b"), F.filter(F.slice("all", F.lit(1), i), lambda x: near(x, c)).alias("s")))
         first = F.transform(F.filter(before, lambda c: F.size(c["s"]) > 0), lambda c: F.struct(c["b"], F.filter(c["s"], lambda x: ~F.exists(c["s"], lambda y: (y["node"] < x["node"]) & near(y, x))).alias("s")))
-        links = small.select(F.inline(F.flatten(F.transform(first, lambda c: F.transform(c["s"], lambda x: F.struct(x["node"].alias("a"), c["b"].alias("b")))))))
+        needed = F.transform(first, lambda c: F.transform(F.filter(c["s"], lambda x: apart(x, c["b"])), lambda x: F.struct(x["node"].alias("a"), c["b"]["node"].alias("b"))))
+        links = small.select(F.inline(F.flatten(needed)))
         crowd = sized.where((F.col("n") > hot) & (F.col("least.node") != F.col("node")))
-        return links, crowd.select(F.col("least.node").alias("a"), F.col("node").alias("b"), "key", (F.bit_count(F.col("least.word").bitwiseXOR(F.col("word"))) <= word_most).alias("near"))
+        return links, crowd.select(F.col("least.node").alias("a"), F.col("node").alias("b"), "key", (near(F.col("least"), own) & apart(F.col("least"), own)).alias("near"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs within the allowed distance. A node meets a few others in each of its blocks, so its list is short
@@ -210,8 +214,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     star = checkpoint(star)
     edges = checkpoint(verified(pairs.union(star.where("near").select("a", "b"))))
     apart = star.join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "key")
-    again = apart.join(nodes.select("node", "fp"), "node").select("node", "key", F.inline(blocks).alias("other_key", "word")).where("key <> other_key")
-    pairs, star = candidates(again.groupBy("node", F.xxhash64(F.least("key", "other_key"), F.greatest("key", "other_key")).alias("key")).agg(F.min("word").alias("word")))
+    # both blocks of a pair are tried on one word, that which goes with the later block
+    later = F.shiftrightunsigned(F.greatest("key", "other_key"), 32)
+    word = F.get("fp", ((F.floor(later / per) + 1) % n_words).cast("int"))
+    known = nodes.join(connected_components(edges), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group"))
+    again = apart.join(known, "node").select("node", "fp", "group", "key", F.inline(blocks).alias("other_key", "_")).where("key <> other_key")
+    keyed = again.select("node", "group", F.xxhash64(F.least("key", "other_key"), F.greatest("key", "other_key")).alias("key"), word.alias("word")).distinct()
+    pairs, star = candidates(keyed, "group")
     linked = connected_components(edges.union(verified(pairs.union(star.where("near").select("a", "b")))))
     named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
