@@ -100,10 +100,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     return docs.select(doc_id, F.col(text).cast("string").alias("_text_")).mapInArrow(run, f"`{doc_id}` {kept.dataType.simpleString()}, fp array<bigint>")
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
 def close_pairs(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, hot: int = 48) -> DataFrame:
     """(a, b): links that connect the 64-bit fingerprints `fp` (distinct, long) just as all pairs within max_bits do.
 
@@ -146,82 +142,128 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     return fps.join(least, "fp").select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def plan_blocks(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int, int]:
-    """(words, bits of a block, allowed distance) for n fingerprints and a Jaccard similarity.
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending."""
+    return np.unique(np.frombuffer(shingle_hashes(text, k), ">u8").astype(np.uint64)).view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, k: int, one_in: int = 8, least: int = 3, most: int = 200_000) -> np.ndarray:
+    """Up to `most` shingles that are frequent in one of `one_in` texts, ascending. They only decide an order, never a result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, k) for t in texts(b, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("_text_"), F.lit(one_in)) == 0).select("_text_")
+    counted = checkpoint(some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= least))
+    cutoff, total = least, 0
+    for r in sorted(counted.groupBy(F.least("count", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
+        total += r["n"]
+        if total > most:
+            cutoff = r["c"] + 1
+            break
+    return np.sort(np.array([r["h"] for r in counted.where(F.col("count") >= cutoff).select("h").collect()], dtype=np.int64))
+
 
-    A bit differs with probability acos(c)/pi, where c = 2s/(1+s) is the cosine of two equal-sized sets. Blocks are as
-    wide as log2 n, so that unlike fingerprints rarely meet and candidates grow in proportion to n; there are as many
-    as the recall at that similarity asks for. The allowed distance lies 1.3 deviations over the expected one, so that
-    nine in ten pairs of just that similarity stay within it.
+def prefixes(docs: DataFrame, k: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """(id, row, node, n, keys) for each row: its set of n shingles by hash, and the first of them in an order that puts `last` at the end.
+
+    Two sets of that similarity share at least similarity * n, so they share one of the first n - ceil(similarity * n) + 1
+    of each, whatever the order, as long as it is the same for all.
     """
-    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = min(32, max(12, math.ceil(math.log2(max(2, n)))))
-    probes = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** width))
-    n_words = math.ceil(probes / (64 // width))
-    bits = 64 * n_words
-    return n_words, width, round(bits * differs + 1.3 * math.sqrt(bits * differs * (1 - differs)))
-
-
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.95, hot: int = 6) -> DataFrame:
-    """(id, component_id) where documents of about that Jaccard similarity of k-word shingles are linked.
-
-    Fingerprints are wide (plan_blocks), and pairs that share a block are verified by the Hamming distance that the
-    similarity corresponds to, first in one other word, where nearly all chance meetings end, and then in all. A block is
-    expected to hold one node or less; those of up to `hot` nodes are paired. A larger one is a group of copies: there each node is compared with the
-    block's least node, and those that aren't close to it meet again under all pairs of blocks, where the same holds; there
-    nodes that the links found so far connect already are not compared.
+    kept = docs.schema["id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                node, n, keys = [], [], []
+                for t in texts(part, 2):
+                    s = shingle_set(t, k)
+                    node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                    n.append(len(s))
+                    if len(late) and len(s):
+                        common = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                        s = np.concatenate([s[~common], s[common]])
+                    keys.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+                ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], names=["id", "row", "node", "n", "keys"])
+
+    return docs.select("id", "row", "_text_").mapInArrow(run, f"id {kept}, row bigint, node bigint, n int, keys array<bigint>")
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32) -> DataFrame:
+    """(id, component_id) where documents are linked exactly if their sets of k-word shingles have that Jaccard similarity.
+
+    Equal sets are one node. Similar nodes share a shingle of their prefixes (see there). All pairs of a group that shares one
+    are candidates if it has up to `hot` nodes; groups of the same nodes are paired once. In a larger group each node
+    is first compared with the least one and the one with most links; then all its pairs that the links found so far don't connect are candidates too.
+    Every candidate is verified: sizes and prefixes bound the overlap from above, and what is left is compared by whole sets.
+    So nothing depends on the number of documents. Wordless texts are one node.
     """
-    n = docs.count()
-    n_words, width, most = plan_blocks(n, similarity, recall)
-    differs = most / (64 * n_words)
-    word_most = round(64 * differs + 4.5 * math.sqrt(64 * differs * (1 - differs)))  # of one word; a close pair has more once in some 100,000 times
-    fps = checkpoint(fingerprints(docs, doc_id, text, k, n_words).select(F.col(doc_id).alias("id"), "fp", F.xxhash64("fp").alias("node")))
-    nodes = checkpoint(fps.groupBy("node").agg(F.min("id").alias("least_id"), F.first("fp").alias("fp")))
-    per = 64 // width
-    cut = lambda p: F.shiftrightunsigned(F.col("fp")[p // per], (p % per) * width).bitwiseAND(F.lit((1 << width) - 1))
-    # a block's number and value in one key, and another word of the fingerprint, on which candidates are tried before they are looked up
-    blocks = F.array(*(F.struct(cut(p).bitwiseOR(F.lit(p << 32)).alias("key"), F.col("fp")[(p // per + 1) % n_words].alias("word")) for p in range(n_words * per)))
-
-    def candidates(keyed: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
-        """(links of the small blocks, star of the large ones: a, b, key, whether the words are near).
-
-        In a small block each node is linked to the nodes before it whose words are near, except those that are near
-        one still earlier of these: they are connected through it. So copies give a link a node, not one a pair.
-        Nodes of the same group, if that column is named, need no link.
-        """
-        by = Window.partitionBy("key")
-        near = lambda x, y: F.bit_count(x["word"].bitwiseXOR(y["word"])) <= word_most
-        own = F.struct("node", "word", *group)
-        apart = lambda x, y: F.lit(True) if not group else x[group[0]] != y[group[0]]
-        sized = keyed.withColumns({"n": F.count("*").over(by), "least": F.min(own).over(by)}).where("n > 1")
-        small = sized.where(F.col("n") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all"))
-        before = F.transform("all", lambda c, i: F.struct(c.alias("b"), F.filter(F.slice("all", F.lit(1), i), lambda x: near(x, c)).alias("s")))
-        first = F.transform(F.filter(before, lambda c: F.size(c["s"]) > 0), lambda c: F.struct(c["b"], F.filter(c["s"], lambda x: ~F.exists(c["s"], lambda y: (y["node"] < x["node"]) & near(y, x))).alias("s")))
-        needed = F.transform(first, lambda c: F.transform(F.filter(c["s"], lambda x: apart(x, c["b"])), lambda x: F.struct(x["node"].alias("a"), c["b"]["node"].alias("b"))))
-        links = small.select(F.inline(F.flatten(needed)))
-        crowd = sized.where((F.col("n") > hot) & (F.col("least.node") != F.col("node")))
-        return links, crowd.select(F.col("least.node").alias("a"), F.col("node").alias("b"), "key", (near(F.col("least"), own) & apart(F.col("least"), own)).alias("near"))
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("_text_")).withColumn("row", F.xxhash64("id", "_text_"))
+    rows = checkpoint(prefixes(source, k, similarity, frequent_shingles(source, k)))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+
+    def fits(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    def enough(overlap: Column) -> Column:
+        return overlap * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
+
+    def looked_up(pairs: DataFrame, sets: DataFrame, test: Column) -> DataFrame:
+        """The pairs that pass the test on n, s of a and m, t of b. b's set is looked up once, not once a pair."""
+        own = pairs.groupBy("b").agg(F.collect_set("a").alias("all")).join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t")), "b")
+        return own.select("b", "m", "t", F.explode("all").alias("a")).join(sets, (F.col("a") == F.col("node")) & test).select("a", "b")
+
+    # of the set whose prefix ends first, all shared ones up to there are in both prefixes; no more than its rest can follow
+    likely_enough = enough(F.size(F.array_intersect("s", "t")) + F.greatest(F.col("n") - F.size("s"), F.col("m") - F.size("t")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs within the allowed distance. A node meets a few others in each of its blocks, so its list is short
-        and its own fingerprint is looked up once, not once a pair; the distance is part of the second join."""
-        own = pairs.groupBy("b").agg(F.collect_set("a").alias("all")).join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-        other = nodes.select("node", F.col("fp").alias("fa"))
-        close = (F.col("a") == F.col("node")) & (distance(F.col("fa"), F.col("fb")) <= most)
-        return own.select("b", "fb", F.explode("all").alias("a")).join(other, close).select("a", "b")
-
-    pairs, star = candidates(nodes.select("node", F.inline(blocks)))
-    star = checkpoint(star)
-    edges = checkpoint(verified(pairs.union(star.where("near").select("a", "b"))))
-    apart = star.join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("node"), "key")
-    # both blocks of a pair are tried on one word, that which goes with the later block
-    later = F.shiftrightunsigned(F.greatest("key", "other_key"), 32)
-    word = F.get("fp", ((F.floor(later / per) + 1) % n_words).cast("int"))
-    known = nodes.join(connected_components(edges), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group"))
-    again = apart.join(known, "node").select("node", "fp", "group", "key", F.inline(blocks).alias("other_key", "_")).where("key <> other_key")
-    keyed = again.select("node", "group", F.xxhash64(F.least("key", "other_key"), F.greatest("key", "other_key")).alias("key"), word.alias("word")).distinct()
-    pairs, star = candidates(keyed, "group")
-    linked = connected_components(edges.union(verified(pairs.union(star.where("near").select("a", "b")))))
+        short = nodes.select("node", "n", F.col("keys").alias("s"))
+        likely = checkpoint(looked_up(pairs, short, likely_enough))
+        named = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        wanted = nodes.join(named, "node", "left_semi").select("row", "node", "n")
+        found = source.select("row", "_text_").join(wanted.select("row"), "row", "left_semi").dropDuplicates(["row"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, k) for t in texts(part, 1)], pa.list_(pa.int64()))], names=["row", "s"])
+
+        whole = checkpoint(wanted.join(found.mapInArrow(run, "row bigint, s array<bigint>"), "row").select("node", "n", "s"))
+        return looked_up(likely, whole, enough(F.size(F.array_intersect("s", "t"))))
+
+    own = F.struct("node", "n")
+    by = Window.partitionBy("key")
+    met = checkpoint(nodes.select("node", "n", F.explode("keys").alias("key")).withColumns({"size": F.count("*").over(by), "least": F.min(own).over(by)}).where("size > 1"))
+    small = met.where(F.col("size") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all")).select("all").distinct()
+    before = F.transform("all", lambda c, i: F.transform(F.filter(F.slice("all", F.lit(1), i), lambda x: fits(x["n"], c["n"])), lambda x: F.struct(x["node"].alias("a"), c["node"].alias("b"))))
+    crowd = met.where(F.col("size") > hot)
+    star = crowd.where((F.col("least.node") != F.col("node")) & fits(F.col("least.n"), F.col("n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
+    edges = checkpoint(verified(small.select(F.inline(F.flatten(before))).union(star).distinct()))
+
+    def unconnected(links: DataFrame) -> DataFrame:
+        """Rows of the larger groups that hold nodes which the links don't connect."""
+        known = crowd.join(connected_components(links), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
+        return checkpoint(known.withColumns({"low": F.min("group").over(by), "high": F.max("group").over(by)}).where("low <> high").select("key", "node", "n", "group"))
+
+    # a node with many links often connects what the least one doesn't, which saves pairs
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = unconnected(edges).join(degree, "node", "left").withColumn("hub", F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "n", "group")).over(by))
+    spokes = hubs.where((F.col("hub.group") != F.col("group")) & fits(F.col("hub.n"), F.col("n"))).select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+    edges = checkpoint(edges.union(verified(spokes.distinct())))
+    # all pairs left, each at the least key that both prefixes hold: if that key's group is none of these, the pair was tried or is connected
+    left = unconnected(edges).join(nodes.select("node", F.col("keys").alias("s")), "node")
+    right = left.select(F.col("key").alias("at"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"), F.col("s").alias("t"))
+    both = F.array_intersect("s", "t")
+    across = left.join(right, (F.col("key") == F.col("at")) & (F.col("node") < F.col("b")) & (F.col("group") != F.col("other")) & fits(F.col("n"), F.col("m")) & likely_enough & (F.col("key") == F.array_min(both)))
+    linked = connected_components(edges.union(verified(across.select(F.col("node").alias("a"), "b"))))
     named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return fps.join(named.join(least, "component").select("node", "component_id"), "node").select(F.col("id").alias(doc_id), "component_id")
+    return rows.select("id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select(F.col("id").alias(doc_id), "component_id")

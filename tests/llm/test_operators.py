@@ -236,6 +236,33 @@ def test_similar_documents_are_found(spark):
     assert all(got[3 * i + 1] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(40))
 
 
+def jaccard_components(rows, k=5, similarity=0.8):
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} for i, t in rows for w in [t.lower().split()]}
+    return brute_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9)
+
+
+def got_components(spark, rows, **options):
+    return {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+
+
+@pytest.mark.parametrize("hot", [1, 4, 32])
+def test_large_groups_lose_no_link(spark, hot):
+    """Families of edited copies around several centres that share a long passage: the closest partner is rarely a block's least node."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for family in range(5):
+        centre = passage + [f"f{family}x{i}" for i in range(60 + 40 * family)]
+        for _ in range(24):
+            w = list(centre)
+            for j in rng.integers(0, len(w), rng.integers(0, 6)):
+                w[j] = f"e{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    want = jaccard_components(rows)
+    assert 5 < len(set(want.values())) < len(rows) / 2
+    assert got_components(spark, rows, hot=hot) == want
+
+
 def test_long_chain_of_components(spark):
     got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")).collect()
     assert {r.component for r in got if r.node <= 300} == {0} and {r.component for r in got if r.node > 300} == {1000} and len(got) == 303
