@@ -263,6 +263,23 @@ def test_large_groups_lose_no_link(spark, hot):
     assert got_components(spark, rows, hot=hot) == want
 
 
+def edits(words, n, tag):
+    """n words spaced out by at least k are changed: each takes 5 shingles."""
+    return [f"{tag}{i}" if i % 7 == 3 and i < 7 * n else w for i, w in enumerate(words)]
+
+
+def test_small_groups_compare_all_pairs(spark):
+    """Each close pair has a third text y that is about 0.6 from both and shares their groups."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(60):
+        x = [f"t{i}w{v}" for v in rng.integers(0, 10**6, 204)]
+        rows += [(3 * i, " ".join(edits(x, 10, "y"))), (3 * i + 1, " ".join(x)), (3 * i + 2, " ".join(x[:-16] + [f"z{v}" for v in range(16)]))]
+    want = jaccard_components(rows)
+    assert all(want[3 * i + 2] == 3 * i + 1 and want[3 * i] == 3 * i for i in range(60))
+    assert got_components(spark, rows) == want
+
+
 def test_long_chain_of_components(spark):
     got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")).collect()
     assert {r.component for r in got if r.node <= 300} == {0} and {r.component for r in got if r.node > 300} == {1000} and len(got) == 303
