@@ -280,6 +280,21 @@ def test_small_groups_compare_all_pairs(spark):
     assert got_components(spark, rows) == want
 
 
+@pytest.mark.parametrize("others", [0, 3000])
+def test_similarity_at_the_border_whatever_the_table(spark, others):
+    """Pairs at exactly 0.8 are linked and pairs just under it are not, in small tables and in larger ones."""
+    rows = []
+    for i in range(60):
+        w = [f"t{i}w{j}" for j in range(184)]  # 180 shingles, of which 20 change or 21: 160 / 200 = 0.8, 159 / 201 = 0.79
+        rows += [(4 * i, " ".join(w)), (4 * i + 1, " ".join(w[:-20] + [f"a{i}x{j}" for j in range(20)]))]
+        v = [x.replace("t", "u") for x in w]
+        rows += [(4 * i + 2, " ".join(v)), (4 * i + 3, " ".join(v[:-21] + [f"b{i}x{j}" for j in range(21)]))]
+    rows += [(1000 + i, f"o{i} p{i} q{i} r{i} s{i} t{i}") for i in range(others)]
+    got = got_components(spark, rows)
+    assert all(got[4 * i + 1] == 4 * i and got[4 * i + 2] == 4 * i + 2 and got[4 * i + 3] == 4 * i + 3 for i in range(60))
+    assert all(got[1000 + i] == 1000 + i for i in range(others))
+
+
 def test_long_chain_of_components(spark):
     got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")).collect()
     assert {r.component for r in got if r.node <= 300} == {0} and {r.component for r in got if r.node > 300} == {1000} and len(got) == 303
