@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ARROW = {
@@ -54,10 +55,14 @@ def in_fold(doc_id: Column, n: int, which: int) -> Column:
     return F.coalesce(fold(doc_id, n) == which, F.lit(False))
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a folder of our own only where nothing is set, as in tests."""
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+def use_checkpoints(spark: SparkSession) -> str:
+    """The folder for checkpoints: where the cluster says; one of our own only on a local master with nothing set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -66,23 +71,49 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared checkpoint folder that cut lineage like checkpoints and can be deleted once they are used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.serial = spark, 0
+        self.folder = f"{use_checkpoints(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.serial += 1
+        path = f"{self.folder}/{self.serial}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path_ = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path_)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) can reach.
 
     Large-star and small-star steps in turn: a node's neighbours are linked to the least of them, so paths shorten
     by a factor in each round and hubs are only ever aggregated, not paired. Ends when a round changes no edge.
-    Nodes in no edge aren't returned. Raises if `rounds` aren't enough.
+    Nodes in no edge aren't returned. Raises if `rounds` aren't enough. The minima are a written table, so that both
+    sides of their join are plain shuffles, whose skewed partitions (hubs) Spark splits at run time.
     """
-    e = checkpoint(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.put(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
     was = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = scratch.put(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        e = checkpoint(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m"))).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m"))).where("u <> v").distinct()
+        seen = Observation()
+        new = scratch.put(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        scratch.drop(e, least, down)
+        e, now = new, seen.get
         if now == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
         was = now

@@ -32,7 +32,8 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
 
     The sample is bounded: of each language the `rows_per_lang` rows first by a hash of the text, and of each row one
     excerpt of `chars_per_row` characters from a place that the hash chooses. Top rows are chosen within each task
-    before anything is shuffled (a window limit), so a hot language costs no more than others. Equal texts count once.
+    before anything is shuffled (a window limit), so a hot language costs no more than others. Equal texts count once;
+    NULL and empty texts and NULL languages teach nothing, and an empty table gives no dictionary.
     More than `most_langs` languages raise an error, since each costs a compression of every text.
     """
     t, h = F.col(text).cast("string"), F.xxhash64(F.col(text).cast("string"))
@@ -73,8 +74,8 @@ def classifier(dictionaries: dict[str, bytes], level: int = 3, chunk: int = 4096
     return of
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, lang_pred, score): one row for each input row.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(id, kept columns, lang_pred, score): one row for each input row; `out` renames the last two where kept columns have their names.
 
     A NULL text, one without a letter, or any text when nothing was learned gets `und` and score 0. A tie goes to the
     language whose dictionary holds most of the words, with the least score that is accepted, or else to the first in
@@ -82,7 +83,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc
     The dictionaries hold at most languages x rows x characters of the training bounds, so they travel with the task.
     """
     cast = dict(dictionaries)
-    return map_texts(docs, text, [doc_id, *keep], (("lang_pred", "string"), ("score", "double")), lambda: classifier(cast))
+    return map_texts(docs, text, [doc_id, *keep], ((out[0], "string"), (out[1], "double")), lambda: classifier(cast))
 
 
 def accepted(lang_pred: Column, score: Column, reject_below: float = REJECT_BELOW) -> Column:

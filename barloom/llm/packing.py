@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ OUT = (("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 
 # Fixed value: the pattern by which byte-level BPE files of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of white space as the pattern knows it (Unicode's), so long that the pattern's look-ahead would exhaust its stack.
+LONG_SPACE = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=2)
@@ -33,15 +36,33 @@ def tokenizer(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids for a byte-level BPE file of the tokenizers library, whose own ids these are.
 
     Such a file numbers its tokens in the order of their merges, so its vocabulary serves as the ranks of tiktoken,
-    which is several times faster on one core. Strings of special tokens in a text give their ids, as in the library's default.
+    which is several times faster on one core. A file that isn't of that kind raises ValueError. Strings of special
+    tokens in a text give their ids, as in the library's default. Very long runs of white space are merged as a piece
+    of their own, which is what the pattern makes of them (all but the last character, if something follows).
     """
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    split = file["pre_tokenizer"] or {}
+    vocab, merges = file["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or file["normalizer"] or made != sorted(made):
+        raise ValueError(f"{path}: not a byte-level BPE file with the usual split and tokens in the order of their merges")
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
     special = {t["content"]: t["id"] for t in file["added_tokens"] if t["special"]}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+    usual = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
+    whole = tiktoken.Encoding(f"{path} whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def encode(text: str) -> np.ndarray:
+        parts, at = [], 0
+        for m in LONG_SPACE.finditer(text) if len(text) >= 10_000 else ():
+            last = m.end() == len(text) or text.startswith(tuple(special), m.end())
+            parts += [usual(text[at : m.start()], allowed_special="all"), whole(text[m.start() : m.end() if last else m.end() - 1])]
+            at = m.end() if last else m.end() - 1
+        return np.concatenate([*parts, usual(text[at:], allowed_special="all")])
+
+    return encode
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -132,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                 found = []
                 part = batch.slice(at, 64)
                 for d, text_ in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.append(encode(text_ or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(encode(text_ or ""), np.uint32(end_id)).astype("<u4")
                     full = len(ids) // capacity * capacity
                     for i in range(0, full, capacity):
                         found.append((d, i, ids[i : i + capacity], len(ids), base + serial, 0))

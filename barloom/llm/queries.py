@@ -30,13 +30,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = {k: i for i, k in enumerate(secrets.KINDS)}
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == number[kind])).cast("long")
     base = F.filter("spans", lambda x: x["kind"] < len(secrets.BASE))
-    return rows.select("doc_id", *(of(k).alias(f"n_{k}") for k in secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *(of(k).alias(f"n_{k}") for k in secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), F.to_json("credentials").alias("credentials"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs, learnable(4, 2)))
-    return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", langid.accepted(F.col("lang_pred"), F.col("score")).alias("accepted"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

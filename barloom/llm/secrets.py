@@ -2,7 +2,7 @@
 
 An access identifier, a secret and an endpoint are each weak evidence. One pass over the texts finds all parts; an
 interval join within scopes (blocks between blank lines) then reports a weak part only where a complementary part
-lies within `gap` code points. The join is a nearest-neighbour one over windows: it costs a sort, not pairs.
+lies within `gap` code points, and which parts make up a credential. The join is a nearest-neighbour sweep: it costs a sort, not pairs.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
@@ -64,47 +64,82 @@ def parts(text: str | None) -> list[tuple[int, int, int, int]]:
     return out
 
 
-PART = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("scope", pa.int64())]))
+#: The part a kind can play in a credential.
+ROLE = {"access": "id", "linked_id": "id", "assign": "secret", "hex": "secret", "linked_secret": "secret", "linked_endpoint": "endpoint"}
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+CREDENTIAL = pa.list_(pa.struct([(f"{role}_{place}", pa.int64()) for role in ("id", "secret", "endpoint") for place in ("start", "end")]))
 
 
-def find_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, parts) for every row: one pass, no shuffle."""
-    kept = docs.schema[doc_id]
+def neighbours(found: list[tuple[int, int, int, int]], role: str, gap: int) -> list[int]:
+    """For each of the parts, sorted and of one scope: the nearest other part with that role within `gap` code points, or -1.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [[dict(zip(("start", "end", "kind", "scope"), p)) for p in parts(t)] for t in texts(b, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, PART)], names=[doc_id, "parts"])
-
-    return docs.select(doc_id, F.col(text).cast("string").alias("_text_")).mapInArrow(run, f"`{doc_id}` {kept.dataType.simpleString()}, parts array<struct<start:bigint,end:bigint,kind:int,scope:bigint>>")
+    The interval join of the parts with themselves, as one sweep: what ends last before a part, and what starts next after it.
+    Overlapping parts are at no distance; of equally near ones the earlier is taken.
+    """
+    after, nearest = [-1] * len(found), -1
+    for i in range(len(found) - 1, -1, -1):
+        after[i] = nearest
+        if ROLE[KINDS[found[i][2]]] == role:
+            nearest = i
+    out, before = [], -1
+    for i, (s, e, k, _) in enumerate(found):
+        best, least = -1, gap + 1
+        if before >= 0 and s - found[before][1] < least:
+            best, least = before, max(0, s - found[before][1])
+        if after[i] >= 0 and found[after[i]][0] - e < least:
+            best = after[i]
+        out.append(best)
+        if ROLE[KINDS[k]] == role and (before < 0 or e >= found[before][1]):
+            before = i
+    return out
 
 
-def near(kind: Column, start: Column, end: Column, within: Window, gap: int) -> Column:
-    """Whether a part of that kind ends at most `gap` before the row's start, or starts at most `gap` after its end."""
-    before = F.max(F.when(kind, F.col("end"))).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(kind, F.col("start"))).over(within.rowsBetween(1, Window.unboundedFollowing))
-    return F.coalesce(before >= start - gap, F.lit(False)) | F.coalesce(after <= end + gap, F.lit(False))
+def linked(text: str | None, gap: int) -> tuple[list[tuple[int, int, int]], list[tuple[int | None, ...]]]:
+    """(spans, credentials) of a text: the certain parts and the weak ones that a complementary part supports; and for each secret its identifier and endpoint."""
+    found = sorted(parts(text), key=lambda p: (p[3], p[0], p[1], p[2]))
+    spans, credentials = [], []
+    at = 0
+    while at < len(found):
+        to = at
+        while to < len(found) and found[to][3] == found[at][3]:
+            to += 1
+        scope = found[at:to]
+        with_id, with_secret, with_end = (neighbours(scope, role, gap) for role in ("id", "secret", "endpoint"))
+        for i, (s, e, k, _) in enumerate(scope):
+            role = ROLE[KINDS[k]]
+            supported = with_id[i] >= 0 or with_end[i] >= 0 if role == "secret" else with_secret[i] >= 0
+            if k < len(BASE) or supported:
+                spans.append((s, k, e))
+            if role == "secret" and supported:
+                place = lambda x: scope[x][:2] if x >= 0 else (None, None)
+                credentials.append((*place(with_id[i]), s, e, *place(with_end[i])))
+        at = to
+    return sorted(spans), credentials
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gap: int = 256) -> DataFrame:
-    """(id, spans): for every input row its spans array<struct<start, kind, end>>, by start, kind as in KINDS, end.
+    """(id, spans, credentials): for every input row its spans array<struct<start, kind, end>>, by start, kind as in KINDS, end.
 
     Offsets are code points, end exclusive. Certain kinds are always there. A weak identifier needs a secret (certain
     or weak) within `gap` in its scope; a weak secret needs an identifier or an endpoint; an endpoint needs a secret.
-    Rows are kept apart by their place in the input, so repeated and NULL ids keep a row each. A NULL or empty text
-    has no spans. Columns other than id and text are ignored.
+    A credential is a secret with the nearest identifier and endpoint within `gap`, either of which may be NULL.
+    Links never leave a text, so all is one pass without a shuffle. Repeated and NULL ids keep a row each. A NULL or
+    empty text has no spans. Columns other than id and text are ignored.
     """
-    rows = find_parts(docs, doc_id, text).withColumn("_row_", F.monotonically_increasing_id())
-    each = rows.select("_row_", F.col(doc_id).alias("_id_"), F.inline_outer("parts"))
-    within = Window.partitionBy("_row_", "scope").orderBy("start", "end", "kind")
-    at = lambda *kinds: F.col("kind").isin([KINDS.index(k) for k in kinds])
-    identifier, secret, endpoint = at("access", "linked_id"), at("assign", "hex", "linked_secret"), at("linked_endpoint")
-    s, e = F.col("start"), F.col("end")
-    by = lambda kind: near(kind, s, e, within, gap)
-    linked = each.withColumns({"to_id": by(identifier), "to_secret": by(secret), "to_end": by(endpoint)})
-    real = at(*BASE) | (at("linked_id", "linked_endpoint") & F.col("to_secret")) | (at("linked_secret") & (F.col("to_id") | F.col("to_end")))
-    span = F.when(real, F.struct("start", "kind", "end"))
-    return linked.groupBy("_row_").agg(F.first("_id_").alias(doc_id), F.array_sort(F.collect_list(span)).alias("spans")).drop("_row_")
+    kept = docs.schema[doc_id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, credentials = [], []
+            for t in texts(b, 1):
+                s, c = linked(t, gap)
+                spans.append([dict(zip(("start", "kind", "end"), x)) for x in s])
+                credentials.append([dict(zip((f.name for f in CREDENTIAL.value_type), x)) for x in c])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPAN), pa.array(credentials, CREDENTIAL)], names=[doc_id, "spans", "credentials"])
+
+    of = ",".join(f"{f.name}:bigint" for f in CREDENTIAL.value_type)
+    ddl = f"`{doc_id}` {kept.dataType.simpleString()}, spans array<struct<start:bigint,kind:int,end:bigint>>, credentials array<struct<{of}>>"
+    return docs.select(doc_id, F.col(text).cast("string").alias("_text_")).mapInArrow(run, ddl)
 
 
 def joined(spans: Column) -> Column:
@@ -113,20 +148,25 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[REDACTED]", gap: int = 256) -> DataFrame:
-    """`docs` with its spans replaced by `mark`; overlapping spans get one mark. Rows and all other columns stay.
+def redacted(text: str | None, mark: str, gap: int) -> str | None:
+    spans = linked(text, gap)[0]
+    if not spans:
+        return text
+    out, at = [], 0
+    for start, _, end in spans:
+        if end > at:
+            out += [] if start < at else [text[at:start], mark]
+            at = end
+    return "".join(out) + text[at:]
 
-    Only rows that have spans travel as spans; equal (id, text) rows have equal spans, so one of each is joined.
-    """
-    key = "_text_hash_"
-    keyed = docs.withColumn(key, F.xxhash64(F.col(text)))
-    mine = keyed.select(F.struct(doc_id, key).alias("_key_"), F.col(text).alias("_text_"))
-    spans = scan(mine, "_key_", "_text_", gap).where(F.size("spans") > 0).groupBy("_key_").agg(F.first("spans").alias("_spans_"))
-    spans = spans.select(F.col(f"_key_.{doc_id}").alias("_id_"), F.col(f"_key_.{key}").alias("_hash_"), "_spans_")
-    both = keyed.join(spans, keyed[doc_id].eqNullSafe(spans["_id_"]) & (keyed[key] == spans["_hash_"]), "left")
-    t, start = F.col(text), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-        F.struct(x["end"].alias("at"), F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"))
-    )
-    cut = F.aggregate("_spans_", start, step, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
-    return both.withColumn(text, F.when(F.col("_spans_").isNull(), t).otherwise(cut)).select(*docs.columns)
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]", gap: int = 256) -> DataFrame:
+    """`docs` with its spans replaced by `mark`; overlapping spans get one mark. Rows, repeated ones too, and all other columns stay; a NULL text stays NULL. One pass, no shuffle."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = pa.array([redacted(t, mark, gap) for t in texts(b, place)], b.schema.types[place])
+            yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)

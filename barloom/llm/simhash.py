@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, texts
+from .common import Scratch, connected_components, texts
 
 SEED = 42
 #: The multipliers of the splitmix64 finaliser, which derives further hash words from the first.
@@ -134,12 +134,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     for no smallest id, and a component with no other id has NULL. NULL, empty and wordless texts share fingerprint
     zero and are linked like any other. An empty table gives an empty result.
     """
-    fps = checkpoint(fingerprints(docs, doc_id, text, k).select(F.col(doc_id).alias("id"), F.col("fp")[0].alias("fp")))
+    fps = Scratch(docs.sparkSession).put(fingerprints(docs, doc_id, text, k).select(F.col(doc_id).alias("id"), F.col("fp")[0].alias("fp")))
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least_id"))
     linked = connected_components(close_pairs(nodes.select("fp"), max_bits))
     named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = named.withColumn("component_id", F.min("least_id").over(Window.partitionBy("component"))).select("fp", "component_id")
-    return fps.join(least, "fp").select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return fps.join(named.join(least, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -156,14 +156,17 @@ def frequent_shingles(docs: DataFrame, k: int, one_in: int = 8, least: int = 3,
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["h"])
 
     some = docs.where(F.pmod(F.xxhash64("_text_"), F.lit(one_in)) == 0).select("_text_")
-    counted = checkpoint(some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= least))
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.put(some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= least))
     cutoff, total = least, 0
     for r in sorted(counted.groupBy(F.least("count", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
         total += r["n"]
         if total > most:
             cutoff = r["c"] + 1
             break
-    return np.sort(np.array([r["h"] for r in counted.where(F.col("count") >= cutoff).select("h").collect()], dtype=np.int64))
+    found = np.sort(np.array([r["h"] for r in counted.where(F.col("count") >= cutoff).select("h").collect()], dtype=np.int64))
+    scratch.drop(counted)
+    return found
 
 
 def prefixes(docs: DataFrame, k: int, similarity: float, last: np.ndarray) -> DataFrame:
@@ -196,18 +199,84 @@ def prefixes(docs: DataFrame, k: int, similarity: float, last: np.ndarray) -> Da
     return docs.select("id", "row", "_text_").mapInArrow(run, f"id {kept}, row bigint, node bigint, n int, keys array<bigint>")
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32) -> DataFrame:
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of two lists' sets have that Jaccard similarity, as a matrix.
+
+    Overlaps are counted shingle by shingle: those in few sets of either list pair by pair, the others as a product
+    of 0/1 matrices, some columns at a time. So neither the time nor the memory follows the number of different shingles.
+    """
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right)) if len(left) and len(right) else np.zeros(0, dtype=np.int64)
+    if len(shared):
+
+        def places(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(shingle number, set number) of the shared shingles, by shingle."""
+            all_ = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(shared, all_), len(shared) - 1)
+            hit = np.flatnonzero(shared[at] == all_)
+            number, of = at[hit], np.repeat(np.arange(len(sets)), sizes)[hit]
+            order = np.argsort(number, kind="stable")
+            return number[order], of[order]
+
+        (a, i), (b, j) = places(left, n), places(right, m)
+        in_left, in_right = np.bincount(a, minlength=len(shared)), np.bincount(b, minlength=len(shared))
+        rare = in_left * in_right * 300 <= len(left) * len(right)
+        start = np.concatenate(([0], np.cumsum(in_right)))
+        few = rare[a]
+        times = in_right[a[few]]
+        ends = np.cumsum(times)
+        for lo in range(0, len(times), 1 << 14):
+            t = times[lo : lo + (1 << 14)]
+            base = np.concatenate(([0], np.cumsum(t)[:-1]))
+            partner = j[np.repeat(start[a[few][lo : lo + (1 << 14)]] - base, t) + np.arange(t.sum())]
+            np.add.at(overlap, (np.repeat(i[few][lo : lo + (1 << 14)], t), partner), 1)
+        wide = np.flatnonzero(~rare)
+        for lo in range(0, len(wide), 1024):
+            column = np.full(len(shared), -1)
+            column[wide[lo : lo + 1024]] = np.arange(len(wide[lo : lo + 1024]))
+            of_left, of_right = np.zeros((len(left), 1024), dtype=np.float32), np.zeros((len(right), 1024), dtype=np.float32)
+            for grid, number, which in ((of_left, a, i), (of_right, b, j)):
+                c = column[number]
+                grid[which[c >= 0], c[c >= 0]] = 1
+            overlap += of_left @ of_right.T
+    return overlap * (1 + similarity) >= similarity * (n[:, None] + m[None, :]) - 1e-6
+
+
+def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (a, b) that connect what all the marked ones between nodes of left and right do, fewer than there are nodes."""
+    names, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    group = np.arange(len(names))
+    a, b = (x for x in np.nonzero(links))
+    a, b = place[: len(left)][a], place[len(left) :][b]
+    while len(a):
+        low = np.minimum(group[a], group[b])
+        if (group[a] == group[b]).all():
+            break
+        np.minimum.at(group, group[a], low)
+        np.minimum.at(group, group[b], low)
+        while not np.array_equal(group, group[group]):
+            group = group[group]
+    moved = np.flatnonzero(group != np.arange(len(names)))
+    return names[group[moved]].tolist(), names[moved].tolist()
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512) -> DataFrame:
     """(id, component_id) where documents are linked exactly if their sets of k-word shingles have that Jaccard similarity.
 
     Equal sets are one node. Similar nodes share a shingle of their prefixes (see there). All pairs of a group that shares one
     are candidates if it has up to `hot` nodes; groups of the same nodes are paired once. In a larger group each node
-    is first compared with the least one and the one with most links; then all its pairs that the links found so far don't connect are candidates too.
-    Every candidate is verified: sizes and prefixes bound the overlap from above, and what is left is compared by whole sets.
-    So nothing depends on the number of documents. Wordless texts are one node.
+    is first compared with the least one and then with the one with most links. Groups that these links don't connect
+    are cut into chunks of bounded size, and chunks that meet in a group are compared as a whole within a task, which
+    returns no more links than it has nodes: so their pairs are compared but never are rows. Chunks of one and the
+    same component aren't compared. Pairs are verified: sizes and prefixes bound the overlap from above, and what is
+    left is compared by whole sets, as are chunks. Nothing depends on the number of documents. Wordless texts are one
+    node; NULL ids count for no smallest id, and repeated rows keep a row each.
     """
+    scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("_text_")).withColumn("row", F.xxhash64("id", "_text_"))
-    rows = checkpoint(prefixes(source, k, similarity, frequent_shingles(source, k)))
-    nodes = checkpoint(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = scratch.put(prefixes(source, k, similarity, frequent_shingles(source, k)))
+    nodes = scratch.put(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
@@ -223,12 +292,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # of the set whose prefix ends first, all shared ones up to there are in both prefixes; no more than its rest can follow
     likely_enough = enough(F.size(F.array_intersect("s", "t")) + F.greatest(F.col("n") - F.size("s"), F.col("m") - F.size("t")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        short = nodes.select("node", "n", F.col("keys").alias("s"))
-        likely = checkpoint(looked_up(pairs, short, likely_enough))
-        named = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        wanted = nodes.join(named, "node", "left_semi").select("row", "node", "n")
-        found = source.select("row", "_text_").join(wanted.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """(node, n, s) for the nodes wanted, from the texts."""
+        known = nodes.join(wanted, "node", "left_semi").select("row", "node", "n")
+        found = source.select("row", "_text_").join(known.select("row"), "row", "left_semi").dropDuplicates(["row"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -236,34 +303,79 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     part = b.slice(at, 256)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, k) for t in texts(part, 1)], pa.list_(pa.int64()))], names=["row", "s"])
 
-        whole = checkpoint(wanted.join(found.mapInArrow(run, "row bigint, s array<bigint>"), "row").select("node", "n", "s"))
-        return looked_up(likely, whole, enough(F.size(F.array_intersect("s", "t"))))
+        return scratch.put(known.join(found.mapInArrow(run, "row bigint, s array<bigint>"), "row").select("node", "n", "s"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        short = nodes.select("node", "n", F.col("keys").alias("s"))
+        likely = scratch.put(looked_up(pairs, short, likely_enough))
+        whole = whole_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        out = scratch.put(looked_up(likely, whole, enough(F.size(F.array_intersect("s", "t")))))
+        scratch.drop(likely, whole)
+        return out
 
     own = F.struct("node", "n")
-    by = Window.partitionBy("key")
-    met = checkpoint(nodes.select("node", "n", F.explode("keys").alias("key")).withColumns({"size": F.count("*").over(by), "least": F.min(own).over(by)}).where("size > 1"))
-    small = met.where(F.col("size") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all")).select("all").distinct()
+    each = nodes.select("node", "n", F.explode("keys").alias("key"))
+    sizes = scratch.put(each.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("least")).where("size > 1"))
+    small = each.join(sizes.where(F.col("size") <= hot).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all")).select("all").distinct()
     before = F.transform("all", lambda c, i: F.transform(F.filter(F.slice("all", F.lit(1), i), lambda x: fits(x["n"], c["n"])), lambda x: F.struct(x["node"].alias("a"), c["node"].alias("b"))))
-    crowd = met.where(F.col("size") > hot)
+    crowd = scratch.put(each.join(sizes.where(F.col("size") > hot), "key"))
     star = crowd.where((F.col("least.node") != F.col("node")) & fits(F.col("least.n"), F.col("n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    edges = checkpoint(verified(small.select(F.inline(F.flatten(before))).union(star).distinct()))
+    first = verified(small.select(F.inline(F.flatten(before))).union(star).distinct())
+    scratch.drop(sizes)
 
     def unconnected(links: DataFrame) -> DataFrame:
         """Rows of the larger groups that hold nodes which the links don't connect."""
-        known = crowd.join(connected_components(links), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
-        return checkpoint(known.withColumns({"low": F.min("group").over(by), "high": F.max("group").over(by)}).where("low <> high").select("key", "node", "n", "group"))
-
-    # a node with many links often connects what the least one doesn't, which saves pairs
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = unconnected(edges).join(degree, "node", "left").withColumn("hub", F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "n", "group")).over(by))
-    spokes = hubs.where((F.col("hub.group") != F.col("group")) & fits(F.col("hub.n"), F.col("n"))).select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
-    edges = checkpoint(edges.union(verified(spokes.distinct())))
-    # all pairs left, each at the least key that both prefixes hold: if that key's group is none of these, the pair was tried or is connected
-    left = unconnected(edges).join(nodes.select("node", F.col("keys").alias("s")), "node")
-    right = left.select(F.col("key").alias("at"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"), F.col("s").alias("t"))
-    both = F.array_intersect("s", "t")
-    across = left.join(right, (F.col("key") == F.col("at")) & (F.col("node") < F.col("b")) & (F.col("group") != F.col("other")) & fits(F.col("n"), F.col("m")) & likely_enough & (F.col("key") == F.array_min(both)))
-    linked = connected_components(edges.union(verified(across.select(F.col("node").alias("a"), "b"))))
-    named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return rows.select("id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select(F.col("id").alias(doc_id), "component_id")
+        known = scratch.put(crowd.join(connected_components(links), "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("group")))
+        mixed = known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+        out = scratch.put(known.join(mixed, "key"))
+        scratch.drop(known)
+        return out
+
+    def within_crowds(first: DataFrame) -> DataFrame:
+        """The links given, and those that the larger groups need besides."""
+        if crowd.isEmpty():
+            return first
+        # a node with many links often connects what the least one doesn't, which saves comparisons
+        degree = first.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        apart = unconnected(first)
+        if apart.isEmpty():
+            return first
+        hub = scratch.put(apart.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "n", "group")).alias("hub")))
+        spokes = apart.join(hub, "key").where((F.col("hub.group") != F.col("group")) & fits(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        second = scratch.put(first.union(verified(spokes.distinct())))
+        scratch.drop(apart, hub)
+        left = unconnected(second)
+        if left.isEmpty():
+            return second
+
+        # a node's home is its largest group; large components there get chunks of their own
+        home = scratch.put(left.groupBy("node").agg(F.max(F.struct("size", "key")).alias("home"), F.first("n").alias("n"), F.first("group").alias("group")))
+        large = home.groupBy("home", "group").agg(F.count("*").alias("members")).where("members >= 64").select("home", "group", F.lit(True).alias("alone"))
+        kinds = scratch.put(home.join(large, ["home", "group"], "left").select("home", "node", "n", "group", F.coalesce("alone", F.lit(False)).alias("alone"), F.when(F.col("alone"), F.col("group")).otherwise(0).alias("kind")))
+        cut = kinds.groupBy("home", "alone", "kind").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / chunk_nodes)).cast("int").alias("parts"))
+        chunks = scratch.put(kinds.join(cut, ["home", "alone", "kind"]).select("node", "group", "alone", "kind", F.xxhash64("home", "alone", "kind", F.pmod(F.xxhash64("node"), "parts")).alias("chunk")))
+        meets = scratch.put(left.select("key", "node").join(chunks, "node").select("key", "chunk", "alone", "kind").distinct())
+        other = meets.select("key", F.col("chunk").alias("with"), F.col("alone").alias("alone_too"), F.col("kind").alias("kind_too"))
+        tasks = meets.join(other, "key").where((F.col("chunk") <= F.col("with")) & ~(F.col("alone") & F.col("alone_too") & (F.col("kind") == F.col("kind_too")))).select("chunk", "with").distinct()
+        sides = tasks.select(F.struct("chunk", "with").alias("task"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("chunk").alias("of")), F.struct(F.lit(1).alias("side"), F.col("with").alias("of"))))).where("side = 0 or of <> task.chunk")
+        members = chunks.join(whole_sets(chunks.select("node")), "node").select(F.col("chunk").alias("of"), "node", "group", "s")
+
+        def compare(t: pa.Table) -> pa.Table:
+            """Links between the chunks of a task, or within its only one."""
+            side, node, group = (np.asarray(t.column(c)) for c in ("side", "node", "group"))
+            sets = [x.values.to_numpy() for x in t.column("s")]
+            of = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+            of[1] = of[1] if len(of[1]) else of[0]
+            links = similar_pairs([sets[i] for i in of[0]], [sets[i] for i in of[1]], similarity) & (group[of[0]][:, None] != group[of[1]][None, :])
+            a, b = spanning(links, node[of[0]], node[of[1]])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        third = sides.join(members, "of").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
+        return second.union(third)
+
+    linked = connected_components(within_crowds(first))
+    component = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    least = component.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_node = scratch.put(component.join(least, "component").select("node", "component_id"))
+    scratch.drop(crowd, nodes)
+    return rows.select("id", "node").join(of_node, "node").select(F.col("id").alias(doc_id), "component_id")
