@@ -316,9 +316,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own = F.struct("node", "n")
     each = nodes.select("node", "n", F.explode("keys").alias("key"))
     sizes = scratch.put(each.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("least")).where("size > 1"))
-    small = each.join(sizes.where(F.col("size") <= hot).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all")).select("all").distinct()
+    met = scratch.put(each.join(sizes, "key"))
+    small = met.where(F.col("size") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all")).select("all").distinct()
     before = F.transform("all", lambda c, i: F.transform(F.filter(F.slice("all", F.lit(1), i), lambda x: fits(x["n"], c["n"])), lambda x: F.struct(x["node"].alias("a"), c["node"].alias("b"))))
-    crowd = scratch.put(each.join(sizes.where(F.col("size") > hot), "key"))
+    crowd = met.where(F.col("size") > hot)
     star = crowd.where((F.col("least.node") != F.col("node")) & fits(F.col("least.n"), F.col("n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     first = verified(small.select(F.inline(F.flatten(before))).union(star).distinct())
     scratch.drop(sizes)
@@ -377,5 +378,5 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = component.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_node = scratch.put(component.join(least, "component").select("node", "component_id"))
-    scratch.drop(crowd, nodes)
+    scratch.drop(met, nodes)
     return rows.select("id", "node").join(of_node, "node").select(F.col("id").alias(doc_id), "component_id")

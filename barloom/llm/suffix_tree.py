@@ -1,282 +1,302 @@
-"""Language-model scores from a probabilistic suffix tree over characters.
+"""Language-model scores from a probabilistic suffix tree over words.
 
-A context (up to `depth` preceding characters) is a state of the tree if it is frequent enough and its next-character
-distribution diverges from that of its suffix. Distributions are smoothed towards the suffix's. A text is scored with
-the longest suffix that is a state, at each character to the end. Beside it stands the word-unigram base score,
-whose counts cover every word of the training texts.
+A context, up to `depth` preceding words, is a state of the tree if the corpus has it often enough and its next-word
+distribution diverges from that of its suffix. Distributions are smoothed towards the suffix's, down to the word
+unigrams of the base score. A text is scored with the longest suffix that is a state, at each word and at its end.
+
+The tree has a state for each such context of the corpus, so it grows with the input and is never in one place. Texts
+form blocks of about `block_tokens` words. A block asks for the counts of its word sequences: sorted hashes, packed,
+go to the task of their range of hash values, which adds up all blocks' counts and answers each in the order asked.
+A second such exchange adds up the divergence of each context. So nothing is sent more than once a block, however
+frequent it is, and a block's and a range's work have a bounded size.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, texts
+from .common import Scratch, texts
 
-BITS = 6
-SYMBOLS = 1 << BITS
-#: Fixed symbols: the space between words, the end of a text, and any character outside the alphabet.
-SPACE, END, OTHER = 0, 1, 2
-FIRST = 3
-#: A character outside the alphabet is spelt out with a uniform choice among all code points.
-SPELL = np.log10(1 / 1_114_112)
+#: Hashes of the start and the end of a text, which no word's collides with but by chance.
+START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Odd multipliers that mix hashes.
+ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 4
-    least_share: float = 2e-6  # of all training symbols, for a context to be considered: at most 1 / least_share contexts of a length
-    divergence: float = 0.01  # nats from the suffix's distribution, for a context to be retained
-    prior: float = 8.0  # symbols' worth of weight of the suffix's distribution
-    block_rows: int = 6000  # documents whose vocabulary is looked up together
+    depth: int = 3  # words of the longest contexts
+    least: int = 2  # occurrences of a context, to be considered
+    divergence: float = 4.0  # nats of its occurrences in all from the suffix's distribution, for a context to be retained
+    prior: float = 10.0  # words' worth of weight of the suffix's distribution
+    block_tokens: int = 1_500_000
+    range_tokens: int = 4_000_000  # hashes that a task adds up
+    spare_bits: int = 20  # a sequence's hash has so many bits more than the corpus' number of words has: one in 2^20 collides
 
 
-@dataclass(frozen=True)
-class Tree:
-    alphabet: np.ndarray  # code points, sorted
-    code: np.ndarray  # their symbols
-    levels: tuple[np.ndarray, ...]  # contexts that are states, for lengths 0 to depth, sorted
-    log10: np.ndarray  # state x symbol, states in the order of levels
-    name: str  # of this tree alone, for the workers' look-up tables
-
-
-#: The look-up table of the last tree that this worker process used.
-TABLES: dict[str, np.ndarray] = {}
-
-
-def table_of(tree: Tree) -> np.ndarray:
-    """The state for each sequence of `depth` symbols: the longest suffix that is one."""
-    depth = len(tree.levels) - 1
-    out = np.zeros(1 << (BITS * depth), dtype=np.int32)
-    at = 0
-    for length, contexts in enumerate(tree.levels):
-        out.reshape(-1, 1 << (BITS * length))[:, contexts] = np.arange(at, at + len(contexts), dtype=np.int32)
-        at += len(contexts)
-    return out
-
-
-def spaced(text: str | None) -> str:
-    """Lower-cased A-Z, words followed by one space each."""
-    w = text.encode().lower().split() if text else []
-    return (b" ".join(w) + b" ").decode() if w else ""
-
-
-def points(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of texts with a line feed (which no text holds here) after each, and where each ends."""
-    joined = "\n".join(values) + "\n"
-    return np.frombuffer(joined.encode("utf-32-le"), "<u4"), np.cumsum([len(v) + 1 for v in values])
-
-
-def symbols(alphabet: np.ndarray, code: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """A symbol for each code point; line feeds are ends, spaces spaces."""
-    low = np.full(65536, OTHER, dtype=np.uint8)
-    low[alphabet[alphabet < 65536]] = code[alphabet < 65536]
-    low[10], low[32] = END, SPACE
-    out = low[np.minimum(p, 65535)]
-    if len(p) and p.max() >= 65535:
-        far = np.flatnonzero(p >= 65535)
-        at = np.minimum(np.searchsorted(alphabet, p[far]), max(0, len(alphabet) - 1))
-        out[far] = np.where(alphabet[at] == p[far], code[at], OTHER) if len(alphabet) else OTHER
-    return out
-
-
-def contexts(s: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """The code of the `depth` symbols before each place; a text begins as if ends stood before it."""
-    padded = np.concatenate([np.full(depth, END, dtype=np.uint32), s.astype(np.uint32)])
-    out = np.zeros(len(s), dtype=np.uint32)
-    for i in range(depth):
-        out = (out << np.uint32(BITS)) | padded[i : i + len(s)]
-    for k in range(depth):  # the k-th places of all texts but the first, which still see the text before
-        at = (ends[:-1] + k)[ends[:-1] + k < ends[1:]]
-        pad = sum(END << (BITS * i) for i in range(depth - k))
-        out[at] = np.uint32(pad << (BITS * k)) | (out[at] & np.uint32((1 << (BITS * k)) - 1))
-    return out
-
-
-def groups(batch: pa.RecordBatch, column: int, chars: int = 1 << 19) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of some neighbouring rows with about that many characters."""
-    at, rows, size = 0, [], 0
-    for i, t in enumerate(texts(batch, column)):
-        rows.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield at, rows
-            at, rows, size = i + 1, [], 0
-    if rows:
-        yield at, rows
-
-
-def alphabet(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The code points that are most frequent in the texts, as many as there are symbols, and their symbols."""
+class Numbers(dict):
+    """Words by the order of their first appearance, from 1; 0 is the end of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers, compressed byte plane by byte plane."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed_set(ascending: np.ndarray) -> bytes:
+    return packed(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in batches:
-            for _, rows in groups(b, 0):
-                p, _ = points([spaced(t) for t in rows])
-                n = np.bincount(np.minimum(p, 65535), minlength=65536)
-                for c in np.flatnonzero(n[:65535]).tolist():
-                    total[c] += int(n[c])
-                if n[65535]:
-                    for c, k in zip(*(x.tolist() for x in np.unique(p[p >= 65535], return_counts=True))):
-                        total[c] += k
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["c", "n"])
-
-    counted = docs.select(text).mapInArrow(run, "c int, n bigint").where("c not in (10, 32)").groupBy("c").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "c").limit(SYMBOLS - FIRST).collect()
-    found = {r["c"]: FIRST + i for i, r in enumerate(top)}
-    keys = np.array(sorted(found), dtype=np.int64)
-    return keys, np.array([found[int(k)] for k in keys], dtype=np.uint8)
-
-
-def gram_counts(docs: DataFrame, text: str, letters: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
-    """(g, n): how often each run of depth + 1 symbols stands in the texts; g holds the context and, last, the next symbol."""
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * ODD[1]
+    x = (x ^ (x >> np.uint64(27))) * ODD[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([END, *(xxhash.xxh64_intdigest(w) for w in words)], dtype=np.uint64)
+
+
+BLOCK = "block bigint, learn binary, lengths binary, tokens binary, words binary, n_tokens bigint, n_learn bigint, n_texts bigint"
+
+
+def blocks(rows: DataFrame, s: Settings) -> DataFrame:
+    """(block, ids, ...): texts of `rows` (_id_, _text_, _learn_) as numbers of a block's own words, with the words' hashes. One pass, no shuffle."""
+    kept = rows.schema["_id_"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, rows_kept = [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([n for _, n in kept])).astype(np.int64)
-
-        for b in batches:
-            for _, rows in groups(b, 0, 1 << 21):
-                p, ends = points([spaced(t) for t in rows])
-                s = symbols(*letters, p)
-                code = (contexts(s, ends, depth) << np.uint32(BITS)) | s
-                kept.append(np.unique(code, return_counts=True))
-                rows_kept += len(kept[-1][0])
-                if rows_kept > 2_000_000:
-                    kept = [merged()]
-                    rows_kept = len(kept[0][0])
-                    if rows_kept > 1_500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].astype(np.int64)), pa.array(kept[0][1], pa.int64())], names=["g", "n"])
-                        kept, rows_kept = [], 0
-        if kept:
-            k, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
-
-    return docs.select(text).mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def learn(docs: DataFrame, text: str, s: Settings = Settings()) -> Tree:
-    """The tree of all texts of docs. Candidate contexts, their divergence from their suffixes and which are retained are found by Spark; the retained states, bounded by least_share, come to the driver to be smoothed."""
-    letters = alphabet(docs, text)
-    full = checkpoint(gram_counts(docs, text, letters, s.depth))
-    total = full.agg(F.sum("n")).first()[0] or 0
-    kept: list[list] = []
-    for length in range(s.depth + 1):
-        mask = (1 << (BITS * (length + 1))) - 1
-        own = full.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n")).withColumn("c", F.shiftright("g", BITS))
-        by = Window.partitionBy("c")
-        own = own.withColumn("of", F.sum("n").over(by)).where(F.col("of") >= s.least_share * total)
-        if length:
-            above = full.groupBy(F.col("g").bitwiseAND(F.lit(mask >> BITS)).alias("up")).agg(F.sum("n").alias("m"))
-            above = above.withColumn("m", F.col("m") / F.sum("m").over(Window.partitionBy(F.shiftright("up", BITS))))
-            own = own.join(above, F.col("g").bitwiseAND(F.lit(mask >> BITS)) == F.col("up"))
-            kl = F.sum(F.col("n") / F.col("of") * F.log(F.col("n") / F.col("of") / F.col("m"))).over(by)
-            own = own.withColumn("kl", kl).where(F.col("kl") >= s.divergence)
-        kept.append([(r["c"], r["g"] & (SYMBOLS - 1), r["n"]) for r in own.select("c", "g", "n").collect()])
-    levels, rows = [], []
-    for length, found in enumerate(kept):
-        a = np.array(found or [(0, 0, 0)] * (not length), dtype=np.int64).reshape(-1, 3)
-        contexts_, where = np.unique(a[:, 0], return_inverse=True)
-        counts = np.zeros((len(contexts_), SYMBOLS))
-        np.add.at(counts, (where, a[:, 1]), a[:, 2])
-        n = counts.sum(1, keepdims=True)
-        if not length:
-            p = (counts + 0.5) / (n + 0.5 * SYMBOLS)
-        else:
-            suffix = np.zeros(len(contexts_), dtype=np.int64)
-            at = 0
-            for shorter, states in enumerate(levels):  # the longest proper suffix that is a state
-                want = contexts_ & ((1 << (BITS * shorter)) - 1)
-                if len(states):
-                    place = np.minimum(np.searchsorted(states, want), len(states) - 1)
-                    suffix = np.where(states[place] == want, at + place, suffix)
-                at += len(states)
-            p = (counts + s.prior * np.concatenate(rows)[suffix]) / (n + s.prior)
-        levels.append(contexts_)
-        rows.append(p)
-    return Tree(*letters, tuple(levels), np.log10(np.concatenate(rows)).astype(np.float32), uuid.uuid4().hex)
-
-
-def tree_scores(values: list[str | None], tree: Tree, table: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, its end included."""
-    p, ends = points([spaced(t) for t in values])
-    s = symbols(tree.alphabet, tree.code, p)
-    lp = tree.log10.ravel().take(table.take(contexts(s, ends, len(tree.levels) - 1)).astype(np.int64) * SYMBOLS + s).astype(np.float64)
-    lp[s == OTHER] += SPELL
-    return np.add.reduceat(lp, np.concatenate(([0], ends[:-1])))
+        serial = TaskContext.get().partitionId() << 32
+        ids, learn, lengths, parts, numbers, size = [], [], [], [], Numbers(), 0
+        kind = None
+
+        def row() -> pa.RecordBatch:
+            tokens, n, may = np.concatenate(parts), np.array(lengths), np.array(learn, dtype=bool)
+            values = [serial, packed(may), packed(n), packed(tokens), packed(word_hashes(list(numbers))), int(n.sum()), int(n[may].sum()), int(may.sum())]
+            names = ["ids", *(x.split()[0] for x in BLOCK.split(", "))]
+            types = [pa.binary() if x.endswith("binary") else pa.int64() for x in BLOCK.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, kind)), *(pa.array([v], t) for v, t in zip(values, types))], names=names)
+
+        for batch in batches:
+            kind = batch.schema.types[0]
+            for i, may, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts(batch, 1)):
+                w = text.encode().lower().split() if text else []
+                parts.append(np.fromiter(map(numbers.__getitem__, w), np.uint32, len(w)))
+                parts.append(np.zeros(1, dtype=np.uint32))
+                ids.append(i)
+                learn.append(may)
+                lengths.append(len(w) + 1)
+                size += len(w) + 1
+                if size >= s.block_tokens:
+                    yield row()
+                    serial += 1
+                    ids, learn, lengths, parts, numbers, size = [], [], [], [], Numbers(), 0
+        if ids:
+            yield row()
+
+    return rows.select("_id_", "_text_", "_learn_").mapInArrow(run, f"ids array<{kept}>, {BLOCK}")
+
+
+class Block:
+    """A block's texts: at each place the hash of the word and of the sequences that end there, by level (words before it)."""
+
+    def __init__(self, row: dict, depth: int, bits: int):
+        self.lengths = unpacked(row["lengths"]).astype(np.int64)
+        self.learn = np.repeat(unpacked(row["learn"]).astype(bool), self.lengths)
+        self.start = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        word = unpacked(row["words"])[unpacked(row["tokens"]).astype(np.int64)]
+        level, keys, before = word, [word], word
+        for d in range(1, depth + 1):
+            before = np.concatenate(([START], before[:-1]))
+            first = self.start if d == 1 else (self.start[:, None] + np.arange(d))[np.arange(d) < self.lengths[:, None]]
+            before[first] = START  # places with fewer than d words before them
+            level = mixed(level * ODD[0] + before)
+            keys.append(level >> np.uint64(64 - bits))
+        self.keys = keys
+        self.unique = [np.unique(k, return_inverse=True) for k in keys]
+
+    def counted(self, d: int) -> np.ndarray:
+        """How often the learned texts of the block have each of its sequences of level d."""
+        return np.bincount(self.unique[d][1][self.learn], minlength=len(self.unique[d][0]))
+
+    def after(self, of_place: np.ndarray, at_start: float) -> np.ndarray:
+        """Values of the place before each; at_start at the first of a text."""
+        out = np.concatenate(([0], of_place[:-1]))
+        out[self.start] = at_start
+        return out
+
+
+def ranges(keys: np.ndarray, bits: int, range_bits: int) -> Iterator[tuple[int, slice]]:
+    """(range, part) of ascending hashes by their highest bits."""
+    which = (keys >> np.uint64(bits - range_bits)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(which)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
+        if a < b:
+            yield int(which[a]), slice(a, b)
+
+
+ASK = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+ASKED = "block bigint, level int, `range` bigint, keys binary, `values` binary"
+ANSWER = "block bigint, level int, `range` bigint, answer binary, own binary, distinct bigint"
+
+
+def merged(t: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What blocks ask about one range: the rows, their cuts, and the order, first places and sizes of equal hashes."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
+    keys = [unpacked_set(r["keys"]) for r in rows]
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(every[order]) != 0)))
+    return rows, np.cumsum([0, *map(len, keys)]), order, first, np.diff(first, append=len(every))
+
+
+def add_up(t: pa.Table) -> pa.Table:
+    """Each block's hashes answered with all blocks' counts; one block owns each sequence that was learned."""
+    rows, cut, order, first, size = merged(t)
+    counts = np.concatenate([unpacked(r["values"]) for r in rows])
+    total = np.add.reduceat(counts[order], first)
+    answer, own = np.zeros(len(order), dtype=np.uint64), np.zeros(len(order), dtype=bool)
+    answer[order] = np.repeat(total, size)
+    own[order[first]] = total > 0
+    out = [{"block": r["block"], "level": r["level"], "range": r["range"], "answer": packed(answer[a:b]), "own": np.packbits(own[a:b]).tobytes(), "distinct": int(own[a:b].sum())} for r, a, b in zip(rows, cut, cut[1:])]
+    return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int64()), ("answer", pa.binary()), ("own", pa.binary()), ("distinct", pa.int64())]))
+
+
+def answers(t: pa.Table, levels: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By level, what a block was answered in the order of its hashes, and which sequences it owns."""
+    found, own = [[] for _ in range(levels)], [[] for _ in range(levels)]
+    for r in sorted(t.to_pylist(), key=lambda r: (r["level"], r["range"])):
+        found[r["level"]].append(unpacked(r["answer"]))
+        own[r["level"]].append(np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(found[r["level"]][-1])).astype(bool))
+    return [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in found], [np.concatenate(x) if x else np.zeros(0, dtype=bool) for x in own]
 
 
 def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row; the model learns from rows where may_learn holds.
 
-    Tokens are a text's words and one end. The tree reads the words' characters, each word followed by a space. Word
-    counts are found without sending every token about: documents form blocks by a hash, each block's vocabulary is
-    counted, shuffled by word to get the corpus counts, and sent back to its block. A word that holds much of the corpus is thus
-    one row a block. NULL and empty texts are the end alone; repeated and NULL ids keep a row each (NULL ids aren't
-    learned from by the usual fold). With nothing to learn, N and V are 0 and all distributions uniform.
+    Tokens are a text's words and one end. Contexts begin anew with each text. Words are told apart by 64-bit
+    hashes, longer sequences by hashes with spare_bits more bits than the corpus has words. NULL and empty texts are
+    the end alone; repeated and NULL ids keep a row each (NULL ids aren't learned from by the usual fold). With nothing
+    to learn, N and V are 0 and the score is the base score. An empty table gives an empty result. A block holds at
+    least one text whole, so a task's memory follows block_tokens or the longest text.
     """
-    spark = docs.sparkSession
-    kept = docs.schema[doc_id]
+    spark, kept = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).alias("_id_"), F.col(text).cast("string").alias("_text_"), F.coalesce(may_learn, F.lit(False)).alias("_learn_"))
-    tree: Broadcast = spark.sparkContext.broadcast(learn(rows.where("_learn_"), "_text_", s))
-    n_blocks = max(1, -(-docs.count() // s.block_rows))
-    blocked = rows.withColumn("b", F.pmod(F.xxhash64("_id_", "_text_"), F.lit(n_blocks)).cast("int")).repartition("b")
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(b, w, n, d): a word of a block (NULL: the end) and how often the block's training texts hold it."""
-        seen: dict[int, tuple[Counter, Counter]] = {}
+    made = scratch.put(blocks(rows, s))
+    sums = made.agg(F.sum("n_tokens"), F.sum("n_learn"), F.sum("n_texts")).first()
+    total, n, n_texts = (x or 0 for x in sums)
+    bits = min(62, math.ceil(math.log2(total + 2)) + s.spare_bits)
+    range_bits = max(5, math.ceil(math.log2(max(1, total / s.range_tokens))))
+    widths = [64, *[bits] * s.depth]
+    held = made.drop("ids", "n_tokens", "n_learn", "n_texts")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, learned, t in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), texts(batch, 1)):
-                train, other = seen.setdefault(b, (Counter(), Counter()))
-                w = t.encode().lower().split() if t else []
-                (train if learned else other).update(w)
-                if learned:
-                    train[None] += 1
-        for b, (train, other) in seen.items():
-            found = [*train, *(other.keys() - train.keys())]
-            for i in range(0, len(found), 100_000):
-                part = found[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([train[w] for w in part], pa.int64())], names=["b", "w", "n"])
-
-    by_word = Window.partitionBy("w")
-    voc = blocked.mapInArrow(vocabulary, "b int, w binary, n bigint").withColumns({"c": F.sum("n").over(by_word), "first": F.row_number().over(by_word.orderBy("b"))})
-    totals = voc.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count(F.when((F.col("first") == 1) & (F.col("c") > 0), 1)).alias("V"))
+            for r in batch.to_pylist():
+                b = Block(r, s.depth, bits)
+                for d, (keys, _) in enumerate(b.unique):
+                    counts = b.counted(d)
+                    out = [{"block": r["block"], "level": d, "range": i, "keys": packed_set(keys[part]), "values": packed(counts[part])} for i, part in ranges(keys, widths[d], range_bits)]
+                    yield pa.RecordBatch.from_pylist(out, ASK)
+
+    counted = scratch.put(held.mapInArrow(ask, ASKED).groupBy("level", "range").applyInArrow(add_up, ANSWER))
+    v = counted.where("level = 0").agg(F.sum("distinct")).first()[0] or 0
+
+    def places(b: Block, found: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By level, the count of the sequence at each place, and of its context."""
+        count = [found[d][b.unique[d][1]].astype(np.float64) for d in range(s.depth + 1)]
+        return count, [np.full(len(count[0]), float(n)), *(b.after(count[d - 1], n_texts) for d in range(1, s.depth + 1))]
+
+    def diverge(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For each context of a block: how far the sequences that the block owns take it from its suffix, in nats times 2^20."""
+        if not left.num_rows:
+            return ASK.empty_table()
+        r = left.to_pylist()[0]
+        b = Block(r, s.depth, bits)
+        found, own = answers(right, s.depth + 1)
+        count, context = places(b, found)
+        inner = np.ones(len(b.learn), dtype=bool)
+        inner[b.start] = False
+        out = []
+        for d in range(1, s.depth + 1):
+            keys, inverse = b.unique[d - 1]
+            before = np.concatenate(([0], inverse[:-1]))  # the context's number
+            likely = inner & (context[d] >= s.least)
+            part = np.zeros(len(keys))
+            first = np.full(len(b.unique[d][0]), -1)
+            first[b.unique[d][1][likely][::-1]] = np.flatnonzero(likely)[::-1]
+            at = first[own[d] & (first >= 0)]  # one place of each sequence owned
+            c, of, shorter, of_shorter = count[d][at], context[d][at], count[d - 1][at], context[d - 1][at]
+            np.add.at(part, before[at], c * np.log(c / of * of_shorter / shorter))
+            asked = np.zeros(len(keys), dtype=bool)
+            asked[before[likely]] = True
+            which = np.flatnonzero(asked)
+            for i, cut in ranges(keys[which], widths[d - 1], range_bits):
+                signed = np.rint(part[which[cut]] * 2**20).astype(np.int64)
+                out.append({"block": r["block"], "level": d, "range": i, "keys": packed_set(keys[which][cut]), "values": packed(((signed << 1) ^ (signed >> 63)).view(np.uint64))})
+        return pa.Table.from_pylist(out, ASK)
+
+    def decide(t: pa.Table) -> pa.Table:
+        """Each block's contexts answered with whether they are states."""
+        rows, cut, order, first, size = merged(t)
+        z = np.concatenate([unpacked(r["values"]) for r in rows])
+        parts = (z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)
+        state = np.zeros(len(order), dtype=bool)
+        state[order] = np.repeat(np.add.reduceat(parts[order], first) >= int(s.divergence * 2**20), size)
+        out = [{"block": r["block"], "level": r["level"], "range": r["range"], "states": packed(state[a:b])} for r, a, b in zip(rows, cut, cut[1:])]
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int64()), ("states", pa.binary())]))
+
+    asked = held.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(diverge, ASKED)
+    states = asked.groupBy("level", "range").applyInArrow(decide, "block bigint, level int, `range` bigint, states binary")
+    replies = counted.select("block", "level", "range", "answer", "own", F.lit(None).cast("binary").alias("states")).union(states.select("block", "level", "range", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "states"))
+
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right.column("w").to_pylist(), right.column("c").to_pylist()))
-        end = counts.get(None, 0)
-        model = tree.value
-        if model.name not in TABLES:
-            TABLES.clear()
-            TABLES[model.name] = table_of(model)
-        parts = []
-        for batch in left.to_batches():
-            for at, some in groups(batch, batch.schema.get_field_index("_text_")):
-                n_tokens, n_known, logs = [], [], []
-                for t in some:
-                    w = t.encode().lower().split() if t else []
-                    c = np.fromiter(map(counts.__getitem__, w), np.int64, len(w))
-                    n_tokens.append(len(w) + 1)
-                    n_known.append(int(np.count_nonzero(c)) + (end > 0))
-                    logs.append(float(np.log10(c + 0.5).sum() + np.log10(end + 0.5)))
-                ids = batch.column(batch.schema.get_field_index("_id_")).slice(at, len(some))
-                parts.append(pa.RecordBatch.from_arrays([ids, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(tree_scores(some, model, TABLES[model.name]), pa.float64())], names=["_id_", "n_tokens", "n_known", "logs", "score"]))
-        return pa.Table.from_batches(parts)
-
-    ddl = f"_id_ {kept.dataType.simpleString()}, n_tokens bigint, n_known bigint, logs double, score double"
-    both = blocked.groupBy("b").cogroup(voc.select("b", "w", "c").groupBy("b")).applyInArrow(scored, ddl)
-    both = both.crossJoin(F.broadcast(totals))  # one row: two sums
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("N") + 0.5 * (F.col("V") + 1))
-    return both.select(F.col("_id_").alias(doc_id), "n_tokens", "n_known", F.col("N").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        r = left.to_pylist()[0]
+        b = Block(r, s.depth, bits)
+        told = right.column("states").is_valid()
+        found, _ = answers(right.filter(right.column("states").is_null()), s.depth + 1)
+        count, context = places(b, found)
+        p = (count[0] + 0.5) / (n + 0.5 * (v + 1))
+        base = np.log10(p)
+        decided = sorted(right.filter(told).to_pylist(), key=lambda x: (x["level"], x["range"]))
+        for d in range(1, s.depth + 1):
+            keys, inverse = b.unique[d - 1]
+            asked = np.zeros(len(keys), dtype=bool)
+            likely = context[d] >= s.least
+            likely[b.start] = False
+            asked[np.concatenate(([0], inverse[:-1]))[likely]] = True
+            state = np.zeros(len(keys), dtype=bool)
+            mine = [unpacked(x["states"]) for x in decided if x["level"] == d]
+            state[asked] = np.concatenate(mine).astype(bool) if mine else False
+            holds = b.after(state[inverse], d == 1 and n_texts > 0).astype(bool)
+            p = np.where(holds, (count[d] + s.prior * p) / (context[d] + s.prior), p)
+        by_text = lambda x: np.add.reduceat(x, b.start)
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(b.lengths), pa.array(by_text((count[0] > 0).astype(np.int64))), pa.array(by_text(base)), pa.array(by_text(np.log10(p)))], names=["_id_", "n_tokens", "n_known", "base_score", "score"])
+
+    whole = made.drop("n_tokens", "n_learn", "n_texts")
+    out = whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored, f"_id_ {kept}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.col("_id_").alias(doc_id), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

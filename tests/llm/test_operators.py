@@ -120,44 +120,70 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(empty(df)).count() == 0
 
 
-def tree_by_hand(text, tree):
-    """The score of a text, symbol by symbol, with the longest suffix that is a state."""
-    w = (text or "").translate(LOW)
-    s = "".join(x + " " for x in SPLIT.findall(w))
-    code = dict(zip(tree.alphabet.tolist(), tree.code.tolist())) | {32: 0}
-    syms = [code.get(ord(c), suffix_tree.OTHER) for c in s] + [suffix_tree.END]
-    rows, at = {}, 0
-    for length, states in enumerate(tree.levels):
-        for c in states.tolist():
-            rows[length, c] = at
-            at += 1
-    past, total = [suffix_tree.END] * (len(tree.levels) - 1), 0.0
-    for x in syms:
-        for length in range(len(tree.levels) - 1, -1, -1):
-            c = 0
-            for p in past[len(past) - length :]:
-                c = c << suffix_tree.BITS | p
-            if (length, c) in rows:
-                total += float(tree.log10[rows[length, c], x]) + (suffix_tree.SPELL if x == suffix_tree.OTHER else 0)
-                break
-        past = past[1:] + [x]
-    return total
-
-
-def test_suffix_tree_against_brute_force(spark, docs, texts):
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
-    count = collections.Counter()
-    for i, t in texts.items():
+def tree_by_hand(texts, held, s):
+    """(n_known, N, base score, score) of each text, from dictionaries of word sequences."""
+    words = {i: [*SPLIT.findall((t or "").translate(LOW)), None] for i, t in texts.items()}
+    count, after = [collections.Counter() for _ in range(s.depth + 1)], [collections.defaultdict(collections.Counter) for _ in range(s.depth + 1)]
+
+    def sequences(w):
+        padded = [0] * s.depth + w  # 0: the start
+        for i in range(len(w)):
+            yield [tuple(padded[i + s.depth - d : i + s.depth]) for d in range(s.depth + 1)], w[i]
+
+    for i, w in words.items():
         if not held[i]:
-            count.update([*SPLIT.findall((t or "").translate(LOW)), None])
-    n, v = sum(count.values()), len(count)
-    tree = suffix_tree.learn(docs.where(~in_fold(F.col("doc_id"), 5, 1)), "text")
-    assert np.allclose((10.0 ** tree.log10).sum(1), 1, atol=1e-4)
-    for r in queries.op5_lm_score(spark, SF).collect():
-        w = [*SPLIT.findall((texts[r.doc_id] or "").translate(LOW)), None]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(count[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, tree_by_hand(texts[r.doc_id], tree), rel_tol=1e-4)
+            for contexts, x in sequences(w):
+                for d, c in enumerate(contexts):
+                    count[d][c] += 1
+                    after[d][c][x] += 1
+    n, v = count[0][()], len(after[0][()])
+
+    def retained(d, c):
+        if all(x == 0 for x in c):
+            return d == 1
+        if count[d][c] < s.least:
+            return False
+        shorter = after[d - 1][c[1:]]
+        of = sum(shorter.values())
+        return sum(k * math.log(k / count[d][c] * of / shorter[x]) for x, k in after[d][c].items()) >= s.divergence
+
+    out = {}
+    for i, w in words.items():
+        base = score = 0.0
+        for contexts, x in sequences(w):
+            p = (after[0][()][x] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            for d in range(1, s.depth + 1):
+                c = contexts[d]
+                if retained(d, c):
+                    p = (after[d][c][x] + s.prior * p) / (count[d][c] + s.prior)
+            score += math.log10(p)
+        out[i] = (sum(after[0][()][x] > 0 for x in w), n, base, score, len(w))
+    return out
+
+
+@pytest.mark.parametrize("s", [suffix_tree.Settings(), suffix_tree.Settings(depth=2, block_tokens=3000, range_tokens=500, divergence=1.0, prior=2.0)])
+def test_suffix_tree_against_brute_force(spark, docs, texts, s):
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    want = tree_by_hand(texts, held, s)
+    got = suffix_tree.score(docs, queries.learnable(5, 1), s=s).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        known, n, base, score, length = want[r.doc_id]
+        assert (r.n_known, r.train_tokens, r.n_tokens) == (known, n, length)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6)
+
+
+def test_suffix_tree_on_held_out_and_repeated_texts(spark):
+    """Held-out texts are likelier than by words alone, and texts that the corpus holds twice stand out."""
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in queries.read(spark, d, "documents").collect()}
+    times = collections.Counter(texts.values())
+    rows = queries.op5_lm_score(spark, d).collect()
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
+    mean = lambda k: np.array([r.score / r.n_tokens for r in rows if not r.held_out and times[texts[r.doc_id]] == k and r.n_tokens > 30])
+    assert (mean(2) > np.quantile(mean(1), 0.9)).mean() > 0.5
 
 
 def test_suffix_tree_odd_inputs(odd):
