@@ -35,13 +35,13 @@ ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 3  # words of the longest contexts
+    depth: int = 2  # words of the longest contexts
     least: int = 2  # occurrences of a context, to be considered
     divergence: float = 4.0  # nats of its occurrences in all from the suffix's distribution, for a context to be retained
     prior: float = 10.0  # words' worth of weight of the suffix's distribution
     block_tokens: int = 1_500_000
     range_tokens: int = 4_000_000  # hashes that a task adds up
-    spare_bits: int = 20  # a sequence's hash has so many bits more than the corpus' number of words has: one in 2^20 collides
+    spare_bits: int = 14  # a sequence's hash has so many bits more than the corpus' number of words has: about one in 2^14 collides
 
 
 class Numbers(dict):
@@ -94,7 +94,10 @@ def blocks(rows: DataFrame, s: Settings) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             tokens, n, may = np.concatenate(parts), np.array(lengths), np.array(learn, dtype=bool)
-            values = [serial, packed(may), packed(n), packed(tokens), packed(word_hashes(list(numbers))), int(n.sum()), int(n[may].sum()), int(may.sum())]
+            frequent = np.argsort(-np.bincount(tokens, minlength=len(numbers) + 1), kind="stable")  # small numbers for frequent words pack better
+            number = np.empty(len(frequent), dtype=np.int64)
+            number[frequent] = np.arange(len(frequent))
+            values = [serial, packed(may), packed(n), packed(number[tokens]), packed(word_hashes(list(numbers))[frequent]), int(n.sum()), int(n[may].sum()), int(may.sum())]
             names = ["ids", *(x.split()[0] for x in BLOCK.split(", "))]
             types = [pa.binary() if x.endswith("binary") else pa.int64() for x in BLOCK.split(", ")]
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, kind)), *(pa.array([v], t) for v, t in zip(values, types))], names=names)
@@ -231,7 +234,7 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
         return count, [np.full(len(count[0]), float(n)), *(b.after(count[d - 1], n_texts) for d in range(1, s.depth + 1))]
 
     def diverge(left: pa.Table, right: pa.Table) -> pa.Table:
-        """For each context of a block: how far the sequences that the block owns take it from its suffix, in nats times 2^20."""
+        """For each context of a block: how far the sequences that the block owns take it from its suffix, in nats times 2^10."""
         if not left.num_rows:
             return ASK.empty_table()
         r = left.to_pylist()[0]
@@ -255,7 +258,7 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
             asked[before[likely]] = True
             which = np.flatnonzero(asked)
             for i, cut in ranges(keys[which], widths[d - 1], range_bits):
-                signed = np.rint(part[which[cut]] * 2**20).astype(np.int64)
+                signed = np.rint(part[which[cut]] * 2**10).astype(np.int64)
                 out.append({"block": r["block"], "level": d, "range": i, "keys": packed_set(keys[which][cut]), "values": packed(((signed << 1) ^ (signed >> 63)).view(np.uint64))})
         return pa.Table.from_pylist(out, ASK)
 
@@ -265,7 +268,7 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
         z = np.concatenate([unpacked(r["values"]) for r in rows])
         parts = (z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)
         state = np.zeros(len(order), dtype=bool)
-        state[order] = np.repeat(np.add.reduceat(parts[order], first) >= int(s.divergence * 2**20), size)
+        state[order] = np.repeat(np.add.reduceat(parts[order], first) >= int(s.divergence * 2**10), size)
         out = [{"block": r["block"], "level": r["level"], "range": r["range"], "states": packed(state[a:b])} for r, a, b in zip(rows, cut, cut[1:])]
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int64()), ("states", pa.binary())]))
 
