@@ -214,7 +214,7 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
     bits = min(62, math.ceil(math.log2(total + 2)) + s.spare_bits)
     range_bits = max(5, math.ceil(math.log2(max(1, total / s.range_tokens))))
     widths = [64, *[bits] * s.depth]
-    held = made.drop("ids", "n_tokens", "n_learn", "n_texts")
+    held = made.drop("n_tokens", "n_learn", "n_texts").groupBy("block")  # the same for both cogroups, so that it is shuffled once
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +225,7 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
                     out = [{"block": r["block"], "level": d, "range": i, "keys": packed_set(keys[part]), "values": packed(counts[part])} for i, part in ranges(keys, widths[d], range_bits)]
                     yield pa.RecordBatch.from_pylist(out, ASK)
 
-    counted = scratch.put(held.mapInArrow(ask, ASKED).groupBy("level", "range").applyInArrow(add_up, ANSWER))
+    counted = scratch.put(made.drop("ids", "n_tokens", "n_learn", "n_texts").mapInArrow(ask, ASKED).groupBy("level", "range").applyInArrow(add_up, ANSWER))
     v = counted.where("level = 0").agg(F.sum("distinct")).first()[0] or 0
 
     def places(b: Block, found: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -237,7 +237,7 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
         """For each context of a block: how far the sequences that the block owns take it from its suffix, in nats times 2^10."""
         if not left.num_rows:
             return ASK.empty_table()
-        r = left.to_pylist()[0]
+        r = left.drop_columns("ids").to_pylist()[0]
         b = Block(r, s.depth, bits)
         found, own = answers(right, s.depth + 1)
         count, context = places(b, found)
@@ -272,12 +272,12 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
         out = [{"block": r["block"], "level": r["level"], "range": r["range"], "states": packed(state[a:b])} for r, a, b in zip(rows, cut, cut[1:])]
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("level", pa.int32()), ("range", pa.int64()), ("states", pa.binary())]))
 
-    asked = held.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(diverge, ASKED)
+    asked = held.cogroup(counted.groupBy("block")).applyInArrow(diverge, ASKED)
     states = asked.groupBy("level", "range").applyInArrow(decide, "block bigint, level int, `range` bigint, states binary")
     replies = counted.select("block", "level", "range", "answer", "own", F.lit(None).cast("binary").alias("states")).union(states.select("block", "level", "range", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "states"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        r = left.to_pylist()[0]
+        r = left.drop_columns("ids").to_pylist()[0]
         b = Block(r, s.depth, bits)
         told = right.column("states").is_valid()
         found, _ = answers(right.filter(right.column("states").is_null()), s.depth + 1)
@@ -300,6 +300,6 @@ def score(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
         ids = left.column("ids").combine_chunks().flatten()
         return pa.table([ids, pa.array(b.lengths), pa.array(by_text((count[0] > 0).astype(np.int64))), pa.array(by_text(base)), pa.array(by_text(np.log10(p)))], names=["_id_", "n_tokens", "n_known", "base_score", "score"])
 
-    whole = made.drop("n_tokens", "n_learn", "n_texts")
-    out = whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored, f"_id_ {kept}, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = scratch.put(held.cogroup(replies.groupBy("block")).applyInArrow(scored, f"_id_ {kept}, n_tokens bigint, n_known bigint, base_score double, score double"))
+    scratch.drop(made, counted)
     return out.select(F.col("_id_").alias(doc_id), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -162,7 +162,7 @@ def tree_by_hand(texts, held, s):
     return out
 
 
-@pytest.mark.parametrize("s", [suffix_tree.Settings(), suffix_tree.Settings(depth=2, block_tokens=3000, range_tokens=500, divergence=1.0, prior=2.0)])
+@pytest.mark.parametrize("s", [suffix_tree.Settings(spare_bits=40), suffix_tree.Settings(spare_bits=40, depth=3, block_tokens=3000, range_tokens=500, divergence=1.0, prior=2.0)])
 def test_suffix_tree_against_brute_force(spark, docs, texts, s):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     want = tree_by_hand(texts, held, s)
