@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,3 +106,53 @@ def freshness_status(df: DataFrame, as_of: Column, stamp: str, warn: int = 2, er
 def coverage(df: DataFrame, key: str, value: str, least: float) -> DataFrame:
     """Keys whose share of non-NULL values is under `least`."""
     return df.groupBy(key).agg(F.avg(F.col(value).isNotNull().cast("double")).alias("coverage")).where(F.col("coverage") < least)
+
+
+def not_unique(df: DataFrame, column: str) -> DataFrame:
+    """Values that stand more than once; NULLs aren't values."""
+    return duplicates(df.where(F.col(column).isNotNull()), [column])
+
+
+def indicator_out_of_range(indicators: DataFrame) -> DataFrame:
+    """Rows whose oscillators leave 0..100, whose bands cross, or whose volatilities or volume ratio are negative."""
+    outside = lambda c: (F.col(c) < 0) | (F.col(c) > 100)
+    broken = [outside("rsi_14"), outside("stochastic_rsi_k"), outside("stochastic_rsi_d"), F.col("bollinger_upper_20d") < F.col("bollinger_lower_20d"), *(F.col(c) < 0 for c in ("volatility_20d", "historical_volatility_20d", "volume_ratio_20d"))]
+    return indicators.where(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in broken]))
+
+
+def universe_errors(universe: DataFrame, required: Sequence[str], unique: Sequence[str]) -> DataFrame:
+    """(column, value, problem): required values that are missing or blank, and ids that stand twice."""
+    lacking = [universe.where(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.lit("missing").alias("problem")) for c in required]
+    twice = [not_unique(universe, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.lit("not unique").alias("problem")) for c in unique]
+    return reduce(DataFrame.unionByName, [*lacking, *twice])
+
+
+def fill_from_close(bars: DataFrame) -> DataFrame:
+    """Open, high and low fall back to the close."""
+    return bars.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")})
+
+
+def clean_equity(raw: DataFrame, order: Column) -> DataFrame:
+    """As clean_market, but the last row of each (symbol, date) by `order` stays, no symbol may be negative, and dividends and splits fall back to 0."""
+    numbers = raw.withColumns({c: finite(F.expr(f"try_cast(`{c}` AS double)")) for c in PRICES}).withColumn("date", F.expr("try_cast(date AS date)"))
+    typed = numbers.withColumns({c: F.coalesce(F.expr(f"try_cast(`{c}` AS double)"), F.lit(0.0)) for c in ("dividends", "stock_splits") if c in raw.columns})
+    one = latest_per_key(typed.where("symbol IS NOT NULL AND date IS NOT NULL").withColumn("_order_", order), ["symbol", "date"], [F.desc("_order_")]).drop("_order_")
+    filled = one.where("close IS NOT NULL").withColumn("adjusted_close", F.coalesce("adjusted_close", "close"))
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    wide = filled.withColumns({"high": F.greatest(*prices), "low": F.least(*prices)})
+    return wide.where(F.least(*prices) > 0)
+
+
+def ticker_validation(universe: DataFrame, bars: DataFrame, least_rows: int = 1) -> DataFrame:
+    """For each symbol of the universe its rows with a close, first and last date, and whether that makes it usable."""
+    seen = bars.where("close IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return universe.select("symbol").distinct().join(seen, "symbol", "left").fillna(0, ["rows"]).withColumn("valid", F.col("rows") >= least_rows)
+
+
+def missing_by_year(panel: DataFrame, value: str, key: str = "symbol") -> DataFrame:
+    return panel.groupBy(key, F.year("date").alias("year")).agg(F.count_if(F.col(value).isNull()).alias("missing"))
+
+
+def after(df: DataFrame, as_of: Column, date: str = "date") -> DataFrame:
+    """Rows dated after as_of."""
+    return df.where(F.col(date) > as_of)

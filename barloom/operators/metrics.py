@@ -34,7 +34,7 @@ def strategy_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "
     out = down.groupBy(*keys).agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("days"), F.max_by("cumulative_return", "date").alias("cumulative_return"), held.alias("buy_hold_cumulative_return"),
         (F.stddev_samp(r) * F.sqrt(F.lit(DAYS))).alias("annualized_volatility"), sharpe(r).alias("sharpe_ratio"), sortino(r).alias("sortino_ratio"), F.min("drawdown").alias("max_drawdown"),
-        divide(F.count_if(r > 0), F.count_if(r != 0)).alias("win_rate"), divide(F.sum(F.when(r > 0, r)), -F.sum(F.when(r < 0, r))).alias("profit_factor"), F.avg(F.abs("executed_position").cast("double")).alias("exposure"),
+        divide(F.count_if(r > 0), F.count_if(r != 0)).alias("win_rate"), divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r))).alias("profit_factor"), F.avg(F.abs("executed_position").cast("double")).alias("exposure"),
     )
     out = out.withColumn("annualized_return", F.pow(F.greatest(1 + F.col("cumulative_return"), F.lit(1e-6)), F.lit(DAYS) / F.col("days")) - 1)
     return out.withColumn("calmar_ratio", divide(F.col("annualized_return"), F.abs("max_drawdown")))
@@ -90,12 +90,16 @@ def average_rank_score(metrics: DataFrame, within: Sequence[str]) -> DataFrame:
 
 
 def filter_contribution(metrics: DataFrame, with_filter: str, without: str, keys: Sequence[str]) -> DataFrame:
-    """What a filter adds to a rule, by conditional aggregation: one scan instead of a self-join. Keys that lack either rule are left out."""
+    """What a filter adds to a rule, by conditional aggregation: one scan instead of a self-join. Keys that lack either rule are left out.
+
+    It adds value if the return is higher and neither the Sharpe ratio nor the drawdown is worse; NULL where one is unknown.
+    """
     of = lambda c, s: F.max(F.when(F.col("strategy_name") == s, F.col(c)))
     out = metrics.where(F.col("strategy_name").isin(with_filter, without)).groupBy(*keys).agg(F.count_distinct("strategy_name").alias("n"), *(e.alias(f"{c}_{k}") for c in ("cumulative_return", "sharpe_ratio", "max_drawdown") for k, e in (("with", of(c, with_filter)), ("without", of(c, without)))))
     out = out.where("n = 2").drop("n")
-    delta = lambda c: F.col(f"{c}_with") - F.col(f"{c}_without")
-    return out.withColumns({"return_delta": delta("cumulative_return"), "sharpe_delta": delta("sharpe_ratio"), "drawdown_delta": delta("max_drawdown")}).withColumn("adds_value", F.col("return_delta") > 0)
+    delta = lambda c: F.round(F.col(f"{c}_with") - F.col(f"{c}_without"), 9)  # noqa: E731  equal ones stay equal in any order of addition
+    out = out.withColumns({"return_delta": delta("cumulative_return"), "sharpe_delta": delta("sharpe_ratio"), "drawdown_delta": delta("max_drawdown")})
+    return out.withColumn("adds_value", (F.col("return_delta") > 0) & (F.col("sharpe_delta") >= 0) & (F.col("drawdown_delta") >= 0))
 
 
 def summarise(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,5 +157,13 @@ def rolling_relative(levels: DataFrame, index: DataFrame, n: int = 252) -> DataF
     return own.join(of, "date").select("symbol", "date", (F.col("own") - F.col("of_index")).alias("relative_return")).where("relative_return IS NOT NULL")
 
 
-def win_flag(c: Column) -> Column:
-    return flag(c > 0)
+def ranking(df: DataFrame, by: Sequence[str], ties: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Rows by some columns descending, NULLs last, ties by others ascending; the first `limit` of them if given."""
+    out = df.orderBy(*(F.desc_nulls_last(c) for c in by), *(F.asc(c) for c in ties))
+    return out.limit(limit) if limit is not None else out
+
+
+def best_by(metrics: DataFrame, key: str, column: str, name: str = "strategy_name") -> DataFrame:
+    """The name with the highest value for each key, the least name among equals; NULL values never win."""
+    top = F.min_by(name, F.struct((-F.col(column)).alias("v"), F.col(name).alias("n")))
+    return metrics.where(F.col(column).isNotNull()).groupBy(key).agg(top.alias(f"best_{column}"))

@@ -11,18 +11,66 @@ from barloom.functions import text as tx
 from barloom.operators.windows import series
 
 
-def relevance(articles: DataFrame, topics: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """Similarity of each article vector to each topic. Topics are a small dimension (a row each), checked before it is broadcast."""
-    n = topics.count()
-    small = F.broadcast(topics) if n <= 10_000 else topics
-    pairs = articles.crossJoin(small)
+def relevance(articles: DataFrame, topics: DataFrame, threshold: float = 0.35, most_bytes: int = 64 << 20) -> DataFrame:
+    """Similarity of each article vector to each topic's. Topics are a reference dimension: all pairs are the result itself, and topics of over most_bytes raise."""
+    size = topics.agg(F.sum(F.size("topic") * 8)).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of topic vectors; at most {most_bytes} are sent to the tasks")
+    pairs = articles.crossJoin(F.broadcast(topics))  # checked above
     return pairs.select("article_id", F.col("topic_id"), tx.cosine(F.col("embedding"), F.col("topic")).alias("similarity_score")).withColumn("is_relevant", F.col("similarity_score") >= threshold)
 
 
+def article_signals(relevance: DataFrame, news: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """Relevant articles with source weight, themes, freshness and the components of the daily features.
+
+    Only articles that all three tables have. Freshness is counted to the article's own date, so it is 1 unless `news` has another `as_of`.
+    """
+    as_of = F.col("as_of") if "as_of" in news.columns else F.col("date")
+    about = news.select("article_id", "date", "published_at", as_of.alias("_as_of_"), tx.source_weight(F.col("quality"), F.col("priority")).alias("source_weight"), *(c.alias(n) for n, c in tx.theme_scores(F.col("category"), F.col("title"), F.col("summary"), F.col("clean_text")).items()))
+    s = relevance.where("is_relevant").join(about, "article_id").join(sentiment.select("article_id", "sentiment_score", "novelty_score"), "article_id")
+    s = s.withColumn("freshness_score", F.coalesce(tx.freshness(F.col("published_at"), F.col("_as_of_")), F.lit(1.0))).drop("_as_of_")
+    s = s.withColumn("signal_weight", F.col("similarity_score") * F.col("source_weight") * F.col("freshness_score") * F.least(F.greatest("novelty_score", F.lit(0.0)), F.lit(1.0)))
+    s = s.withColumns({"weighted_sentiment_component": F.col("sentiment_score") * F.col("signal_weight"), "pressure_component": F.abs("sentiment_score") * F.col("signal_weight")})
+    return s.withColumns({f"{out}_component": F.col("pressure_component") * F.col(f"{theme}_theme_score") for out, theme in (("geopolitical_risk", "geopolitical"), ("supply_shock", "supply"), ("weather_risk", "weather"))})
+
+
+FEATURES = ("news_volume", "relevant_news_volume", "weighted_sentiment_score", "avg_relevance_score", "avg_novelty_score", "sentiment_dispersion", "freshness_score", "source_weight", "news_pressure_score", "geopolitical_risk_score", "supply_shock_score", "weather_risk_score")
+
+
 def daily_features(signals: DataFrame) -> DataFrame:
-    """By topic and date: counts, similarity-weighted sentiment, means, dispersion (0 where undefined)."""
-    s, w = F.col("sentiment_score"), F.col("weight")
-    return signals.groupBy("topic_id", "date").agg(F.count_distinct("article_id").alias("news_volume"), F.count_distinct(F.when(F.col("is_relevant"), F.col("article_id"))).alias("relevant_news_volume"), F.coalesce(F.try_divide(F.sum(s * w), F.sum(w)), F.lit(0.0)).alias("weighted_sentiment_score"), F.avg("similarity_score").alias("avg_relevance_score"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sentiment_dispersion"), F.sum(s * w).alias("news_pressure_score"))
+    """By topic and date: article counts, weighted sentiment, means, dispersion and the sums of pressure and risks; 0 where undefined. Rows without a date are left out."""
+    mean, total = (lambda c: F.avg(c)), (lambda c: F.sum(c))
+    w = F.sum("signal_weight")
+    return signals.where("date IS NOT NULL").groupBy("topic_id", "date").agg(
+        F.count_distinct("article_id").alias("news_volume"), F.count_distinct("article_id").alias("relevant_news_volume"), F.coalesce(F.try_divide(total("weighted_sentiment_component"), w), F.lit(0.0)).alias("weighted_sentiment_score"),
+        mean("similarity_score").alias("avg_relevance_score"), mean("novelty_score").alias("avg_novelty_score"), F.coalesce(F.stddev_samp("sentiment_score"), F.lit(0.0)).alias("sentiment_dispersion"),
+        mean("freshness_score").alias("freshness_score"), mean("source_weight").alias("source_weight"), total("pressure_component").alias("news_pressure_score"),
+        total("geopolitical_risk_component").alias("geopolitical_risk_score"), total("supply_shock_component").alias("supply_shock_score"), total("weather_risk_component").alias("weather_risk_score"),
+    )
+
+
+def news_features(signals: DataFrame, window: int = 20) -> DataFrame:
+    """The daily features on a dense grid of topics and days, with surprise and acceleration of the volume."""
+    grid = dense(daily_features(signals), ["topic_id"], FEATURES)
+    return acceleration(surprise(grid, "news_volume", ["topic_id"], window), "news_volume", ["topic_id"])
+
+
+def with_news(indicators: DataFrame, features: DataFrame, key: str = "symbol") -> DataFrame:
+    """Indicators with the features of their symbol and date, 0 where there are none."""
+    columns = [c for c in features.columns if c not in ("topic_id", "date")]
+    of = features.withColumnRenamed("topic_id", key)
+    return indicators.join(of.select(key, "date", *columns), [key, "date"], "left").fillna(0, columns)
+
+
+def article_relevance(relevance: DataFrame, news: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """Relevance rows with what is known of their articles and sentiment; NULL where nothing is."""
+    about = news.select("article_id", F.col("date").alias("published_date"), "source_id", "title")
+    return relevance.join(about, "article_id", "left").join(sentiment.select("article_id", "sentiment_score", "novelty_score"), "article_id", "left")
+
+
+def pending(articles: DataFrame, done: DataFrame) -> DataFrame:
+    """Ids of articles that `done` lacks, each once."""
+    return articles.select("article_id").join(done, "article_id", "left_anti").distinct()
 
 
 def dense(features: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -44,19 +92,21 @@ def acceleration(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("news_acceleration", F.coalesce(x - F.lag(x).over(series(*keys)), F.lit(0.0)))
 
 
-def novelty(articles: DataFrame, days: int = 3, copies_only: bool = False) -> DataFrame:
+def novelty(articles: DataFrame, days: int = 20) -> DataFrame:
     """1 less the largest Jaccard similarity of tokens to an article of the `days` days before (by date, then id).
 
-    Token sets meet through their tokens, bounded in time, and shared tokens are counted; texts are never compared pairwise.
+    Equal token sets are one set, with the dates on which it appears, so copies are never paired. Sets meet through
+    their tokens and shared tokens are counted.
     """
-    rows = articles.select("article_id", "published", F.array_distinct(tx.tokens(F.col("clean_text"))).alias("t")).withColumn("n", F.size("t"))
-    words = rows.select("article_id", "published", "n", F.explode("t").alias("token"))
-    a, b = words.alias("a"), words.alias("b")
-    near = F.col("b.published").between(F.date_sub("a.published", days), F.col("a.published")) & ((F.col("b.published") < F.col("a.published")) | (F.col("b.article_id") < F.col("a.article_id")))
-    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & near).groupBy(F.col("a.article_id").alias("article_id"), F.col("b.article_id").alias("other"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
-    best = shared.groupBy("article_id").agg(F.max(F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("s"))
-    return rows.select("article_id").join(best, "article_id", "left").select("article_id", (1 - F.coalesce("s", F.lit(0.0))).alias("novelty_score"))
-
-
-def ranked(features: DataFrame, column: str, by: str) -> DataFrame:
-    return features.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(column), "topic_id")))
+    rows = articles.select("article_id", "published", F.array_sort(tx.tokens(F.col("clean_text"))).alias("t")).withColumn("set", F.xxhash64("t"))
+    first = F.struct("published", "article_id")
+    days_of = rows.groupBy("set", "published").agg(F.min("article_id").alias("least"))
+    copy_before = rows.withColumn("_before_", F.lag(first).over(Window.partitionBy("set").orderBy("published", "article_id"))).select("article_id", "set", "published", (F.col("_before_.published") >= F.date_sub("published", days)).alias("is_copy"), F.size("t").alias("n"))
+    sets = rows.groupBy("set").agg(F.first("t").alias("t")).select("set", F.size("t").alias("n"), F.explode("t").alias("token"))
+    timed = sets.join(days_of, "set")
+    a, b = timed.alias("a"), timed.alias("b")
+    near = F.col("b.published").between(F.date_sub("a.published", days), F.col("a.published")) & (F.col("a.set") != F.col("b.set"))
+    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & near).groupBy(F.col("a.set").alias("set"), F.col("a.published").alias("published"), F.col("b.set").alias("other"), F.col("b.published").alias("then"), F.col("b.least").alias("least"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
+    alike = shared.select("set", "published", "then", "least", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("s"))
+    best = copy_before.join(alike, ["set", "published"], "left").where("then IS NULL OR then < published OR least < article_id").groupBy("article_id").agg(F.max("s").alias("s"))
+    return copy_before.join(best, "article_id", "left").select("article_id", (1 - F.when(F.coalesce("is_copy", F.lit(False)) & (F.col("n") > 0), F.lit(1.0)).otherwise(F.coalesce("s", F.lit(0.0)))).alias("novelty_score"))

@@ -30,11 +30,12 @@ def moving_average_stoch_rsi() -> Column:
     return flag((F.col("sma_20") >= F.col("sma_50")) & (F.col("stochastic_rsi_k") >= K_LEAST) & (F.col("stochastic_rsi_d") <= D_MOST))
 
 
-def technical_news_filter() -> Column:
-    """Missing news is neutral."""
+def technical_news_filter(missing_rsi: float | None = 50.0) -> Column:
+    """A trend that the news doesn't contradict. Missing news is neutral; a missing RSI counts as missing_rsi, or fails if that is None."""
     news = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    trend = (F.col("close") > F.col("sma_20")) & (F.col("sma_20") >= F.col("sma_50")) & F.col("rsi_14").between(RSI_LEAST, RSI_MOST)
-    calm = (news("weighted_sentiment_score") >= SENTIMENT_LEAST) & (news("geopolitical_risk_score") < RISK_MOST) & (news("supply_shock_score") < RISK_MOST) & (news("weather_risk_score") < RISK_MOST)
+    rsi = F.col("rsi_14") if missing_rsi is None else F.coalesce("rsi_14", F.lit(missing_rsi))
+    trend = (F.col("close") > F.col("sma_20")) & (F.col("sma_20") >= F.col("sma_50")) & rsi.between(RSI_LEAST, RSI_MOST)
+    calm = (news("weighted_sentiment_score") >= SENTIMENT_LEAST) & (news("geopolitical_risk_score") < RISK_MOST) & (news("supply_shock_score") < RISK_MOST)
     return flag(trend & calm)
 
 
@@ -46,7 +47,7 @@ def breakout_state(bars: DataFrame) -> DataFrame:
     out = bars.withColumns({"_in_": F.max(F.when(enter, F.col("date"))).over(run), "_out_": F.max(F.when(leave, F.col("date"))).over(run)})
     held = F.col("_in_").isNotNull() & (F.col("_out_").isNull() | (F.col("_in_") > F.col("_out_")))
     out = out.withColumn("breakout", flag(held)).withColumn("_was_", F.lag("breakout", 1, 0).over(w))
-    reason = F.when((F.col("breakout") == 1) & (F.col("_was_") == 0), "entry_breaks_previous_high").when((F.col("breakout") == 0) & (F.col("_was_") == 1), "exit_breaks_previous_low").when(F.col("breakout") == 1, "hold").otherwise("flat")
+    reason = F.when((F.col("_was_") == 1) & leave, "exit_breaks_previous_low").when(enter, "entry_breaks_previous_high").when(F.col("breakout") == 1, "hold_after_breakout").otherwise("flat_no_breakout")
     return out.withColumn("breakout_reason", reason).drop("_in_", "_out_", "_was_")
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import text as tx
-from barloom.operators import cleaning, news
+from barloom.operators import cleaning, news, portfolio
+from barloom.plans import story
 from barloom.plans.market import query
+from barloom.plans.story import STORY
 from barloom.sources import adapters
 
 ART = """WITH art AS (SELECT doc_id AS article_id, text AS clean_text, source AS source_id, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS published, 1 + doc_id % 5 AS priority,
-  CASE doc_id % 5 WHEN 0 THEN 1.2 WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.5 ELSE 0.75 END::DOUBLE AS base FROM documents)"""
+  CASE doc_id % 5 WHEN 0 THEN 1.2 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.5 ELSE 0.75 END::DOUBLE AS base FROM documents)"""
 
 
 @query("TXT3_sha256_ids", "SELECT doc_id AS article_id, sha256(source || '|' || coalesce(text, '')) AS content_hash FROM documents")
@@ -27,14 +29,15 @@ def hits(terms: tuple[str, ...]) -> str:
     return " + ".join(f"contains(lower(clean_text), '{t}')::INT" for t in terms)
 
 
-@query("TXT9_lexicon_sentiment", ART + f", h AS (SELECT article_id, ({hits(tx.POSITIVE)})::DOUBLE AS p, ({hits(tx.NEGATIVE)})::DOUBLE AS n FROM art) SELECT article_id, round(p / (p + n + 1), 6) AS positive, round(1 / (p + n + 1), 6) AS neutral, round(n / (p + n + 1), 6) AS negative FROM h")
+@query("TXT9_lexicon_sentiment", ART + f""", h AS (SELECT article_id, {hits(("ing", "the ", "er"))} AS p, {hits(("and", "tion", "ess"))} AS n FROM art)
+SELECT article_id, CASE WHEN p > n THEN 0.7 WHEN n > p THEN 0.1 ELSE 0.2 END::DOUBLE AS positive, CASE WHEN p <> n THEN 0.2 ELSE 0.6 END::DOUBLE AS neutral, CASE WHEN p > n THEN 0.1 WHEN n > p THEN 0.7 ELSE 0.2 END::DOUBLE AS negative FROM h""")
 def _(s, d):
-    return adapters.articles(s, d).select("article_id", tx.lexicon_sentiment(F.col("clean_text")).alias("x")).select("article_id", "x.*")
+    return adapters.articles(s, d).select("article_id", tx.lexicon_sentiment(F.col("clean_text"), ("ing", "the ", "er"), ("and", "tion", "ess")).alias("x")).select("article_id", "x.*")
 
 
-@query("TXT12_source_weight", ART + " SELECT article_id, round(base * greatest(0.5, 1.2 - 0.1 * (priority - 1)), 6) AS weight FROM art")
+@query("TXT12_source_weight", "WITH " + STORY + " SELECT article_id, round(source_weight, 6) AS weight FROM story")
 def _(s, d):
-    return adapters.articles(s, d).select("article_id", tx.source_weight(F.col("quality"), F.col("priority")).alias("weight"))
+    return adapters.stories(s, d).select("article_id", tx.source_weight(F.col("quality"), F.col("priority")).alias("weight"))
 
 
 @query("TXT13_freshness", ART + " SELECT article_id, round(1.0 / (1 + greatest(DATE '2024-02-15' - published, 0)), 6) AS freshness FROM art")
@@ -43,16 +46,15 @@ def _(s, d):
 
 
 @query("TXT8_novelty", ART + """, t AS (SELECT article_id, published, unnest(list_distinct(list_transform(regexp_extract_all(clean_text, '[a-zA-Z][a-zA-Z0-9_+-]{2,}'), lambda x: lower(x)))) AS token FROM art), n AS (SELECT article_id, count(*) AS n FROM t GROUP BY 1),
-k AS (SELECT a.article_id, b.article_id AS other, count(*) AS k FROM t a JOIN t b ON a.token = b.token AND b.published BETWEEN a.published - 1 AND a.published AND (b.published < a.published OR b.article_id < a.article_id) GROUP BY 1, 2)
+k AS (SELECT a.article_id, b.article_id AS other, count(*) AS k FROM t a JOIN t b ON a.token = b.token AND b.published BETWEEN a.published - 20 AND a.published AND (b.published < a.published OR b.article_id < a.article_id) GROUP BY 1, 2)
 SELECT art.article_id, round(1 - coalesce(max(k / (na.n + nb.n - k)), 0), 6) AS novelty_score FROM art LEFT JOIN k USING (article_id) LEFT JOIN n na ON na.article_id = art.article_id LEFT JOIN n nb ON nb.article_id = k.other GROUP BY 1""")
 def _(s, d):
-    return news.novelty(adapters.articles(s, d), 1)
+    return news.novelty(adapters.articles(s, d), 20)
 
 
-@query("VEC3_relevance")
+@query("VEC3_relevance", "WITH " + STORY + " SELECT article_id, topic_id, round(similarity_score, 6) + 0.0 AS similarity_score, similarity_score >= " + str(story.THRESHOLD) + " AS is_relevant FROM rel")
 def _(s, d):
-    topics = adapters.topic_vectors(s, d).withColumnRenamed("label", "topic_id")
-    return news.relevance(adapters.vectors(s, d).select("article_id", "embedding"), topics)
+    return story.relevance(s, d)
 
 
 @query("DQ2_no_duplicate_articles", "SELECT sha256(text) AS content_hash, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -90,10 +92,9 @@ def _(s, d):
     return news.dense(counted, ["source_id"], ["articles"]).select("source_id", "date", F.col("articles").cast("long").alias("articles"))
 
 
-@query("JN12_pending_articles", "SELECT DISTINCT doc_id AS article_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL AND label = 1)")
+@query("JN12_pending_articles", "SELECT DISTINCT doc_id AS article_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)")
 def _(s, d):
-    done = adapters.vectors(s, d).where("label = 1").select("article_id")
-    return adapters.articles(s, d).select("article_id").join(done, "article_id", "left_anti").distinct()
+    return news.pending(adapters.articles(s, d), adapters.vectors(s, d).select("article_id"))
 
 
 @query("AGG22_quantities", "SELECT count(DISTINCT source)::BIGINT AS feeds, count(DISTINCT lang)::BIGINT AS languages, count(*)::BIGINT AS articles FROM documents")
@@ -112,15 +113,78 @@ def _(s, d):
     return cleaning.nulls(adapters.read(s, d, "documents").select("doc_id", "lang"), "lang")
 
 
-@query("JN13_restrict_to_dates", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity = 50)")
+@query("JN13_restrict_to_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem)")
 def _(s, d):
-    shipped = adapters.read(s, d, "lineitem").where("l_quantity = 50").select(F.to_date("l_shipdate").alias("date"))
-    return adapters.read(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).join(shipped, "date", "left_semi").distinct()
+    shipped = adapters.read(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return portfolio.restricted(adapters.read(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), shipped)
 
 
-@query("JN20_null_safe_upsert", """WITH s AS (SELECT source, lang, max(n_chars)::BIGINT AS longest FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2), t AS (SELECT source, lang, max(n_chars)::BIGINT AS longest FROM documents GROUP BY 1, 2)
+@query("JN20_null_safe_upsert", """WITH s AS (SELECT source, lang, max(n_chars)::BIGINT AS longest FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1, 2), t AS (SELECT source, lang, max(n_chars)::BIGINT AS longest FROM documents GROUP BY 1, 2)
 SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source IS NOT DISTINCT FROM t.source AND s.lang IS NOT DISTINCT FROM t.lang)""")
 def _(s, d):
     longest = lambda df: df.groupBy("source", "lang").agg(F.max("n_chars").cast("long").alias("longest"))
     docs = adapters.read(s, d, "documents")
-    return cleaning.upsert(longest(docs), longest(docs.where("doc_id % 2 = 0")), ["source", "lang"])
+    good = docs.join(adapters.read(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    return cleaning.upsert(longest(docs), longest(good), ["source", "lang"])
+
+
+# ---- the chain from articles to daily features
+
+COMPONENTS = "source_weight signal_weight weighted_sentiment_component pressure_component"
+
+
+@query("JN9_article_signals", "WITH " + STORY + f" SELECT topic_id, article_id, date, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in COMPONENTS.split())}, round(pressure_component * u, 6) + 0.0 AS supply_shock_component FROM sgn")
+def _(s, d):
+    return story.signals(s, d).select("topic_id", "article_id", "date", *COMPONENTS.split(), "supply_shock_component")
+
+
+@query("TXT6_theme_scores", "WITH " + STORY + " SELECT article_id, round(geopolitical_theme_score, 6) AS geopolitical_theme_score, round(supply_theme_score, 6) AS supply_theme_score, round(weather_theme_score, 6) AS weather_theme_score FROM story")
+def _(s, d):
+    a = adapters.stories(s, d)
+    return a.select("article_id", *(c.alias(n) for n, c in tx.theme_scores(F.col("category"), F.col("title"), F.col("summary"), F.col("clean_text")).items()))
+
+
+FEATURE_SQL = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in news.FEATURES[2:])
+
+
+@query("AGG8_daily_news_features", "WITH " + STORY + f" SELECT topic_id, date, news_volume::BIGINT AS news_volume, news_volume::BIGINT AS relevant_news_volume, {FEATURE_SQL} FROM feat0")
+def _(s, d):
+    return news.daily_features(story.signals(s, d))
+
+
+@query("WIN25_news_surprise", "WITH " + STORY + " SELECT topic_id, date, round(news_surprise, 6) + 0.0 AS news_surprise FROM feat")
+def _(s, d):
+    return story.features(s, d).select("topic_id", "date", "news_surprise")
+
+
+@query("WIN26_news_acceleration", "WITH " + STORY + f" SELECT topic_id, date, news_volume::BIGINT AS news_volume, news_acceleration, {FEATURE_SQL} FROM feat")
+def _(s, d):
+    return story.features(s, d).drop("relevant_news_volume", "news_surprise")
+
+
+@query("JN1_article_relevance", "WITH " + STORY + " SELECT r.article_id, topic_id, s.date AS published_date, s.source_id, s.title, round(similarity_score, 6) + 0.0 AS similarity_score, similarity_score >= " + str(story.THRESHOLD) + " AS is_relevant, round(sentiment_score, 6) + 0.0 AS sentiment_score, round(novelty_score, 6) AS novelty_score FROM rel r LEFT JOIN story s USING (article_id) LEFT JOIN feel f USING (article_id)")
+def _(s, d):
+    return news.article_relevance(story.relevance(s, d), adapters.stories(s, d), adapters.story_sentiment(s, d))
+
+
+@query("TXT10_normalised_scores", """WITH x AS (SELECT doc_id AS article_id, (doc_id * 37 % 100) / 100.0::DOUBLE AS p, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (doc_id * 53 % 100) / 100.0::DOUBLE END AS n, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE (doc_id % 10) / 20.0::DOUBLE END AS u FROM documents),
+y AS (SELECT *, CASE WHEN (p > 0)::INT + (n > 0)::INT + (u > 0)::INT = 1 AND p + n + u < 1 THEN 1 - p - n - u ELSE 0 END AS rest FROM x), z AS (SELECT article_id, p + CASE WHEN p > 0 OR n > 0 THEN 0 ELSE rest / 2 END AS p, n + CASE WHEN p > 0 OR n > 0 THEN 0 ELSE rest / 2 END AS n, u + CASE WHEN p > 0 OR n > 0 THEN rest ELSE 0 END AS u FROM y)
+SELECT article_id, round(CASE WHEN p + n + u > 0 THEN p / (p + n + u) ELSE p END, 6) AS positive, round(CASE WHEN p + n + u > 0 THEN u / (p + n + u) ELSE u END, 6) AS neutral, round(CASE WHEN p + n + u > 0 THEN n / (p + n + u) ELSE n END, 6) AS negative,
+  round(CASE WHEN p + n + u > 0 THEN (p - n) / (p + n + u) ELSE p - n END, 6) + 0.0 AS sentiment_score FROM z""")
+def _(s, d):
+    i = F.col("doc_id")
+    item = lambda label, v: F.struct(F.lit(label).alias("label"), v.cast("double").alias("score"))
+    scores = F.array(item("POSITIVE", (i * 37 % 100) / 100), item("label_negative", F.when(i % 3 == 0, 0.0).otherwise((i * 53 % 100) / 100)), item("Neutral", F.when(i % 4 < 2, 0.0).otherwise((i % 10) / 20)))
+    out = adapters.read(s, d, "documents").select(i.alias("article_id"), tx.normalised_scores(scores).alias("x")).select("article_id", "x.*")
+    return out.withColumn("sentiment_score", F.col("positive") - F.col("negative"))
+
+
+@query("VEC1_embedding_json", "SELECT vec_id AS article_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) + 0.0 AS total, len(embedding)::BIGINT AS embedding_dimension FROM embeddings")
+def _(s, d):
+    back = adapters.vectors(s, d).select("article_id", tx.vector_from_json(tx.vector_json(F.col("embedding"))).alias("v"))
+    return back.select("article_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("v").alias("embedding_dimension"))
+
+
+@query("TXT15_description", "SELECT p_partkey, concat_ws('. ', nullif(p_name, ''), nullif(p_brand, ''), nullif(p_type, ''), 'Symbol ' || p_partkey) AS description FROM part")
+def _(s, d):
+    return adapters.read(s, d, "part").select("p_partkey", tx.description(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.concat(F.lit("Symbol "), F.col("p_partkey").cast("string"))).alias("description"))

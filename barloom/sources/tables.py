@@ -1,4 +1,4 @@
-"""Reading and writing stored tables: scans, snapshots, incremental windows, upserts."""
+"""Reading and writing stored tables: scans, snapshots, incremental windows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.operators.cleaning import align, upsert
+from barloom.operators.cleaning import align
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] = (), where: Column | str | None = None) -> DataFrame:
@@ -46,17 +46,6 @@ def truncate(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
-def merge(spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:
-    """Upserts into a partitioned table: only the partitions that source touches are read, merged and replaced.
-
-    The merged rows are checkpointed first, since the files that they come from are the ones replaced.
-    """
-    touched = [r[0] for r in source.select(partition).distinct().collect()]  # partition values, not rows
-    target = spark.read.parquet(path).where(F.col(partition).isin(touched)).select(*source.columns)
-    merged = upsert(target, source, keys).checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
 
@@ -84,5 +73,6 @@ def parse_feed(spark: SparkSession, path: str) -> DataFrame:
     """RSS items as article rows, read by Spark's XML source; the first date that parses counts."""
     raw = spark.read.format("xml").option("rowTag", "item").load(path)
     col = lambda c: F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
-    when = F.coalesce(*(F.try_to_timestamp(F.regexp_replace(col(c), r"^\w{3},\s*|\s+(GMT|UTC)$", ""), F.lit("d MMM yyyy HH:mm:ss")) for c in ("pubDate", "updated", "created")))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(col(c), r"^\w{3},\s*", ""), r"\s+(GMT|UTC|Z)$", " +0000")
+    when = F.coalesce(*(F.try_to_timestamp(bare(c), F.lit(f)) for c in ("pubDate", "updated", "created") for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss")))
     return raw.select(col("title").alias("title"), col("link").alias("url"), col("description").alias("summary"), when.alias("published_at"))
