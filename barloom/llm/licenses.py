@@ -7,9 +7,10 @@ chained in template order into covered spans.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 
@@ -122,9 +123,9 @@ def chain(matches: list[tuple[int, int, int, int]], gap: int) -> list[list[int]]
     return [c[:5] for c in [*out, *open_.values()]]
 
 
-def scanner(least: int, gap: int, cover: float) -> Callable[[str | None], tuple]:
-    labels = list(TEMPLATES)
-    templates = [TEMPLATES[x].encode().split() for x in labels]
+def scanner(least: int, gap: int, cover: float, texts: Sequence[tuple[str, str]] = tuple(TEMPLATES.items())) -> Callable[[str | None], tuple]:
+    labels = [label for label, _ in texts]
+    templates = [words(text) for _, text in texts]
     phrases = [p.encode().split() for p, _ in PHRASES]
     sam = SuffixAutomaton(templates, phrases)
     nexts, link, length, ends, marked = sam.next, sam.link, sam.length, sam.ends, sam.phrases
@@ -174,13 +175,25 @@ def scanner(least: int, gap: int, cover: float) -> Callable[[str | None], tuple]
 COLUMNS = (("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("spans", "string"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 4, gap: int = 12, cover: float = 0.3) -> DataFrame:
+def template_rows(templates: DataFrame, label: str = "label", text: str = "text", most_chars: int = 20_000_000) -> list[tuple[str, str]]:
+    """(label, text) of a table of licence texts, for the automaton that every task builds; over most_chars characters raise. Rows with a NULL or wordless text are left out."""
+    rows = templates.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > most_chars:
+        raise ValueError(f"{size} characters of templates; at most {most_chars} fit the automaton")
+    return [(r["label"], r["text"]) for r in rows.orderBy("label", "text").collect() if words(r["text"])]
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 4, gap: int = 12, cover: float = 0.3, templates: DataFrame | None = None) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for every input row.
 
+    `templates` is a table (label, text) of whole licences and notices; without one, a few well-known notices are used.
     Matches of `least` words or more are chained while they keep the template's order and lie within `gap` words; a
     chain that covers `cover` of its template becomes a span (first word:end word:label). Phrases are read off the same
     automaton: one ends at a word if its state is there or on the suffix-link path and the statistic is long enough.
     The score is the largest covered share, at least 0.5 with a phrase. NULL and empty texts have no words, empty
-    labels, NULL places and score 0. The templates are fixed, so each task builds its own automaton. No shuffle.
+    labels, NULL places and score 0; repeated rows are judged alike. Of templates that share wording, the one added first names it.
+    The templates' size is checked, so each task builds its own automaton. No shuffle.
     """
-    return map_texts(docs, text, [doc_id], COLUMNS, lambda: scanner(least, gap, cover))
+    texts = tuple(TEMPLATES.items()) if templates is None else tuple(template_rows(templates))
+    return map_texts(docs, text, [doc_id], COLUMNS, lambda: scanner(least, gap, cover, texts))

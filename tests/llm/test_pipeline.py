@@ -32,13 +32,15 @@ def test_stages(spark):
         for x in s:
             by[x].append(i)
     for i, s in sets.items():  # no two that stay are close, and each that went is near one
-        near = [j for j, n in collections.Counter(j for x in s for j in by[x]).items() if j != i and n / len(s | sets[j]) >= 0.9]
+        near = [j for j, n in collections.Counter(j for x in s for j in by[x]).items() if j != i and n / len(s | sets[j]) >= 0.8]
         if i in rows[2]:
             assert not any(j in rows[2] for j in near)
         else:
-            assert any(len(s & sets[j]) / len(s | sets[j]) >= 0.6 for x in s for j in by[x] if j != i)
+            assert any(len(s & sets[j]) / len(s | sets[j]) >= 0.8 - 1e-9 for x in s for j in by[x] if j != i)
     passages = [r.text.strip().lower() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert set(rows[2]) - set(rows[3]) == {i for i, t in rows[2].items() if any(p in t.lower() for p in passages)}
+    went = set(rows[2]) - set(rows[3])
+    whole = {i for i, t in rows[2].items() if any(p in t.lower() for p in passages)}
+    assert whole <= went and all(any(p[at : at + 40] in rows[2][i].lower() for p in passages for at in range(0, len(p) - 39, 5)) for i in went - whole)
     assert set(rows[4]) == set(rows[3]) and not any(k < 3 for t in rows[4].values() for _, _, k, _ in secrets.parts(t))
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     n = kept[5].agg(F.sum("length")).first()[0]
@@ -54,3 +56,14 @@ def test_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, part, SF)
             assert out.count() <= part.count() if name != "pack" else out.count() >= part.count()
+
+
+def test_clashing_columns(spark):
+    """Extra columns with names that the stages use themselves."""
+    names = ("score", "lang_pred", "spans", "node", "row", "key", "keys", "item_id", "id", "component_id")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").select("*", *(F.lit("x").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "pack":
+            assert out.columns == docs.columns and out.where("score <> 'x' or lang_pred <> 'x' or item_id <> 'x'").count() == 0
+        assert out.count() > 0
