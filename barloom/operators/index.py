@@ -73,17 +73,17 @@ def rebalanced_index(panel: DataFrame, unit: str = "quarter", base: float = 100.
     chained with a product over periods. Only per-period and per-date rows reach the windows without keys. A
     rebalance on a date with a price of 0 or less is skipped.
     """
-    flags = rebalance_flags(panel, unit)
     sound = panel.groupBy("date").agg(F.min("price").alias("_min_"), F.count("*").alias("_n_"))
-    days = flags.join(sound, "date").withColumn("go", F.col("rebalance") & (F.col("_min_") > 0))
+    before = F.lag(F.trunc("date", unit)).over(Window.orderBy("date"))
+    days = sound.withColumn("go", (before.isNull() | (F.trunc("date", unit) != before)) & (F.col("_min_") > 0))
     days = days.withColumn("period", F.sum(F.col("go").cast("int")).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).where("period > 0")
     rows = panel.join(days.select("date", "period", "go", "_n_"), "date").withColumn("_w_", F.coalesce(weight, 1 / F.col("_n_")) if weight is not None else 1 / F.col("_n_"))
     start = Window.partitionBy("symbol", "period").orderBy("date")
     parts = rows.withColumns({"_r_": F.col("price") / F.first("price").over(start), "_w0_": F.first("_w_").over(start)})
     # the first day of a period is also the last valuation of the one before
-    ends = rows.where("go AND period > 1").select("symbol", (F.col("period") - 1).alias("period"), F.col("price").alias("_end_"), F.col("_w_").alias("_next_"))
-    firsts = parts.where("go").select("symbol", "period", F.col("price").alias("_p0_"), F.col("_w0_").alias("_wp_"))
-    drift = firsts.join(ends, ["symbol", "period"]).withColumn("_g_", F.col("_wp_") * F.col("_end_") / F.col("_p0_"))
+    own = Window.partitionBy("symbol").orderBy("period")
+    ends = rows.where("go").withColumns({"_was_in_": F.lag("period").over(own), "_g_": F.lag("_w_").over(own) * F.col("price") / F.lag("price").over(own)})
+    drift = ends.where("_was_in_ = period - 1").select("symbol", F.col("_was_in_").alias("period"), F.col("_w_").alias("_next_"), "_g_")
     whole = Window.partitionBy("period")
     drift = drift.withColumn("_total_", F.sum("_g_").over(whole)).groupBy("period").agg(F.max("_total_").alias("ratio"), (F.sum(F.abs(F.col("_next_") - F.col("_g_") / F.col("_total_"))) / 2).alias("turnover"))
     chain = drift.withColumn("factor", F.col("ratio") * (1 - F.col("turnover") * cost_bps / 1e4)).withColumn("level0", base * F.product("factor").over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))

@@ -21,11 +21,11 @@ def sortino(r: Column, days: float = DAYS) -> Column:
     return divide(F.avg(r) * days, F.stddev_samp(F.when(r < 0, r)) * F.sqrt(F.lit(days)))
 
 
-def strategy_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol"), benchmark_stat: str = "last") -> DataFrame:
+def strategy_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol"), benchmark_stat: str = "last", also: Sequence[Column] = ()) -> DataFrame:
     """One row for each key: dates, returns, volatility, ratios, drawdown, win rate, profit factor, exposure.
 
     Needs compounded() columns. Ratios with a zero divisor are NULL. benchmark_stat "last" takes the final value of
-    the asset's curve, "peak" its highest.
+    the asset's curve, "peak" its highest. Further aggregates are taken in the same pass over the rows.
     """
     order = [k for k in ("symbol", "strategy_name", *keys) if k in keys]
     down = drawdowns(daily, 1 + F.col("cumulative_return"), sorted(set(order), key=order.index))
@@ -34,21 +34,35 @@ def strategy_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "
     out = down.groupBy(*keys).agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("days"), F.max_by("cumulative_return", "date").alias("cumulative_return"), held.alias("buy_hold_cumulative_return"),
         (F.stddev_samp(r) * F.sqrt(F.lit(DAYS))).alias("annualized_volatility"), sharpe(r).alias("sharpe_ratio"), sortino(r).alias("sortino_ratio"), F.min("drawdown").alias("max_drawdown"),
-        divide(F.count_if(r > 0), F.count_if(r != 0)).alias("win_rate"), divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r))).alias("profit_factor"), F.avg(F.abs("executed_position").cast("double")).alias("exposure"),
+        divide(F.count_if(r > 0), F.count_if(r != 0)).alias("win_rate"), divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r))).alias("profit_factor"), F.avg(F.abs("executed_position").cast("double")).alias("exposure"), *also,
     )
     out = out.withColumn("annualized_return", F.pow(F.greatest(1 + F.col("cumulative_return"), F.lit(1e-6)), F.lit(DAYS) / F.col("days")) - 1)
     return out.withColumn("calmar_ratio", divide(F.col("annualized_return"), F.abs("max_drawdown")))
 
 
-def trade_costs(trades: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol")) -> DataFrame:
-    return trades.groupBy(*keys).agg(F.count("*").alias("trade_count"), F.sum("fee_cost").alias("total_fees"), F.sum("slippage_cost").alias("total_slippage"))
+TRADED = "position_change > 0"
 
 
-def full_metrics(metrics: DataFrame, costs: DataFrame, runs: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol")) -> DataFrame:
-    """Metrics with trade costs, mean run length and outperformance; keys without trades count 0."""
-    keys = list(keys)
-    length = runs.groupBy(*keys).agg(F.avg("days").alias("average_position_days"))
-    out = metrics.join(costs, keys, "left").join(length, keys, "left").fillna(0, ["trade_count", "total_fees", "total_slippage"])
+def cost_totals() -> list[Column]:
+    """Number of trades and their costs, as aggregates over daily rows; 0 without trades."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.expr(TRADED), F.col(c))), F.lit(0.0))
+    return [F.count_if(F.expr(TRADED)).alias("trade_count"), total("fee_cost").alias("total_fees"), total("slippage_cost").alias("total_slippage")]
+
+
+def trade_costs(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol")) -> DataFrame:
+    """Trades and costs of the keys that traded."""
+    return daily.where(TRADED).groupBy(*keys).agg(*cost_totals())
+
+
+def full_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol"), benchmark_stat: str = "last") -> DataFrame:
+    """Metrics with trade costs, mean run length and outperformance, in one aggregation of the daily rows.
+
+    Runs of days in a position are as many as days that enter one, so their mean length needs no rows of runs. It is
+    NULL for keys that never held one; keys without trades count 0.
+    """
+    held = F.col("executed_position") != 0
+    length = divide(F.count_if(held), F.count_if(held & (F.col("previous_position") == 0))).alias("average_position_days")
+    out = strategy_metrics(daily, keys, benchmark_stat, (*cost_totals(), length))
     return out.withColumn("outperformance", F.col("cumulative_return") - F.col("buy_hold_cumulative_return"))
 
 

@@ -123,8 +123,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir)
-    return metrics.full_metrics(metrics.strategy_metrics(d), metrics.trade_costs(strategies.trades(d)), strategies.position_runs(d))
+    return metrics.full_metrics(daily(spark, sf_dir))
 
 
 def by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +140,7 @@ PM = "strategy_name symbol period"
 
 
 def period_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = by_period(spark, sf_dir)
-    m = metrics.strategy_metrics(d, ("strategy_name", "symbol", "period"))
-    n = d.where("position_change > 0").groupBy(*PM.split()).agg(F.count("*").alias("trade_count"))
-    return m.join(n, PM.split(), "left").fillna(0, ["trade_count"])
+    return metrics.strategy_metrics(by_period(spark, sf_dir), PM.split(), also=(F.count_if(F.expr(metrics.TRADED)).alias("trade_count"),))
 
 
 # ---- scans and staging
@@ -361,7 +357,7 @@ def _(s, d):
 
 @query("AGG4_trade_costs", FULL + f" SELECT {out('strategy_name symbol', 'total_fees total_slippage', 'trade_count')} FROM costs")
 def _(s, d):
-    return metrics.trade_costs(strategies.trades(daily(s, d)))
+    return metrics.trade_costs(daily(s, d))
 
 
 GLOBAL = RET + """, g AS (SELECT date, avg(simple_return) AS daily_return FROM ret WHERE symbol <> '5-LOW' AND simple_return IS NOT NULL GROUP BY date)"""

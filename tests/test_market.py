@@ -106,6 +106,21 @@ def test_signal_chain_shuffles_once_on_symbol(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_metrics_costs_and_runs_are_one_aggregation(spark):
+    days = market.daily(spark, "/root/testdata/sf0.001")
+    for plan in (metrics.full_metrics(days), market.period_metrics(spark, "/root/testdata/sf0.001")):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning(symbol") == 2 and text.count("FileScan parquet") == days._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    keys = ["strategy_name", "symbol"]
+    runs = strategies.position_runs(days).groupBy(*keys).agg(F.avg("days").alias("length"))
+    costs = strategies.trades(days).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("fee_cost").alias("fees"))
+    found = metrics.full_metrics(days).join(runs, keys, "left").join(costs, keys, "left").collect()
+    assert len(found) == 25 and any(r.length is not None for r in found)
+    for r in found:
+        assert r.average_position_days == (None if r.length is None else pytest.approx(r.length))
+        assert r.trade_count == (r.n or 0) and r.total_fees == pytest.approx(r.fees or 0.0)
+
+
 def test_news_is_joined_before_the_shuffle_on_symbol(spark):
     plan = market.daily(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") == 2 and "CartesianProduct" not in plan
