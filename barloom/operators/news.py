@@ -16,8 +16,9 @@ def relevance(articles: DataFrame, topics: DataFrame, threshold: float = 0.35, m
     size = topics.agg(F.sum(F.size("topic") * 8)).first()[0] or 0
     if size > most_bytes:
         raise ValueError(f"{size} bytes of topic vectors; at most {most_bytes} are sent to the tasks")
-    pairs = articles.crossJoin(F.broadcast(topics))  # checked above
-    return pairs.select("article_id", F.col("topic_id"), tx.cosine(F.col("embedding"), F.col("topic")).alias("similarity_score")).withColumn("is_relevant", F.col("similarity_score") >= threshold)
+    sized = articles.select("article_id", "embedding", tx.norm(F.col("embedding")).alias("_na_"))  # norms once a vector, not once a pair
+    pairs = sized.crossJoin(F.broadcast(topics.select("topic_id", "topic", tx.norm(F.col("topic")).alias("_nt_"))))  # checked above
+    return pairs.select("article_id", "topic_id", tx.cosine(F.col("embedding"), F.col("topic"), F.col("_na_"), F.col("_nt_")).alias("similarity_score")).withColumn("is_relevant", F.col("similarity_score") >= threshold)
 
 
 def article_signals(relevance: DataFrame, news: DataFrame, sentiment: DataFrame) -> DataFrame:
