@@ -286,7 +286,16 @@ def _(s, d):
     return indicators.macd_kernel(bars(s, d))
 
 
-@query("WIN10_ema_recursive")
+def recursive_sql(table: str, value: str, span: int) -> str:
+    """The recursion written out: the first value decays, each later one enters with its share."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"SELECT x.symbol, x.date, x.n, sum(y.{value} * pow(1 - {a}, x.n - y.n) * CASE WHEN y.n = 1 THEN 1 ELSE {a} END) AS v FROM {table} x JOIN {table} y ON y.symbol = x.symbol AND y.n <= x.n GROUP BY ALL"
+
+
+@query("WIN10_ema_recursive", BARS + f""", num AS (SELECT symbol, date, close, row_number() OVER ({W}) AS n FROM bars), f AS ({recursive_sql("num", "close", 12)}), s AS ({recursive_sql("num", "close", 26)}),
+m AS (SELECT f.symbol, f.date, f.n, f.v AS ema_12, s.v AS ema_26, f.v - s.v AS macd FROM f JOIN s USING (symbol, date, n)), late AS (SELECT symbol, date, n - 25 AS n, macd FROM m WHERE n >= 26), g AS ({recursive_sql("late", "macd", 9)})
+SELECT m.symbol, m.date, round(CASE WHEN m.n >= 12 THEN ema_12 END, 6) AS ema_12, round(CASE WHEN m.n >= 26 THEN ema_26 END, 6) AS ema_26, round(CASE WHEN m.n >= 26 THEN macd END, 6) + 0.0 AS macd, round(CASE WHEN g.n >= 9 THEN g.v END, 6) + 0.0 AS macd_signal, round(CASE WHEN g.n >= 9 THEN macd - g.v END, 6) + 0.0 AS macd_histogram
+FROM m LEFT JOIN g ON g.symbol = m.symbol AND g.date = m.date""")
 def _(s, d):
     return indicators.macd_recursive(bars(s, d))
 
