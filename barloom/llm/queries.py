@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, packing, quality_model, quality_rules, secrets, simhash, suffix_tree
+from . import chat, decontam, langid, licenses, packing, quality_model, quality_rules, secrets, simhash, substrings, suffix_tree
 from .common import in_fold
 
 
@@ -74,6 +74,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_language_id, op4_chat_format, op5_lm_score, op6_simhash, op7_quality_model, op8_decontaminate, op9_pack, op10_license_scan, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_language_id, op4_chat_format, op5_lm_score, op6_simhash, op7_quality_model, op8_decontaminate, op9_pack, op10_license_scan, op11_substring_dedup, pipeline)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,5 +114,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(chars)::BIGINT AS formatted_chars,
   bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
 FROM e GROUP BY conv_id
+""",
+    "op11_substring_dedup": rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS said FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+hit AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY said) AS least FROM g) WHERE least < doc_id),
+gone AS (SELECT DISTINCT r, i + k AS i, true AS gone FROM hit, range(0, 50) AS o(k)),
+kept AS (SELECT r, count(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS said
+  FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) LEFT JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
 """,
 }
