@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, packing, quality_model, quality_rules, secrets, simhash, substrings, suffix_tree
+from . import chat, decontam, langid, licenses, packing, prefix_trie, quality_model, quality_rules, secrets, simhash, substrings, suffix_tree
 from .common import in_fold
 
 
@@ -78,6 +78,12 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.turns(read(spark, sf_dir, "conversations"))
+    head = (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie.trie(prefix_trie.with_borrowed_heads(rows, 20, head, 3))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_language_id, op4_chat_format, op5_lm_score, op6_simhash, op7_quality_model, op8_decontaminate, op9_pack, op10_license_scan, op11_substring_dedup, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_language_id, op4_chat_format, op5_lm_score, op6_simhash, op7_quality_model, op8_decontaminate, op9_pack, op10_license_scan, op11_substring_dedup, op12_prefix_trie, pipeline)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,5 +129,22 @@ gone AS (SELECT DISTINCT r, i + k AS i, true AS gone FROM hit, range(0, 50) AS o
 kept AS (SELECT r, count(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS said
   FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) LEFT JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+""",
+    "op12_prefix_trie": rf"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, turn, substr(sha256(length(role) || ':' || role || said), 1, 32) AS k, len(regexp_extract_all(said, '{WORD}')) AS n FROM t),
+p AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM k),
+-- CRC-32 of the decimal digits, bit by bit
+h AS (SELECT c, xor(list_reduce([4294967295] || [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')],
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, 0 AS part, p.pos, k, n FROM h JOIN p ON p.c = h.c - h.c % 20 AND p.pos <= h UNION ALL SELECT h.c, 1, p.pos, k, n FROM h JOIN p ON p.c = h.c AND p.pos > h),
+s AS (SELECT h.c, coalesce(list(k ORDER BY part, pos) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(n ORDER BY part, pos) FILTER (k IS NOT NULL), []) AS ns FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+m AS (SELECT c, d, array_to_string(ks[1:d], '') AS path, CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], '') END AS above, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, d = len(ks) AS last FROM (SELECT c, ks, ns, unnest(range(0, len(ks) + 1)) AS d FROM s)),
+v AS (SELECT path, d, any_value(above) AS above, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ids FROM m GROUP BY path, d),
+b AS (SELECT above AS path, count(*) AS n FROM v WHERE above IS NOT NULL GROUP BY 1),
+w AS (SELECT v.*, coalesce(b.n, 0) AS n_children FROM v LEFT JOIN b USING (path)),
+u AS (SELECT substr(path, 1, 32 * e) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved FROM (SELECT path, n_children, saved, unnest(range(0, d + 1)) AS e FROM w) GROUP BY 1)
+SELECT w.c AS conv_id, w.d AS depth, a.c AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN u USING (path) LEFT JOIN v a ON a.path = w.above
 """,
 }
