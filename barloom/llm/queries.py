@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, packing, prefix_trie, quality_model, quality_rules, secrets, simhash, substrings, suffix_tree
+from . import alignment, chat, decontam, langid, licenses, packing, prefix_trie, quality_model, quality_rules, secrets, simhash, substrings, suffix_tree
 from .common import in_fold
 
 
@@ -84,6 +84,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_borrowed_heads(rows, 20, head, 3))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_language_id, op4_chat_format, op5_lm_score, op6_simhash, op7_quality_model, op8_decontaminate, op9_pack, op10_license_scan, op11_substring_dedup, op12_prefix_trie, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_language_id, op4_chat_format, op5_lm_score, op6_simhash, op7_quality_model, op8_decontaminate, op9_pack, op10_license_scan, op11_substring_dedup, op12_prefix_trie, op13_token_alignment, pipeline)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
