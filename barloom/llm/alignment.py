@@ -245,7 +245,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", tex
     counted = blocks.select(F.inline(F.arrays_zip("pairs", "counts"))).groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("total"))
     of_second = Window.partitionBy(F.shiftright("pair", BITS))  # at most as many rows as the first vocabulary has ids
     totals = scratch.put(scratch.put(counted).withColumn("best", (F.col("total") == F.max("total").over(of_second)).cast("int")))
-    asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(totals, "pair").select("block", "place", "total", "best")
-    out = found.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, FINISHED)
+    asked = blocks.select(F.col("block").alias("asker"), F.posexplode("pairs").alias("place", "pair"))
+    answers = asked.join(totals, "pair").select("asker", "place", "total", "best")
+    out = found.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(finish, FINISHED)
     return out.select(F.col("id").alias(doc_id), *COUNTS, "n_best", "count_sum", "groups_sha256", *(["groups"] if carry_groups else []))

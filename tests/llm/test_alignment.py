@@ -1,5 +1,6 @@
 """Alignment of whole texts, token by token, against the operator's pieces."""
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -19,16 +20,21 @@ ODD = [
 ]
 
 
+@functools.cache
+def tokenizers():
+    t = Tokenizer.from_file(A)
+    t.encode_special_tokens = True
+    return t, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
 def tokens(text):
     """[(id, start, end)] of both tokenizers over a whole text, from the bytes of each token; None where they differ."""
     if not text:
         return None
-    t = Tokenizer.from_file(A)
-    t.encode_special_tokens = True
+    t, s = tokenizers()
     said = (" " + text).encode()
     chars = alignment.byte_level()
     a = [(i, bytes(chars[c] for c in t.id_to_token(i))) for i in t.encode(" " + text, add_special_tokens=False).ids]
-    s = sentencepiece.SentencePieceProcessor(model_file=B)
     b = [(i, bytes([int(s.id_to_piece(i)[3:-1], 16)]) if s.is_byte(i) else s.id_to_piece(i).replace("▁", " ").encode()) for i in s.encode(text)]
     if any(b"".join(x for _, x in side) != said for side in (a, b)):
         return None
