@@ -1,6 +1,6 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
-Coarse cuts come from the tokenizers: character offsets of the one, spans of the other's protocol message. They are byte
+Coarse cuts come from the tokenizers: character offsets of the one, spans of the other. They are byte
 offsets where all characters are ASCII; elsewhere (characters of several bytes, byte-fallback tokens) the tokens' decoded
 bytes refine them. Texts are cut at single spaces, where both tokenizers end a token whatever follows, so each different
 piece is encoded and aligned once a block of documents.
@@ -8,10 +8,12 @@ piece is encoded and aligned once a block of documents.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,44 +49,55 @@ class Pair:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         to_byte = byte_level()
-        self.a_bytes = {i: bytes(to_byte[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        known = {i: token for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [bytes(to_byte.get(c, 0) for c in known.get(i, "")) for i in range(max(known) + 1)]
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         crossing = [p for p in map(self.b.id_to_piece, range(self.b.get_piece_size())) if "▁" in p.lstrip("▁")]
-        if crossing or self.b.encode("a  b", return_type=str)[0][0] != "▁" or max(self.a_bytes) >= 1 << BITS:
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        if crossing or self.b.encode("a  b", return_type=str)[0][0] != "▁" or max(known) >= 1 << BITS:
             raise ValueError("texts can't be cut at spaces: a piece holds one within, or none is added in front")
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def tokens(self, pieces: Sequence[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """(ids, byte ends) of both tokenizers for each piece with a space before it; None where bytes differ from the piece's."""
-        spaced = [" " + p for p in pieces]
-        for piece, e, p in zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(list(pieces), return_type="proto", num_threads=1)):
-            a, b = e.ids, [x.id for x in p.pieces]
-            said = piece.encode()
-            a_said, b_said = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_said) != said or b"".join(b_said) != said:
-                yield None
-                continue
-            a_ends, b_ends = [end for _, end in e.offsets], [x.end + 1 for x in p.pieces]
-            if len(said) != len(piece):  # characters of several bytes
-                a_ends, b_ends = np.cumsum(list(map(len, a_said))).tolist(), np.cumsum(list(map(len, b_said))).tolist()
-            yield a, a_ends, b, b_ends
+    def ids_and_ends(self, spaced: Sequence[str]) -> tuple[list[list[int]], list[list[int]], list[list[int]], list[list[int]]]:
+        """Of both tokenizers, for each piece: ids, and where tokens end by offsets and spans, in characters."""
+        a = self.a.encode_batch(spaced, add_special_tokens=False)
+        b = self.b.encode([p[1:] for p in spaced], return_type="offset_mapping", num_threads=1)  # the space in front is added there
+        return [x.ids for x in a], [[end for _, end in x.offsets] for x in a], [x["ids"] for x in b], [[end + 1 for _, end in x["offsets"]] for x in b]
+
+
+def flat(lists: Sequence[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers, and how many each list has."""
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 class Alignment:
     """The alignment of some pieces: counts and groups for each, and links as pairs of ids, piece after piece."""
 
     def __init__(self, pair: Pair, pieces: Sequence[str]):
-        found = list(pair.tokens(pieces))
-        self.whole = np.array([x is not None for x in found], dtype=bool)
-        good = [x if x is not None else ([], [], [], []) for x in found]
-        base = np.concatenate(([0], np.cumsum([x[1][-1] if x[1] else 0 for x in good])))
-        flat = lambda i: np.array([v for x in good for v in x[i]], dtype=np.int64)
-        n_a, n_b = (np.array([len(x[i]) for x in good], dtype=np.int64) for i in (0, 2))
-        a, b = flat(0), flat(2)
-        a_end, b_end = flat(1) + np.repeat(base[:-1], n_a), flat(3) + np.repeat(base[:-1], n_b)
+        spaced = [" " + p for p in pieces]
+        said = [p.encode() for p in spaced]
+        sizes = np.fromiter(map(len, said), np.int64, len(said))
+        chars = np.fromiter(map(len, spaced), np.int64, len(said))
+        found = pair.ids_and_ends(spaced)
+        self.whole = np.ones(len(pieces), dtype=bool)
+        if any(b"".join(map(table.__getitem__, chain.from_iterable(ids))) != b"".join(said) for table, ids in ((pair.a_bytes, found[0]), (pair.b_bytes, found[2]))):
+            for i, piece in enumerate(said):
+                if any(b"".join(map(table.__getitem__, ids[i])) != piece for table, ids in ((pair.a_bytes, found[0]), (pair.b_bytes, found[2]))):
+                    self.whole[i], sizes[i] = False, 0
+                    for lists in found:
+                        lists[i] = []
+        base = np.concatenate(([0], np.cumsum(sizes)))
+
+        def cut(ids: list[list[int]], ends: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """ids, their ends in bytes of all pieces, ids a piece: coarse ends hold where each character is a byte, decoded bytes elsewhere."""
+            i, n = flat(ids)
+            return i, np.where(np.repeat(sizes == chars, n), flat(ends)[0] + np.repeat(base[:-1], n), np.cumsum(lengths[i])), n
+
+        a, a_end, n_a = cut(*found[:2], pair.a_sizes)
+        b, b_end, n_b = cut(*found[2:], pair.b_sizes)
         a_start = np.concatenate(([0], a_end[:-1])) if len(a_end) else a_end
         first, last = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_end, a_end, "left")
         times = last - first + 1
@@ -93,18 +106,18 @@ class Alignment:
         self.links = (b[with_] << BITS) | a[of]
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
         piece_of = lambda ends: np.searchsorted(base, ends, "left") - 1
-        n_links = np.bincount(piece_of(a_end[of]), minlength=len(good)) if len(of) else np.zeros(len(good), dtype=np.int64)
-        n_groups = np.bincount(piece_of(cuts), minlength=len(good)) if len(cuts) else np.zeros(len(good), dtype=np.int64)
+        n_links = np.bincount(np.repeat(piece_of(a_end), times), minlength=len(pieces)) if len(of) else np.zeros(len(pieces), dtype=np.int64)
+        n_groups = np.bincount(piece_of(cuts), minlength=len(pieces)) if len(cuts) else np.zeros(len(pieces), dtype=np.int64)
         self.counts = np.stack([n_a, n_b, n_groups, n_links], axis=1).astype(np.int64)
         a_said, b_said = list(map(str, a.tolist())), list(map(str, b.tolist()))
         a_to, b_to = (np.searchsorted(ends, cuts, "right").tolist() for ends in (a_end, b_end))
-        said, i, j = [], 0, 0
+        words, i, j = [], 0, 0
         for x, y in zip(a_to, b_to):
-            said.append(",".join(a_said[i:x]) + "|" + ",".join(b_said[j:y]))
+            words.append(f"{a_said[i] if x == i + 1 else ','.join(a_said[i:x])}|{b_said[j] if y == j + 1 else ','.join(b_said[j:y])}")
             i, j = x, y
         self.groups, at = [], 0
         for n in n_groups.tolist():
-            self.groups.append(";".join(said[at : at + n]))
+            self.groups.append(";".join(words[at : at + n]))
             at += n
 
 
@@ -146,11 +159,13 @@ class Block:
     def rows(self) -> Iterator[pa.RecordBatch]:
         pieces = list(self.known)
         parts, at, size = [], 0, 0
+        gc.disable()  # millions of short lists without cycles
         for i, p in enumerate(pieces):  # so many characters at once
             size += len(p) + 16
             if size > 200_000 or i + 1 == len(pieces):
                 parts.append(Alignment(self.pair, pieces[at : i + 1]))
                 at, size = i + 1, 0
+        gc.enable()
         counts = np.concatenate([np.zeros((0, 4), dtype=np.int64), *(p.counts for p in parts)])
         whole = np.concatenate([np.zeros(0, dtype=bool), *(p.whole for p in parts)])
         groups = [g for p in parts for g in p.groups]
