@@ -137,12 +137,20 @@ KINDS = (pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string(), pa.string(), pa
 NAMES = [c.split()[0] for c in ALIGNED.split(", ")]
 
 
+class Numbers(dict):
+    """Consecutive numbers for pieces, from zero."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class Block:
     """Documents of a task whose different pieces fit together."""
 
     def __init__(self, pair: Pair, number: int, carry: bool):
         self.pair, self.number, self.carry = pair, number, carry
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.docs: list[tuple[int | None, np.ndarray]] = []
         self.n_words = self.n_chars = 0
 
@@ -151,7 +159,7 @@ class Block:
         if pieces:
             pieces[0] = pieces[0][1:]
         known, before = self.known, len(self.known)
-        at = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int32, len(pieces))
+        at = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
         self.n_chars += len(text or "") if len(known) > before else 0
         self.n_words += len(pieces)
         self.docs.append((doc_id, at))
@@ -240,7 +248,7 @@ def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({**out, "n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64()), "groups_sha256": docs.column("groups_sha256"), "groups": docs.column("groups")})
 
 
-def align(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", text: str = "text", carry_groups: bool = False, block_pieces: int = 400_000, block_words: int = 8_000_000) -> DataFrame:
+def align(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", text: str = "text", carry_groups: bool = False, block_pieces: int = 600_000, block_words: int = 8_000_000) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256[, groups]) for every row.
 
     Tokens of both tokenizers are linked where their bytes overlap, and grouped between offsets where both end. A
