@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +139,60 @@ def series_metrics(levels: DataFrame, key: str, level: str, risk_free: float = 0
     return a.select(key, "start_date", "end_date", "n", if_two(ratio - 1).alias("total_return"), if_two(F.pow(ratio, F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"), if_two(F.col("_s_") * F.sqrt(F.lit(DAYS))).alias("volatility"), if_two(divide((F.col("_m_") - daily_rf) * F.sqrt(F.lit(DAYS)), F.col("_s_"))).alias("sharpe"), if_two(F.col("max_drawdown")).alias("max_drawdown"), "non_positive")
 
 
-def correlations(returns: DataFrame, value: str = "simple_return") -> DataFrame:
-    """Pairwise-complete correlation of symbols, long form: an equi-join on the date of a bounded universe of symbols."""
-    a, b = returns.select("date", F.col("symbol").alias("symbol_a"), F.col(value).alias("ra")), returns.select("date", F.col("symbol").alias("symbol_b"), F.col(value).alias("rb"))
-    return a.join(b, "date").where("symbol_a <= symbol_b AND ra IS NOT NULL AND rb IS NOT NULL").groupBy("symbol_a", "symbol_b").agg(F.corr("ra", "rb").alias("correlation"), F.count("*").alias("n"))
+def pair_sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Over the rows where both have a value, for each column of x and of y: count, sums, squares and products, as matrix products."""
+    there = [np.isfinite(v).astype(np.float64) for v in (x, y)]
+    x, y = (np.where(m > 0, v, 0.0) for v, m in zip((x, y), there))
+    mx, my = there
+    return mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y
+
+
+def correlations(returns: DataFrame, value: str = "simple_return", block_symbols: int = 512, block_dates: int = 2048) -> DataFrame:
+    """Pairwise-complete correlation of symbols, long form: symbol_a <= symbol_b, correlation, n (common dates, pairs without any left out).
+
+    Symbols are dealt into blocks of about block_symbols by hash, dates into stretches of block_dates calendar days.
+    Each pair of blocks in a stretch is one task's matrix products; its sums for each pair of symbols are added up over
+    the stretches. No row stands for a pair on a date: the rows are the result's, times the stretches. Values are taken
+    less the symbol's mean, which changes no correlation and keeps the sums exact. NULL and non-finite values and NULL
+    dates are missing; a symbol has at most one row a date. NULL where a deviation is 0 or n is under 2.
+    """
+    finite = returns.select("symbol", "date", F.col(value).cast("double").alias("v")).where("date IS NOT NULL AND symbol IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')")
+    means = finite.groupBy("symbol").agg(F.avg("v").alias("mean"))
+    blocks = means.agg(F.ceil(F.count("*") / block_symbols).cast("long").alias("blocks"))
+    universe = means.crossJoin(F.broadcast(blocks)).select("symbol", "mean", F.pmod(F.xxhash64("symbol"), "blocks").alias("block"), "blocks")  # one row
+    rows = finite.join(universe, "symbol").select("symbol", F.unix_date("date").alias("day"), (F.col("v") - F.col("mean")).alias("v"), "block", "blocks", F.floor(F.unix_date("date") / block_dates).alias("stretch"))
+    # a row goes to each block of the other side: as the left one if its block is not the greater
+    dealt = rows.select("symbol", "day", "v", "stretch", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    task = F.struct(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "stretch")
+    sums = [f"s{i}" for i in range(6)]
+
+    def multiply(t: pa.Table) -> pa.Table:
+        symbol, day = (t.column(c).combine_chunks().dictionary_encode() for c in ("symbol", "day"))
+        names, of, at = symbol.dictionary, symbol.indices.to_numpy(), day.indices.to_numpy()
+        grid = np.full((len(day.dictionary), len(names)), np.nan)
+        grid[at, of] = np.asarray(t.column("v"))
+        block = np.zeros(len(names), dtype=np.int64)
+        block[of] = np.asarray(t.column("block"))
+        side = [np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())]
+        same = block.min() == block.max()
+        if same and t.column("task")[0].as_py()["a"] != t.column("task")[0].as_py()["b"]:
+            side[1] = side[1][:0]  # the other block has no row in this stretch
+        found = pair_sums(grid[:, side[0]], grid[:, side[1]])
+        i, j = np.nonzero(found[0] > 0)
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        first, second = names.take(pa.array(side[0][i])), names.take(pa.array(side[1][j]))
+        return pa.table({"x": first, "y": second, **{s: f[i, j] for s, f in zip(sums, found)}})
+
+    products = dealt.withColumn("task", task).groupBy("task").applyInArrow(multiply, "x string, y string, " + ", ".join(f"{s} double" for s in sums))
+    ordered = F.col("x") <= F.col("y")
+    straight = {"symbol_a": F.least("x", "y"), "symbol_b": F.greatest("x", "y"), "n": F.col("s0"), "a": F.when(ordered, F.col("s1")).otherwise(F.col("s2")), "b": F.when(ordered, F.col("s2")).otherwise(F.col("s1")), "aa": F.when(ordered, F.col("s3")).otherwise(F.col("s4")), "bb": F.when(ordered, F.col("s4")).otherwise(F.col("s3")), "ab": F.col("s5")}
+    whole = products.select(*(c.alias(n) for n, c in straight.items())).groupBy("symbol_a", "symbol_b").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")))
+    spread = lambda s, q: F.greatest(F.col(q) - F.col(s) * F.col(s) / F.col("n"), F.lit(0.0))
+    across = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
+    flat = lambda s, q: spread(s, q) <= 1e-14 * F.col(q)  # noqa: E731  nothing but rounding is left
+    r = F.when((F.col("n") > 1) & ~flat("a", "aa") & ~flat("b", "bb"), F.greatest(F.least(across / F.sqrt(spread("a", "aa") * spread("b", "bb")), F.lit(1.0)), F.lit(-1.0)))
+    return whole.select("symbol_a", "symbol_b", r.alias("correlation"), F.col("n").cast("long").alias("n"))
 
 
 def return_distribution(returns: DataFrame, value: str = "simple_return") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import text as tx
+from barloom.operators.similarity import best_before
 from barloom.operators.windows import series
 
 
@@ -96,18 +97,8 @@ def acceleration(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
 def novelty(articles: DataFrame, days: int = 20) -> DataFrame:
     """1 less the largest Jaccard similarity of tokens to an article of the `days` days before (by date, then id).
 
-    Equal token sets are one set, with the dates on which it appears, so copies are never paired. Sets meet through
-    their tokens and shared tokens are counted.
+    Tokens and their sets are told apart by 64-bit hashes. Articles without tokens or without a date are new.
     """
-    rows = articles.select("article_id", "published", F.array_sort(tx.tokens(F.col("clean_text"))).alias("t")).withColumn("set", F.xxhash64("t"))
-    first = F.struct("published", "article_id")
-    days_of = rows.groupBy("set", "published").agg(F.min("article_id").alias("least"))
-    copy_before = rows.withColumn("_before_", F.lag(first).over(Window.partitionBy("set").orderBy("published", "article_id"))).select("article_id", "set", "published", (F.col("_before_.published") >= F.date_sub("published", days)).alias("is_copy"), F.size("t").alias("n"))
-    sets = rows.groupBy("set").agg(F.first("t").alias("t")).select("set", F.size("t").alias("n"), F.explode("t").alias("token"))
-    timed = sets.join(days_of, "set")
-    a, b = timed.alias("a"), timed.alias("b")
-    near = F.col("b.published").between(F.date_sub("a.published", days), F.col("a.published")) & (F.col("a.set") != F.col("b.set"))
-    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & near).groupBy(F.col("a.set").alias("set"), F.col("a.published").alias("published"), F.col("b.set").alias("other"), F.col("b.published").alias("then"), F.col("b.least").alias("least"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
-    alike = shared.select("set", "published", "then", "least", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("s"))
-    best = copy_before.join(alike, ["set", "published"], "left").where("then IS NULL OR then < published OR least < article_id").groupBy("article_id").agg(F.max("s").alias("s"))
-    return copy_before.join(best, "article_id", "left").select("article_id", (1 - F.when(F.coalesce("is_copy", F.lit(False)) & (F.col("n") > 0), F.lit(1.0)).otherwise(F.coalesce("s", F.lit(0.0)))).alias("novelty_score"))
+    tokens = F.array_distinct(F.transform(tx.tokens(F.col("clean_text")), lambda x: F.xxhash64(x)))
+    best = best_before(articles.select(F.col("article_id").alias("id"), F.col("published").alias("at"), F.coalesce(tokens, F.array().cast("array<bigint>")).alias("t")), days)
+    return best.select(F.col("id").alias("article_id"), (1 - F.col("s")).alias("novelty_score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import text as tx
-from barloom.operators import cleaning, news, portfolio
+from barloom.operators import cleaning, embeddings, news, portfolio
 from barloom.plans import story
 from barloom.plans.market import query
 from barloom.plans.story import STORY
@@ -185,6 +185,25 @@ def _(s, d):
     return back.select("article_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("v").alias("embedding_dimension"))
 
 
+BUCKETS = ", ".join(f"round(coalesce(sum(s) FILTER (i = {k}), 0) / coalesce(nullif(sqrt(sum(s * s)), 0), 1), 6) + 0.0 AS e{k}" for k in range(8))
+
+
+@query("VEC4_byte_buckets", f"""WITH b AS (SELECT p_partkey, i, ('0x' || substr(hex(encode(p_name)), 2 * i + 1, 2))::INT AS v FROM (SELECT p_partkey, p_name, unnest(range(0, strlen(p_name))) AS i FROM part)),
+g AS (SELECT p_partkey, i % 8 AS i, sum(v)::DOUBLE AS s FROM b GROUP BY ALL) SELECT p_partkey, {BUCKETS} FROM g GROUP BY 1""")
+def _(s, d):
+    return adapters.read(s, d, "part").select("p_partkey", tx.byte_buckets(F.col("p_name")).alias("v")).select("p_partkey", *(F.col("v")[k].alias(f"e{k}") for k in range(8)))
+
+
+@query("VEC5_create_embeddings", f"""WITH t AS (SELECT doc_id AS article_id, trim(coalesce(text, ''), ' ') AS x FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)),
+b AS (SELECT article_id, i % 8 AS i, sum(('0x' || substr(h, 2 * i + 1, 2))::INT)::DOUBLE AS s FROM (SELECT article_id, h, unnest(range(0, len(h) // 2)) AS i FROM (SELECT article_id, hex(encode(x)) AS h FROM t)) GROUP BY ALL)
+SELECT article_id, 8::BIGINT AS embedding_dimension, 'byte-buckets' AS embedding_model, '1' AS embedding_model_version, TIMESTAMP '2024-01-01 00:00:00' AS created_at, {BUCKETS} FROM t LEFT JOIN b USING (article_id) GROUP BY article_id""")
+def _(s, d):
+    done = adapters.vectors(s, d).select("article_id", F.when(F.col("label") % 2 == 0, "byte-buckets").otherwise("another").alias("embedding_model"))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    out = embeddings.create_embeddings(adapters.articles(s, d), embeddings.byte_bucket_encoder, "byte-buckets", "1", done, now)
+    return out.withColumn("v", tx.vector_from_json(F.col("embedding"))).select(*(c for c in out.columns if c != "embedding"), *(F.col("v")[k].alias(f"e{k}") for k in range(8)))
+
+
 @query("TXT15_description", "SELECT p_partkey, concat_ws('. ', nullif(p_name, ''), nullif(p_brand, ''), nullif(p_type, ''), 'Symbol ' || p_partkey) AS description FROM part")
 def _(s, d):
     return adapters.read(s, d, "part").select("p_partkey", tx.description(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.concat(F.lit("Symbol "), F.col("p_partkey").cast("string"))).alias("description"))
