@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,46 @@ def quality_report(raw: DataFrame) -> DataFrame:
     )
 
 
+CORE = ("open", "high", "low", "close", "adjusted_close")
+
+
+def judged(raw: DataFrame, order: Column) -> DataFrame:
+    """Rows with typed numbers, `fate` (no_date, duplicate, empty, missing_close, non_positive or kept) and `inconsistent` bars.
+
+    Of the rows of a symbol and date the last one by `order` counts, all columns breaking ties. Fates are judged in
+    this order; a bar is empty without any price, and non-positive if any price it has is 0 or less.
+    """
+    typed = raw.withColumns({c: finite(F.expr(f"try_cast(`{c}` AS double)")) for c in (*CORE, "volume")}).withColumn("date", F.expr("try_cast(date AS date)"))
+    rest = [F.col(c) for c in sorted(set(raw.columns) - {"symbol", "date"})]
+    place = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(order.desc(), *rest))
+    prices = F.array(*CORE)
+    fate = F.when(F.col("date").isNull(), "no_date").when(place > 1, "duplicate").when(F.forall(prices, lambda p: p.isNull()), "empty").when(F.col("close").isNull() | F.col("adjusted_close").isNull(), "missing_close").when(F.exists(prices, lambda p: p <= 0), "non_positive").otherwise("kept")
+    highest, lowest = (f(*CORE[:4]) for f in (F.greatest, F.least))
+    return typed.withColumn("fate", fate).withColumn("inconsistent", (F.col("fate") == "kept") & F.coalesce((F.col("high") < highest) | (F.col("low") > lowest), F.lit(False)))
+
+
+def fate_counters() -> dict[str, Column]:
+    """Aggregates over judged rows: what came, what went and why, what was mended, and what was missing in rows that were looked at."""
+    looked = F.col("fate").isin("missing_close", "non_positive", "kept")
+    counts = {"rows_downloaded": F.count(F.lit(1)), "rows_after_cleaning": F.count_if(F.col("fate") == "kept"), "duplicate_dates_removed": F.count_if(F.col("fate") == "duplicate"), "empty_rows_dropped": F.count_if(F.col("fate") == "empty"), "non_positive_price_rows_dropped": F.count_if(F.col("fate") == "non_positive"), "ohlc_inconsistent_rows_fixed": F.count_if(F.col("inconsistent"))}
+    return {**counts, **{f"{c}_missing": F.count_if(looked & F.col(c).isNull()) for c in (*CORE, "volume")}}
+
+
+def quality_counters(rows: DataFrame) -> DataFrame:
+    """By symbol, of judged() rows: the counters, and first and last date of what is kept."""
+    kept = F.when(F.col("fate") == "kept", F.col("date"))
+    return rows.groupBy("symbol").agg(*(c.alias(n) for n, c in fate_counters().items()), F.min(kept).alias("first_date"), F.max(kept).alias("last_date"))
+
+
+def mended(rows: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """The kept ones of judged() rows, high and low widened to hold all prices.
+
+    With an observation the counters over all symbols are gathered while the result is written: no pass of their own.
+    """
+    seen = rows.observe(observation, *(c.alias(n) for n, c in fate_counters().items())) if observation is not None else rows
+    return seen.where("fate = 'kept'").withColumns({"high": F.greatest(*CORE[:4]), "low": F.least(*CORE[:4])}).drop("fate", "inconsistent")
+
+
 def missing_report(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """By column: missing before and after, treated, and the rate before."""
     count = lambda df, name: df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns), F.count("*").alias("_rows_")).unpivot("_rows_", list(columns), "column", name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.windows import fill_forward, last_rows
+from barloom.sources.scratch import stored
 
 
 def complete_panel(prices: DataFrame, limit: int = 5) -> DataFrame:
@@ -65,17 +66,11 @@ def target_weights(panel: DataFrame, method: str = "equal") -> DataFrame:
     return known.select("date", "symbol", (1 / F.col("_v_") / F.sum(1 / F.col("_v_")).over(by)).alias("weight"))
 
 
-def rebalanced_index(panel: DataFrame, unit: str = "quarter", base: float = 100.0, cost_bps: float = 10.0, weight: Column | None = None) -> DataFrame:
-    """An index that returns to its target weights on rebalance dates: date, gross_level, level, turnover, rebalance_executed.
-
-    Units are constant within a period that starts on p, so the level is level_p times the weighted price ratios to p;
-    the cost of the next rebalance depends on these ratios alone. Each period gives one factor, and the levels are
-    chained with a product over periods. Only per-period and per-date rows reach the windows without keys. A
-    rebalance on a date with a price of 0 or less is skipped.
-    """
+def periods_of(panel: DataFrame, unit: str, base: float, cost_bps: float, weight: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a rebalanced index is chained from: assets' rows with their period's first weight and price ratio, periods with level and turnover at their start, and days with what was asked and done."""
     sound = panel.groupBy("date").agg(F.min("price").alias("_min_"), F.count("*").alias("_n_"))
     before = F.lag(F.trunc("date", unit)).over(Window.orderBy("date"))
-    days = sound.withColumn("go", (before.isNull() | (F.trunc("date", unit) != before)) & (F.col("_min_") > 0))
+    days = sound.withColumn("asked", before.isNull() | (F.trunc("date", unit) != before)).withColumn("go", F.col("asked") & (F.col("_min_") > 0))
     days = days.withColumn("period", F.sum(F.col("go").cast("int")).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).where("period > 0")
     rows = panel.join(days.select("date", "period", "go", "_n_"), "date").withColumn("_w_", F.coalesce(weight, 1 / F.col("_n_")) if weight is not None else 1 / F.col("_n_"))
     start = Window.partitionBy("symbol", "period").orderBy("date")
@@ -88,6 +83,18 @@ def rebalanced_index(panel: DataFrame, unit: str = "quarter", base: float = 100.
     drift = drift.withColumn("_total_", F.sum("_g_").over(whole)).groupBy("period").agg(F.max("_total_").alias("ratio"), (F.sum(F.abs(F.col("_next_") - F.col("_g_") / F.col("_total_"))) / 2).alias("turnover"))
     chain = drift.withColumn("factor", F.col("ratio") * (1 - F.col("turnover") * cost_bps / 1e4)).withColumn("level0", base * F.product("factor").over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))
     begin = chain.select((F.col("period") + 1).alias("period"), "level0", "turnover", "ratio", F.lag("level0", 1, base).over(Window.orderBy("period")).alias("_was_"))
+    return parts, begin, days
+
+
+def rebalanced_index(panel: DataFrame, unit: str = "quarter", base: float = 100.0, cost_bps: float = 10.0, weight: Column | None = None) -> DataFrame:
+    """An index that returns to its target weights on rebalance dates: date, gross_level, level, turnover, rebalance_executed.
+
+    Units are constant within a period that starts on p, so the level is level_p times the weighted price ratios to p;
+    the cost of the next rebalance depends on these ratios alone. Each period gives one factor, and the levels are
+    chained with a product over periods. Only per-period and per-date rows reach the windows without keys. A
+    rebalance on a date with a price of 0 or less is skipped.
+    """
+    parts, begin, _ = periods_of(panel, unit, base, cost_bps, weight)
     values = parts.groupBy("date", "period", "go").agg(F.sum(F.col("_w0_") * F.col("_r_")).alias("v"))
     out = values.join(begin, "period", "left")
     level = F.coalesce("level0", F.lit(base)) * F.col("v")
@@ -95,6 +102,27 @@ def rebalanced_index(panel: DataFrame, unit: str = "quarter", base: float = 100.
     return out.select("date", gross.alias("gross_level"), level.alias("level"), F.when(F.col("go"), F.coalesce("turnover", F.lit(1.0))).otherwise(0.0).alias("turnover"), F.col("go").alias("rebalance_executed"))
 
 
+def index_history(panel: DataFrame, unit: str = "quarter", base: float = 100.0, cost_bps: float = 10.0, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """A rebalanced index whole: a row a day, and a row a day and asset with its weights.
+
+    Days: gross_level, level, daily_return, rebalance_requested, executed and skipped (a price of 0 or less), turnover and
+    transaction_cost (0 on the first day), running_peak, drawdown. Assets: actual_weight after the day's rebalance, which is
+    the first weight of the period times the price ratio since, as a share of all; target_weight where one was executed.
+    The panel is stored once for all branches. Days before the first sound one are left out.
+    """
+    parts, begin, days = periods_of(stored(panel), unit, base, cost_bps, weight)
+    parts = stored(parts.select("date", "symbol", "period", "go", (F.col("_w0_") * F.col("_r_")).alias("_v_"), "_w0_"))
+    values = parts.groupBy("date", "period", "go").agg(F.sum("_v_").alias("_total_"))
+    out = values.join(begin, "period", "left").join(days.select("date", "asked"), "date")
+    level = F.coalesce("level0", F.lit(base)) * F.col("_total_")
+    later = F.col("go") & F.col("ratio").isNotNull()
+    out = out.select("date", F.when(later, F.col("_was_") * F.col("ratio")).otherwise(level).alias("gross_level"), level.alias("level"), F.col("asked").alias("rebalance_requested"), F.col("go").alias("rebalance_executed"), F.when(later, F.col("turnover")).otherwise(0.0).alias("turnover"))
+    run = Window.orderBy("date")  # a row a day
+    out = out.withColumns({"transaction_cost": F.when(F.col("rebalance_executed"), F.col("gross_level") - F.col("level")).otherwise(0.0), "rebalance_skipped": F.col("rebalance_requested") & ~F.col("rebalance_executed"), "daily_return": F.try_divide(F.col("level"), F.lag("level").over(run)) - 1, "running_peak": F.max("level").over(run.rowsBetween(Window.unboundedPreceding, 0))})
+    weights = parts.join(values.select("date", "_total_"), "date").select("date", "symbol", F.try_divide(F.col("_v_"), F.col("_total_")).alias("actual_weight"), F.when(F.col("go"), F.col("_w0_")).alias("target_weight"), F.col("go").alias("rebalance_executed"))
+    return out.withColumn("drawdown", F.try_divide(F.col("level"), F.col("running_peak")) - 1), weights
+
+
 def cash_reserve(portfolio: DataFrame, reserve: float, base: float = 100.0) -> DataFrame:
     """Returns scaled by 1 - reserve and compounded anew: daily_return, level, peak, drawdown of (portfolio, date, daily_return)."""
     run = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -68,6 +68,23 @@ def full_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "symb
     return out.withColumn("outperformance", F.col("cumulative_return") - F.col("buy_hold_cumulative_return"))
 
 
+def market_metrics(daily: DataFrame, curve: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol"), benchmark_stat: str = "last", market_stat: str = "peak") -> DataFrame:
+    """full_metrics() beside the global benchmark: its cumulative return on the strategy's own dates, and what the strategy has over it.
+
+    `curve` has one row a date (date, benchmark_return), as benchmark_curve() returns it. "peak" takes the curve's highest
+    value on those dates, "last" the one on the last of them that has any; without any it is NULL and counts as 0.
+    Costs are also given as one rate, and keys that never held a position have a mean run length of 0. Still one
+    aggregation of the daily rows.
+    """
+    market = F.max("benchmark_return") if market_stat == "peak" else F.max_by("benchmark_return", F.when(F.col("benchmark_return").isNotNull(), F.col("date")))
+    held = F.col("executed_position") != 0
+    length = F.coalesce(divide(F.count_if(held), F.count_if(held & (F.col("previous_position") == 0))), F.lit(0.0)).alias("average_position_days")
+    rows = daily.join(curve.select("date", "benchmark_return"), "date", "left")
+    out = strategy_metrics(rows, keys, benchmark_stat, (*cost_totals(), length, market.alias("global_benchmark_cumulative_return")))
+    over = {"outperformance": "buy_hold_cumulative_return", "outperformance_vs_global_benchmark": "global_benchmark_cumulative_return"}
+    return out.withColumns({"total_cost_rate": F.col("total_fees") + F.col("total_slippage"), **{n: F.col("cumulative_return") - F.coalesce(c, F.lit(0.0)) for n, c in over.items()}})
+
+
 def benchmark_daily(daily: DataFrame, condition: Column) -> DataFrame:
     """Mean return by date over the rows that count as the global benchmark."""
     return daily.where(condition).groupBy("date").agg(F.avg("daily_return").alias("daily_return"))
@@ -87,6 +104,22 @@ def assign_period(date: Column, periods: Sequence[tuple[str, str, str]]) -> Colu
     return out
 
 
+def with_periods(daily: DataFrame, periods: DataFrame, most: int = 10_000) -> DataFrame:
+    """Daily rows with period, purpose and optimisable of the last period (by `position`) that holds their date; out_of_scope, NULL and false outside.
+
+    `periods` has (position, period, purpose, optimisable, first, last), the last day NULL for an open one. The dates of
+    the rows, not the rows, meet the periods by range; a table of over `most` periods raises, so sending it to all tasks
+    is bounded.
+    """
+    n = periods.count()
+    if n > most:
+        raise ValueError(f"{n} periods; at most {most} are sent to the tasks")
+    within = F.col("date").between(F.col("first"), F.coalesce("last", F.lit("9999-12-31").cast("date")))
+    found = daily.select("date").distinct().join(F.broadcast(periods), within).groupBy("date").agg(F.max_by(F.struct("period", "purpose", "optimisable"), "position").alias("_p_"))
+    out = daily.join(found, "date", "left")
+    return out.withColumns({"period": F.coalesce("_p_.period", F.lit("out_of_scope")), "purpose": F.col("_p_.purpose"), "optimisable": F.coalesce("_p_.optimisable", F.lit(False))}).drop("_p_")
+
+
 def percent_rank_score(metrics: DataFrame, within: Sequence[str]) -> DataFrame:
     """0.35 of each return and Sharpe rank, 0.20 of the drawdown's, less 0.10 of the turnover's; NULLs rank first."""
     rank = lambda c: F.percent_rank().over(Window.partitionBy(*within).orderBy(F.col(c).asc_nulls_first()))

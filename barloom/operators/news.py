@@ -70,16 +70,26 @@ def article_relevance(relevance: DataFrame, news: DataFrame, sentiment: DataFram
     return relevance.join(about, "article_id", "left").join(sentiment.select("article_id", "sentiment_score", "novelty_score"), "article_id", "left")
 
 
-def pending(articles: DataFrame, done: DataFrame) -> DataFrame:
-    """Ids of articles that `done` lacks, each once."""
-    return articles.select("article_id").join(done, "article_id", "left_anti").distinct()
+def pending(articles: DataFrame, done: DataFrame, model: str | None = None) -> DataFrame:
+    """Ids of articles that `done` lacks, each once; with a model, that `done` lacks for this embedding_model."""
+    of = done.where(F.col("embedding_model") == model) if model is not None else done
+    return articles.select("article_id").join(of.select("article_id"), "article_id", "left_anti").distinct()
 
 
-def dense(features: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """A row for each key and each day between the first and last date of all, 0 where there was none."""
-    span = features.agg(F.min("date").alias("_a_"), F.max("date").alias("_z_"))
-    grid = features.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*keys, F.explode(F.sequence("_a_", "_z_")).alias("date"))  # one row: two dates
-    return grid.join(features, [*keys, "date"], "left").fillna(0, list(columns))
+def dense(features: DataFrame, keys: Sequence[str], columns: Sequence[str], start: str | None = None, end: str | None = None) -> DataFrame:
+    """A row for each key and each day from start to end (the first and last date of all unless given), 0 where there was none.
+
+    Rows outside are left out, rows without a date too; NULL keys are keys like others. An empty table or span is empty.
+    """
+    dated = features.where("date IS NOT NULL")
+    first, last = (F.lit(day).cast("date") if day else edge for day, edge in ((start, F.min("date")), (end, F.max("date"))))
+    span = dated.agg(first.alias("_a_"), last.alias("_z_"))  # one row: two dates
+    days = F.when(F.col("_a_") <= F.col("_z_"), F.sequence("_a_", "_z_"))
+    grid = dated.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*(F.col(k).alias(f"_{k}_") for k in keys), F.explode(days).alias("_date_"))
+    met = [F.col(f"_{k}_").eqNullSafe(F.col(k)) for k in keys]
+    joined = grid.join(dated, [*met, F.col("_date_") == F.col("date")], "left")
+    rest = [c for c in features.columns if c not in (*keys, "date")]
+    return joined.select(*(F.col(f"_{k}_").alias(k) for k in keys), F.col("_date_").alias("date"), *rest).fillna(0, list(columns))
 
 
 def surprise(df: DataFrame, column: str, keys: Sequence[str], n: int = 20) -> DataFrame:
@@ -99,6 +109,6 @@ def novelty(articles: DataFrame, days: int = 20) -> DataFrame:
 
     Tokens and their sets are told apart by 64-bit hashes. Articles without tokens or without a date are new.
     """
-    tokens = F.array_distinct(F.transform(tx.tokens(F.col("clean_text")), lambda x: F.xxhash64(x)))
+    tokens = F.transform(tx.tokens(F.col("clean_text")), lambda x: F.xxhash64(x))
     best = best_before(articles.select(F.col("article_id").alias("id"), F.col("published").alias("at"), F.coalesce(tokens, F.array().cast("array<bigint>")).alias("t")), days)
     return best.select(F.col("id").alias("article_id"), (1 - F.col("s")).alias("novelty_score"))

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that the session names in spark.checkpoint.dir; on a local master without one, in a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; on a local master without one, a temporary folder."""
+    sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions import text as tx
 from barloom.operators.cleaning import align
 
 
@@ -69,10 +70,59 @@ def wide_to_long(wide: DataFrame, keys: Sequence[str], separator: str = "|") ->
     return wide.select(*keys, F.inline(each))
 
 
+def price_panel(long: DataFrame, universe: Sequence[str], key: str, value: str, order: str, date: str = "date", require: bool = True) -> DataFrame:
+    """A row a date and a column for each name of the universe, in its order: the last value by `order` of each.
+
+    The universe is given, so Spark needs no pass to find the columns and they are the same every time; other names
+    are left out before the shuffle. Rows without a date, name or value count for nothing. With `require`, names without
+    any value raise. A universe is a list of columns, so it stays small.
+    """
+    some = long.where(F.col(key).isin(*universe)).where(F.col(date).isNotNull() & F.col(value).isNotNull())
+    if require:
+        found = {r[0] for r in some.select(key).distinct().collect()}  # at most the universe
+        if lacking := sorted(set(universe) - found):
+            raise ValueError(f"no prices of {', '.join(lacking)}")
+    return some.groupBy(date).pivot(key, list(universe)).agg(F.max_by(value, F.struct(order, value)))
+
+
+def scan_market_csv(spark: SparkSession, path: str, universe: Sequence[str], price: str = "close", key: str = "symbol") -> DataFrame:
+    """A market CSV as a price panel of the universe. Dates and prices that don't parse count as missing; of equal dates the last row by ingested_at, then the highest price."""
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("date", T.DateType()), T.StructField(price, T.DoubleType()), T.StructField("ingested_at", T.StringType())])
+    return price_panel(scan_csv(spark, path, schema, (key, "date", price)), universe, key, price, "ingested_at")
+
+
+#: Fields of a feed's item that articles are made of.
+ITEM = "title string, link string, guid string, description string, summary string, content string, pubDate string, updated string, created string, _bad_ string"
+
+
+def published(col: Callable[[str], Column]) -> Column:
+    """The first of an item's dates that parses; without a zone it is in the session's."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(col(c), r"^\w{3},\s*", ""), r"\s+(GMT|UTC|Z)$", " +0000")
+    return F.coalesce(*(F.try_to_timestamp(bare(c), F.lit(f)) for c in ("pubDate", "updated", "created") for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX")))
+
+
+def feed_articles(items: DataFrame, feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles of stored feed items (feed_id, item: one item's XML), and the items that don't parse (feed_id, item, error).
+
+    Feeds are (feed_id, source_id, source, feed_name, category, language, priority, quality); an item of an unknown feed is
+    an error too, so none is lost. Titles and texts are cleaned of markup, the text is the content, else the description;
+    article_id, content_hash and raw_content_hash are SHA-256 of identity, cleaned and raw content. A NULL item is an error.
+    """
+    parsed = items.select("feed_id", "item", F.from_xml("item", ITEM, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad_"}).alias("x"))
+    known = parsed.join(feeds, "feed_id", "left").withColumn("error", F.when(F.col("item").isNull() | F.col("x").isNull() | F.col("x._bad_").isNotNull(), "malformed item").when(F.col("source_id").isNull(), "unknown feed"))
+    field = lambda c: F.nullif(F.col(f"x.{c}"), F.lit(""))
+    summary = F.coalesce(field("summary"), field("description"), F.lit(""))
+    raw = F.coalesce(field("content"), summary)
+    good = known.where("error IS NULL").withColumns({"title": tx.clean_html(F.coalesce(field("title"), F.lit(""))), "url": field("link"), "canonical_url": F.when(field("link").isNotNull(), tx.canonical_url(field("link"))), "published_at": published(field), "summary": tx.clean_html(summary), "clean_text": tx.clean_html(raw), "_raw_": raw})
+    low = F.lower("title")
+    stamp = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")
+    good = good.withColumns({"article_id": tx.joined_hash(F.col("source_id"), F.col("canonical_url"), low, stamp), "content_hash": tx.joined_hash(low, F.lower("clean_text")), "raw_content_hash": F.sha2(F.coalesce(F.nullif("_raw_", F.lit("")), F.nullif("summary", F.lit("")), F.col("title")), 256)})
+    columns = ("article_id", "source_id", "feed_id", "source", "feed_name", "category", "language", "priority", "quality", "title", "url", "canonical_url", "published_at", "summary", "clean_text", "content_hash", "raw_content_hash")
+    return good.select(*columns), known.where("error IS NOT NULL").select("feed_id", "item", "error")
+
+
 def parse_feed(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items as article rows, read by Spark's XML source; the first date that parses counts."""
+    """RSS items as article rows, read by Spark's XML source; the first date that parses counts. feed_articles() gives whole articles of stored items."""
     raw = spark.read.format("xml").option("rowTag", "item").load(path)
     col = lambda c: F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
-    bare = lambda c: F.regexp_replace(F.regexp_replace(col(c), r"^\w{3},\s*", ""), r"\s+(GMT|UTC|Z)$", " +0000")
-    when = F.coalesce(*(F.try_to_timestamp(bare(c), F.lit(f)) for c in ("pubDate", "updated", "created") for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss")))
-    return raw.select(col("title").alias("title"), col("link").alias("url"), col("description").alias("summary"), when.alias("published_at"))
+    return raw.select(col("title").alias("title"), col("link").alias("url"), col("description").alias("summary"), published(col).alias("published_at"))
