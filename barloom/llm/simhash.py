@@ -148,7 +148,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, k: int, one_in: int = 8, least: int = 3, most: int = 200_000) -> np.ndarray:
-    """Up to `most` shingles that are frequent in one of `one_in` texts, ascending. They only decide an order, never a result."""
+    """Shingles that are frequent in one of `one_in` texts, ascending: the most frequent ones, at most `most`, none if already those of the
+    highest frequencies are more. They only decide an order, never a result. Frequencies are told apart by a fourth of a power of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,13 +159,14 @@ def frequent_shingles(docs: DataFrame, k: int, one_in: int = 8, least: int = 3,
     some = docs.where(F.pmod(F.xxhash64("_text_"), F.lit(one_in)) == 0).select("_text_")
     scratch = Scratch(docs.sparkSession)
     counted = scratch.put(some.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= least))
-    cutoff, total = least, 0
-    for r in sorted(counted.groupBy(F.least("count", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
+    bucket, kept, total = F.floor(F.log2(F.col("count").cast("double")) * 4), None, 0  # of frequencies, without an upper end
+    for r in sorted(counted.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["b"]):
         total += r["n"]
         if total > most:
-            cutoff = r["c"] + 1
             break
-    found = np.sort(np.array([r["h"] for r in counted.where(F.col("count") >= cutoff).select("h").collect()], dtype=np.int64))
+        kept = r["b"]
+    chosen = counted.where(bucket >= kept).select("h").collect() if kept is not None else []
+    found = np.sort(np.array([r["h"] for r in chosen], dtype=np.int64))
     scratch.drop(counted)
     return found
 
