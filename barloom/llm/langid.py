@@ -30,18 +30,18 @@ def plain(text: str) -> str:
 def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", rows_per_lang: int = 128, chars_per_row: int = 1200, most_langs: int = 256) -> dict[str, bytes]:
     """A dictionary for each language of the rows where may_learn holds and lang isn't NULL.
 
-    The sample is bounded: of each language the `rows_per_lang` rows first by a hash of the text, and of each row one
-    excerpt of `chars_per_row` characters from a place that the hash chooses. Top rows are chosen within each task
-    before anything is shuffled (a window limit), so a hot language costs no more than others. Equal texts count once;
+    The sample is bounded: of each language the `rows_per_lang` different texts first by hash, and of each one
+    excerpt of `chars_per_row` characters from a place that the hash chooses. Copies are merged before the limit, so a
+    text with any number of them is one of the sample; only hashes are shuffled for that, merged within tasks first.
     NULL and empty texts and NULL languages teach nothing, and an empty table gives no dictionary.
     More than `most_langs` languages raise an error, since each costs a compression of every text.
     """
     t, h = F.col(text).cast("string"), F.xxhash64(F.col(text).cast("string"))
     start = (F.pmod(h, F.greatest(F.length(t) - chars_per_row, F.lit(1))) + 1).cast("int")
     rows = docs.where(may_learn & F.col(lang).isNotNull() & (F.length(t) > 0)).select(F.col(lang).cast("string").alias("lang"), h.alias("h"), F.substring(t, start, F.lit(chars_per_row)).alias("x"))
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))).where(F.col("k") <= 4 * rows_per_lang).dropDuplicates(["lang", "h"])
-    top = top.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))).where(F.col("k") <= rows_per_lang)
-    found = sorted((r["lang"], r["h"], r["x"]) for r in top.select("lang", "h", "x").toLocalIterator())
+    texts = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows_per_lang)
+    chosen = rows.join(F.broadcast(texts.select("lang", "h")), ["lang", "h"])  # rows_per_lang of each language
+    found = sorted((r["lang"], r["h"], r["x"]) for r in chosen.groupBy("lang", "h").agg(F.min("x").alias("x")).toLocalIterator())
     out: dict[str, list[str]] = {}
     for name, _, x in found:
         out.setdefault(name, []).append(x)
