@@ -108,7 +108,7 @@ def pooled(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
     for g, n, bins in stack:
         last = (g + 0.5 * 0.1) / (n + 0.1) if n else last
         out += [last] * int(bins)
-    return np.clip(np.array(out), 0, 1)
+    return np.maximum.accumulate(np.clip(np.array(out), 0, 1))  # shrinking small blocks more than large ones must not turn their order
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
