@@ -594,3 +594,32 @@ def test_overlaps_and_spanning_links():
         nodes = sorted({x for e in edges for x in e})
         linked = lambda es: lambda a, b: (a, b) in es or (b, a) in es
         assert brute_components(nodes, linked(edges)) == brute_components(nodes, linked(few))
+
+
+def test_frequent_shingles_stay_under_their_bound(spark, monkeypatch):
+    """A crowded top: more shingles are as frequent as can be than fit, and a few rarer ones."""
+    words = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    rows = [(words("a", 60) + f" u{i}",) for i in range(400)] + [(words("b", 12),) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "_text_ string")
+    whole = simhash.frequent_shingles(docs, 5, one_in=1)
+    assert len(whole) == 56 + 8
+    assert len(simhash.frequent_shingles(docs, 5, one_in=1, most=60)) == 56  # the rarer ones don't fit beside them
+    assert len(simhash.frequent_shingles(docs, 5, one_in=1, most=20)) == 0
+
+
+def test_language_sample_is_not_starved_by_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(f"w{x}" for x in rng.integers(0, 999, 30))) for _ in range(200)]
+    least = min(rows, key=lambda r: spark.range(1).select(F.xxhash64(F.lit(r[1]))).first()[0])
+    few = langid.train(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    many = langid.train(spark.createDataFrame([*rows, *[least] * 600], "lang string, text string"), F.lit(True))
+    assert few == many and len(few["en"]) > 128 * 60
+
+
+def test_calibration_is_monotone_for_all_counts():
+    rng = np.random.default_rng(6)
+    assert (np.diff(quality_model.pooled(np.array([99, 1.0]), np.array([100, 1.0]))) >= 0).all()
+    for _ in range(300):
+        n = rng.integers(0, 2) * rng.integers(0, 200, 20)
+        good = rng.binomial(n, rng.random(20))
+        assert (np.diff(quality_model.pooled(good.astype(float), n.astype(float))) >= 0).all()
