@@ -79,17 +79,18 @@ def pending(articles: DataFrame, done: DataFrame, model: str | None = None) -> D
 def dense(features: DataFrame, keys: Sequence[str], columns: Sequence[str], start: str | None = None, end: str | None = None) -> DataFrame:
     """A row for each key and each day from start to end (the first and last date of all unless given), 0 where there was none.
 
-    Rows outside are left out, rows without a date too; NULL keys are keys like others. An empty table or span is empty.
+    Features have a row a key and date. Rows outside are left out, rows without a date too; NULL keys are keys like others.
+    An empty table or span is empty.
     """
     dated = features.where("date IS NOT NULL")
     first, last = (F.lit(day).cast("date") if day else edge for day, edge in ((start, F.min("date")), (end, F.max("date"))))
     span = dated.agg(first.alias("_a_"), last.alias("_z_"))  # one row: two dates
     days = F.when(F.col("_a_") <= F.col("_z_"), F.sequence("_a_", "_z_"))
-    grid = dated.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*(F.col(k).alias(f"_{k}_") for k in keys), F.explode(days).alias("_date_"))
-    met = [F.col(f"_{k}_").eqNullSafe(F.col(k)) for k in keys]
-    joined = grid.join(dated, [*met, F.col("_date_") == F.col("date")], "left")
     rest = [c for c in features.columns if c not in (*keys, "date")]
-    return joined.select(*(F.col(f"_{k}_").alias(k) for k in keys), F.col("_date_").alias("date"), *rest).fillna(0, list(columns))
+    grid = dated.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*keys, F.explode(days).alias("date"), F.lit(True).alias("_in_"))
+    # grouping, unlike a join on equal keys, keeps NULL ones together
+    both = grid.unionByName(dated, allowMissingColumns=True).groupBy(*keys, "date").agg(F.max("_in_").alias("_in_"), *(F.max(c).alias(c) for c in rest))
+    return both.where("_in_").drop("_in_").fillna(0, list(columns))
 
 
 def surprise(df: DataFrame, column: str, keys: Sequence[str], n: int = 20) -> DataFrame:
