@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import text as tx
 from barloom.operators.similarity import best_before
 from barloom.operators.windows import series
+from barloom.sources.scratch import stored
 
 
 def relevance(articles: DataFrame, topics: DataFrame, threshold: float = 0.35, most_bytes: int = 64 << 20) -> DataFrame:
@@ -22,14 +23,20 @@ def relevance(articles: DataFrame, topics: DataFrame, threshold: float = 0.35, m
     return pairs.select("article_id", "topic_id", tx.cosine(F.col("embedding"), F.col("topic"), F.col("_na_"), F.col("_nt_")).alias("similarity_score")).withColumn("is_relevant", F.col("similarity_score") >= threshold)
 
 
-def article_signals(relevance: DataFrame, news: DataFrame, sentiment: DataFrame) -> DataFrame:
+def article_signals(relevance: DataFrame, news: DataFrame, sentiment: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """Relevant articles with source weight, themes, freshness and the components of the daily features.
 
     Only articles that all three tables have. Freshness is counted to the article's own date, so it is 1 unless `news` has another `as_of`.
+    The relevant pairs are stored once. If their ids take at most most_bytes they are sent to the tasks, which then score the
+    themes of no other text; beyond that all texts are scored where they are read, so that texts never travel.
     """
+    relevance = stored(relevance.where("is_relevant"))
+    ids = relevance.select("article_id").distinct()
+    if (ids.agg(F.sum(F.octet_length(F.col("article_id").cast("string")) + 24)).first()[0] or 0) <= most_bytes:
+        news = news.join(F.broadcast(ids), "article_id", "left_semi")  # checked above
     as_of = F.col("as_of") if "as_of" in news.columns else F.col("date")
     about = news.select("article_id", "date", "published_at", as_of.alias("_as_of_"), tx.source_weight(F.col("quality"), F.col("priority")).alias("source_weight"), *(c.alias(n) for n, c in tx.theme_scores(F.col("category"), F.col("title"), F.col("summary"), F.col("clean_text")).items()))
-    s = relevance.where("is_relevant").join(about, "article_id").join(sentiment.select("article_id", "sentiment_score", "novelty_score"), "article_id")
+    s = relevance.join(about, "article_id").join(sentiment.select("article_id", "sentiment_score", "novelty_score"), "article_id")
     s = s.withColumn("freshness_score", F.coalesce(tx.freshness(F.col("published_at"), F.col("_as_of_")), F.lit(1.0))).drop("_as_of_")
     s = s.withColumn("signal_weight", F.col("similarity_score") * F.col("source_weight") * F.col("freshness_score") * F.least(F.greatest("novelty_score", F.lit(0.0)), F.lit(1.0)))
     s = s.withColumns({"weighted_sentiment_component": F.col("sentiment_score") * F.col("signal_weight"), "pressure_component": F.abs("sentiment_score") * F.col("signal_weight")})
@@ -52,8 +59,11 @@ def daily_features(signals: DataFrame) -> DataFrame:
 
 
 def news_features(signals: DataFrame, window: int = 20) -> DataFrame:
-    """The daily features on a dense grid of topics and days, with surprise and acceleration of the volume."""
-    grid = dense(daily_features(signals), ["topic_id"], FEATURES)
+    """The daily features on a dense grid of topics and days, with surprise and acceleration of the volume.
+
+    The daily features are stored once: the grid reads them three times, and each time would score the articles anew.
+    """
+    grid = dense(stored(daily_features(signals)), ["topic_id"], FEATURES)
     return acceleration(surprise(grid, "news_volume", ["topic_id"], window), "news_volume", ["topic_id"])
 
 

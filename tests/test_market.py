@@ -167,6 +167,19 @@ def test_dense_features(spark):
     assert got[0].news_pressure_score == pytest.approx(0.5 * 0.9 * 1.2) and got[0].geopolitical_risk_score == pytest.approx(0.5 * 0.9 * 1.2 * 2 / 3) and got[0].supply_shock_score == pytest.approx(0.5 * 0.9 * 1.2 * 0.35)
     assert got[2].weighted_sentiment_score == pytest.approx(-0.2)
 
+    apart = news.article_signals(rel, about, mood, most_bytes=0)  # too many ids to send: all texts are scored where they are read
+    assert apart.orderBy("article_id").collect() == news.article_signals(rel, about, mood).orderBy("article_id").collect()
+    assert news.news_features(news.article_signals(rel.limit(0), about, mood)).count() == 0
+
+
+def test_features_read_texts_once(spark):
+    from barloom.plans import story
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(story.signals(spark, d)).count("text#") and "BroadcastHashJoin" in plan(story.signals(spark, d))
+    assert "FileScan" not in plan(story.features(spark, d)) and "documents.parquet" not in plan(market.signals(spark, d))
+
 
 def test_surprise(spark):
     s = series(spark, [1.0, 1.0, 5.0], name="v").withColumnRenamed("symbol", "k")
