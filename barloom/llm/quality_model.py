@@ -1,14 +1,15 @@
 """A quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-The features approximate a Gaussian kernel. Each task sums its rows' part of the normal equations; only those sums,
-of a fixed size, travel and are added up. A histogram of the scores is what the calibration is fitted to.
+The features approximate a Gaussian kernel. Each task sums its rows' part of the normal equations, apart for each fold;
+only those sums, of a fixed size, travel and are added up. A fold's rows are scored by the equations of the others, so
+that all labels calibrate; a histogram of those scores is what the calibration is fitted to.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -111,25 +112,83 @@ def pooled(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.clip(np.array(out), 0, 1))  # shrinking small blocks more than large ones must not turn their order
 
 
-def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """A model from rows (x, y 0 or 1, calibrate boolean): ridge scores from the rows not set aside, calibration on those that are.
+def between(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Blocks of equal values joined by straight lines from centre to centre, the centre being the mean bin of a block's rows; monotone as before."""
+    at = np.arange(len(values))
+    block = np.cumsum(np.diff(values, prepend=values[0]) != 0)
+    n, sums = np.bincount(block, counts), np.bincount(block, counts * at)
+    seen = n > 0
+    if not seen.any():
+        return values
+    return np.interp(at, sums[seen] / n[seen], values[np.flatnonzero(np.diff(block, prepend=-1))][seen])
 
-    With no labelled rows every score is 0.5. Only sums of a fixed size reach the driver.
-    """
-    p, d = len(STATISTICS), s.features + 1
+
+def drawn(s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and phases of the random features."""
     rng = np.random.default_rng(s.seed)
-    weights, phase = rng.normal(size=(p, s.features)) / s.width, rng.uniform(0, 2 * np.pi, s.features)
+    return rng.normal(size=(len(STATISTICS), s.features)) / s.width, rng.uniform(0, 2 * np.pi, s.features)
+
+
+def scaled(rows: DataFrame, s: Settings) -> Model:
+    """A model that knows the statistics' mean and deviation over the rows and scores 0.5 everywhere."""
+    p = len(STATISTICS)
 
     def moments(b: pa.RecordBatch) -> np.ndarray:
         x = matrix(b.column(0), p)
         return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
 
-    learn = labelled.where("not calibrate")
-    n, *rest = summed(learn, ["x"], 2 * p + 1, moments)
+    n, *rest = summed(rows, ["x"], 2 * p + 1, moments)
     n = max(n, 1.0)
     mean = np.array(rest[:p]) / n
     scale = np.sqrt(np.maximum(np.array(rest[p:]) / n - mean**2, 0)) + 1e-6
-    blank = Model(mean, scale, weights, phase, np.zeros(d), np.full(s.bins, 0.5))
+    return Model(mean, scale, *drawn(s), np.zeros(s.features + 1), np.full(s.bins, 0.5))
+
+
+def cross_fit(labelled: DataFrame, folds: int, s: Settings = Settings()) -> Model:
+    """A model from rows (x, y 0 or 1, fold 0 to folds - 1): ridge scores from all of them, calibrated on each fold's scores by the others.
+
+    With no labelled rows every score is 0.5. Only sums of a fixed size reach the driver, and the equations' upper triangles at that.
+    """
+    p, d = len(STATISTICS), s.features + 1
+    upper = np.triu_indices(d)
+    size = len(upper[0]) + d
+    blank = scaled(labelled, s)
+
+    def equations(b: pa.RecordBatch) -> np.ndarray:
+        f, y, of = blank.features(matrix(b.column(0), p)), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        out = np.zeros((folds, size))
+        for k in np.unique(of):
+            g = f[of == k]
+            out[k] = np.concatenate([(g.T @ g)[upper], g.T @ y[of == k]])
+        return out.ravel()
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        a = np.zeros((d, d))
+        a[upper] = sums[:-d]
+        return np.linalg.solve(a + np.triu(a, 1).T + s.ridge * np.eye(d), sums[-d:])
+
+    sums = summed(labelled, ["x", "y", "fold"], folds * size, equations).reshape(folds, size)
+    total = sums.sum(0)
+    others = np.stack([solved(total - own) for own in sums])
+
+    def histogram(b: pa.RecordBatch) -> np.ndarray:
+        f, y, of = blank.features(matrix(b.column(0), p)), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        at = bin_of((f * others[of]).sum(1), s.bins)
+        return np.concatenate([np.bincount(at, y, s.bins), np.bincount(at, minlength=s.bins)])
+
+    counts = summed(labelled, ["x", "y", "fold"], 2 * s.bins, histogram)
+    good, every = counts[: s.bins], counts[s.bins :]
+    return replace(blank, beta=solved(total), calibrated=between(pooled(good, every), every))
+
+
+def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
+    """A model from rows (x, y 0 or 1, calibrate boolean): ridge scores from the rows not set aside, calibration on those that are.
+
+    With no labelled rows every score is 0.5. Only sums of a fixed size reach the driver.
+    """
+    p, d = len(STATISTICS), s.features + 1
+    learn = labelled.where("not calibrate")
+    blank = scaled(learn, s)
 
     def equations(b: pa.RecordBatch) -> np.ndarray:
         f = blank.features(matrix(b.column(0), p))
@@ -138,14 +197,14 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
 
     sums = summed(learn, ["x", "y"], d * d + d, equations)
     beta = np.linalg.solve(sums[: d * d].reshape(d, d) + s.ridge * np.eye(d), sums[d * d :])
-    scored = Model(mean, scale, weights, phase, beta, np.full(s.bins, 0.5))
+    scored = replace(blank, beta=beta)
 
     def histogram(b: pa.RecordBatch) -> np.ndarray:
         at, y = scored.bin(matrix(b.column(0), p)), b.column(1).to_numpy(zero_copy_only=False)
         return np.concatenate([np.bincount(at, y, s.bins), np.bincount(at, minlength=s.bins)])
 
     counts = summed(labelled.where("calibrate"), ["x", "y"], 2 * s.bins, histogram)
-    return Model(mean, scale, weights, phase, beta, pooled(counts[: s.bins], counts[s.bins :]))
+    return replace(scored, calibrated=pooled(counts[: s.bins], counts[s.bins :]))
 
 
 def predict(rows: DataFrame, model: Model, doc_id: str = "doc_id") -> DataFrame:
@@ -160,16 +219,19 @@ def predict(rows: DataFrame, model: Model, doc_id: str = "doc_id") -> DataFrame:
     return rows.select(doc_id, "x").mapInArrow(run, f"`{doc_id}` {kept.dataType.simpleString()}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, may_learn: Column, set_aside: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", s: Settings = Settings()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, may_learn: Column, set_aside: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "quality", s: Settings = Settings(), folds: int = 4) -> DataFrame:
     """(id, score) of every row of docs, 0 to 1, higher where label 1 is likelier.
 
-    Learns from the labels of rows where may_learn holds, calibrating on those of them where set_aside does. NULL
+    Learns from the labels of rows where may_learn holds. All of them calibrate too, in `folds` folds by a hash of the
+    statistics, so that copies of a text share a fold; with set_aside, only the rows where it holds calibrate, and they do
+    nothing else. Columns of docs and labels but the named ones are left alone, whatever their names. NULL
     labels teach nothing; a document with several label rows counts once for each; labels without a document are
     ignored. Texts are read once: their statistics are kept in a checkpoint. NULL and empty texts get the score of all-zero
     statistics; repeated and NULL ids keep a row each, NULL ids without labels.
     """
     stats = checkpoint(measured(docs, doc_id, text))
     y = labels.select(F.col(doc_id).alias("_label_id_"), F.col(label).cast("double").alias("y")).where("y in (0, 1)")
-    marked = stats.select(doc_id, "x", may_learn.alias("_learn_"), set_aside.alias("calibrate")).where("_learn_")
-    labelled = checkpoint(marked.join(y, marked[doc_id] == y["_label_id_"]).select("x", "y", "calibrate"))
-    return predict(stats, fit(labelled, s), doc_id)
+    way = F.pmod(F.xxhash64("x"), F.lit(folds)).cast("int").alias("fold") if set_aside is None else set_aside.alias("calibrate")
+    marked = stats.select(doc_id, "x", may_learn.alias("_learn_"), way).where("_learn_")
+    labelled = checkpoint(marked.join(y, marked[doc_id] == y["_label_id_"]).drop(doc_id, "_learn_", "_label_id_"))
+    return predict(stats, cross_fit(labelled, folds, s) if set_aside is None else fit(labelled, s), doc_id)

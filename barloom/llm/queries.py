@@ -58,7 +58,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learnable(5, 0), in_fold(F.col("doc_id"), 5, 4))
+    out = quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learnable(5, 0))
     return out.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

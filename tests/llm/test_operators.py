@@ -623,3 +623,36 @@ def test_calibration_is_monotone_for_all_counts():
         n = rng.integers(0, 2) * rng.integers(0, 200, 20)
         good = rng.binomial(n, rng.random(20))
         assert (np.diff(quality_model.pooled(good.astype(float), n.astype(float))) >= 0).all()
+
+
+def test_cross_fit_against_direct_solution(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(300, len(quality_model.STATISTICS)))
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(float)
+    fold = np.arange(300) % 4
+    rows = spark.createDataFrame([(x[i].tolist(), float(y[i]), int(fold[i])) for i in range(300)], "x array<double>, y double, fold int").repartition(7)
+    s = quality_model.Settings(features=20)
+    m = quality_model.cross_fit(rows, 4, s)
+    f = m.features(x)
+    direct = lambda rows: np.linalg.solve(f[rows].T @ f[rows] + s.ridge * np.eye(21), f[rows].T @ y[rows])
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.beta, direct(fold >= 0))
+    at = quality_model.bin_of(np.array([f[i] @ direct(fold != fold[i]) for i in range(300)]), s.bins)
+    good, every = np.bincount(at, y, s.bins), np.bincount(at, minlength=s.bins).astype(float)
+    assert np.allclose(m.calibrated, quality_model.between(quality_model.pooled(good, every), every)) and (np.diff(m.calibrated) >= -1e-12).all()
+    none = quality_model.cross_fit(rows.limit(0), 4, s)
+    assert (none.calibrated == 0.5).all()
+
+
+def test_lines_between_blocks_by_hand():
+    assert np.allclose(quality_model.between(np.array([0.2, 0.2, 0.2, 0.6, 0.6]), np.array([1.0, 0, 1, 2, 0])), [0.2, 0.2, 0.4, 0.6, 0.6])
+    assert np.allclose(quality_model.between(np.full(3, 0.5), np.zeros(3)), 0.5)
+
+
+def test_quality_is_cross_fitted(spark, odd):
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.score for r in queries.op7_quality_model(spark, d).collect()}
+    assert len(set(got.values())) >= 20
+    labels = spark.createDataFrame([(6, 1, "x", 0.5), (7, 0, "y", 0.1), (99, 1, None, None), (None, 1, None, None)], "doc_id long, quality int, text string, score double")
+    scored = quality_model.classify(odd, labels, F.lit(True)).collect()  # columns of the same names stay apart
+    assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
+    assert {r.score for r in quality_model.classify(odd, empty(labels), F.lit(True)).collect()} == {0.5}
