@@ -100,9 +100,10 @@ def missing_report(before: DataFrame, after: DataFrame, columns: Sequence[str])
 
 
 def clean_news(raw: DataFrame, order: Column) -> DataFrame:
-    """Trimmed articles with a title and an id: the last of each article_id by `order`, then the last of each content_hash."""
+    """Trimmed articles with a title and an id: the last of each article_id by `order`, then the last of each content_hash. Ties go to the larger hash, then id."""
     trimmed = raw.withColumn("title", F.trim("title")).where("title <> '' AND article_id IS NOT NULL AND content_hash IS NOT NULL").withColumn("_order_", order)
-    return latest_per_key(latest_per_key(trimmed, ["article_id"], [F.desc("_order_")]), ["content_hash"], [F.desc("_order_")]).drop("_order_")
+    last = [F.desc("_order_"), F.desc("content_hash"), F.desc("article_id")]
+    return latest_per_key(latest_per_key(trimmed, ["article_id"], last), ["content_hash"], last).drop("_order_")
 
 
 def missing_symbols(expected: DataFrame, bars: DataFrame) -> DataFrame:

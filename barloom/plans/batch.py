@@ -11,6 +11,7 @@ from barloom.operators import calendars, cleaning, fx, index, metrics, news, por
 from barloom.plans.market import BARS, DAILY, FULL, ORACLE_SQL, PANEL, bars, daily, panel, query
 from barloom.plans.marts import BENCH, MARKET, staged
 from barloom.sources import adapters, tables
+from barloom.sources.scratch import checkpoint_dir
 
 # ---- means over long series
 
@@ -143,8 +144,6 @@ UNIVERSE = ("3-MEDIUM", "1-URGENT", "5-LOW")
 
 def file_of_orders(s, d) -> str:
     """A CSV of the orders' prices, in the shared checkpoint folder."""
-    from barloom.sources.scratch import checkpoint_dir
-
     o = adapters.read(s, d, "orders")
     path = f"{checkpoint_dir(s)}/orders-{uuid.uuid4().hex}"
     day = F.when(F.col("o_orderkey") % 50 == 0, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -160,6 +159,35 @@ def _(s, d):
     return tables.scan_market_csv(s, file_of_orders(s, d), UNIVERSE)
 
 
+@query("SRC4_latest_snapshot", "SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE year(CAST(o_orderdate AS DATE)) = 1997")
+def _(s, d):
+    """A snapshot a year, the newest without rows."""
+    o, stem = adapters.read(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.year("o_orderdate").alias("year")), f"{checkpoint_dir(s)}/snapshots-{uuid.uuid4().hex}"
+    for year in (1995, 1997, 2005):
+        tables.write_csv(o.where(F.col("year") == year).drop("year"), f"{stem}/orders_{year}1231.csv")
+    return tables.latest_snapshot(s, f"{stem}/orders_*.csv", o.drop("year").schema)
+
+
+@query("SRC5_reshape_wide", f"""WITH l AS ({LONG}) SELECT g.date, g.symbol, round(l.price, 6) AS close FROM (SELECT DISTINCT l.date, u.symbol FROM l, l AS u) g LEFT JOIN l ON l.date = g.date AND l.symbol = g.symbol""")
+def _(s, d):
+    wide = tables.scan_market_csv(s, file_of_orders(s, d), UNIVERSE)
+    return tables.wide_to_long(wide.withColumnsRenamed({n: f"Close|{n}" for n in UNIVERSE}), ["date"])
+
+
+@query("CLN8_clean_news", """WITH r AS (SELECT doc_id // 2 AS article_id, trim(string_split(text, chr(10))[1]) AS title, md5(text) AS content_hash, doc_id FROM documents),
+a AS (SELECT * FROM r WHERE title <> '' AND article_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY doc_id DESC, content_hash DESC) = 1)
+SELECT article_id, content_hash, title, doc_id FROM a QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DESC, article_id DESC) = 1""")
+def _(s, d):
+    raw = adapters.read(s, d, "documents").select(F.expr("doc_id div 2").alias("article_id"), F.split("text", "\n")[0].alias("title"), F.md5(F.encode("text", "UTF-8")).alias("content_hash"), "doc_id")
+    return cleaning.clean_news(raw, F.col("doc_id"))
+
+
+@query("DQ11_source_freshness", "SELECT max(CAST(o_orderdate AS DATE)) AS last_stamp, CASE WHEN DATE '1998-08-06' - max(CAST(o_orderdate AS DATE)) > 7 THEN 'error' WHEN DATE '1998-08-06' - max(CAST(o_orderdate AS DATE)) > 2 THEN 'warn' ELSE 'pass' END AS status FROM orders")
+def _(s, d):
+    stamped = adapters.read(s, d, "orders").select(F.to_date("o_orderdate").alias("loaded"))
+    return cleaning.freshness_status(stamped, F.lit("1998-08-06").cast("date"), "loaded")
+
+
 @query("SET4_pivot_and_back", f"WITH l AS ({LONG}) SELECT date, symbol, round(price, 6) AS price FROM l")
 def _(s, d):
     o = adapters.read(s, d, "orders").where("o_orderkey % 50 <> 0").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").cast("double").alias("price"), "o_orderkey")

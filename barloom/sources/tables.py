@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +29,17 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType, required: Seq
 
 
 def latest_snapshot(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """Rows of the newest dated file (…YYYYMMDD.csv) that has rows."""
-    rows = spark.read.schema(schema).csv(pattern, header=True).withColumn("_day_", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1))
-    newest = rows.agg(F.max("_day_").alias("_newest_"))
-    return rows.join(F.broadcast(newest), F.col("_day_") == F.col("_newest_"), "left_semi").drop("_day_")  # one row
+    """Rows of the newest dated CSV (…YYYYMMDD.csv, a file or a folder of parts) that has rows; none if none has.
+
+    Only names are listed at first; then files are read from the newest on until one isn't empty.
+    """
+    paths = [r[0] for r in spark.read.format("binaryFile").load(pattern).select("path").collect()]  # names, no contents
+    dated = sorted({(m[1], m[0]) for p in paths if (m := re.match(r".*(\d{8})\.csv(?=/|$)", p))}, reverse=True)
+    for day in dict.fromkeys(day for day, _ in dated):
+        rows = spark.read.schema(schema).csv([p for d, p in dated if d == day], header=True)
+        if not rows.isEmpty():
+            return rows
+    return spark.createDataFrame([], schema)
 
 
 def next_window(table: DataFrame, end: str, start: str, date: str = "date") -> DataFrame:

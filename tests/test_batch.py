@@ -246,3 +246,17 @@ def test_source_freshness(spark):
     t = spark.createDataFrame([("2024-01-01 00:00:00",)], "loaded string").select(F.col("loaded").cast("timestamp").alias("loaded"))
     states = [cleaning.freshness_status(t, F.lit(now).cast("date"), "loaded").first().status for now in ("2024-01-02", "2024-01-05", "2024-01-09")]
     assert states == ["pass", "warn", "error"]
+
+
+def test_news_ties_and_snapshots_without_rows(spark, tmp_path):
+    rows = [("a", " x ", "h1", 1), ("a", "y", "h2", 1), ("b", "z", "h2", 1), ("c", " ", "h3", 9), (None, "t", "h4", 1), ("d", "t", None, 1)]
+    raw = spark.createDataFrame(rows, "article_id string, title string, content_hash string, at int")
+    want = [("b", "z", "h2", 1)]  # of a's rows the larger hash, of h2's the larger id
+    for some in (raw, raw.orderBy(F.desc("title")).repartition(3)):
+        assert [tuple(r) for r in cleaning.clean_news(some, F.col("at")).select(*raw.columns).collect()] == want
+    for day in ("20240101", "20240102"):
+        (tmp_path / f"m_{day}.csv").write_text("k\n")
+    empty = tables.latest_snapshot(spark, f"{tmp_path}/m_*.csv", raw.select(F.col("at").alias("k")).schema)
+    assert empty.columns == ["k"] and empty.count() == 0
+    (tmp_path / "m_20231231.csv").write_text("k\n7\n")
+    assert [r.k for r in tables.latest_snapshot(spark, f"{tmp_path}/m_*.csv", empty.schema).collect()] == [7]
