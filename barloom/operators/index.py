@@ -132,7 +132,15 @@ def cash_reserve(portfolio: DataFrame, reserve: float, base: float = 100.0) -> D
 
 
 def local_portfolio(panel: DataFrame, base: float = 100.0) -> DataFrame:
-    """Mean local-currency return by date, compounded."""
-    w = Window.partitionBy("symbol").orderBy("date")
-    r = panel.withColumn("r", F.try_divide(F.col("price"), F.lag("price").over(w)) - 1).groupBy("date").agg(F.avg("r").alias("daily_return"))
-    return r.withColumn("level", base * F.product(1 + F.coalesce("daily_return", F.lit(0.0))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    """Mean local-currency return over the dates on which every symbol has a price, compounded, with its drawdown.
+
+    Symbols without any price don't count. The first return is 0; no whole date, no rows.
+    """
+    priced = panel.where("price IS NOT NULL")
+    names = priced.agg(F.count_distinct("symbol").alias("_all_"))
+    whole = priced.withColumn("_have_", F.count("*").over(Window.partitionBy("date"))).join(F.broadcast(names), F.col("_have_") == F.col("_all_"))  # one row
+    before = F.lag("price").over(Window.partitionBy("symbol").orderBy("date"))
+    r = whole.withColumn("r", F.coalesce(F.try_divide(F.col("price"), before) - 1, F.lit(0.0))).groupBy("date").agg(F.avg("r").alias("daily_return"))
+    so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a date
+    level = r.withColumn("level", base * F.product(1 + F.col("daily_return")).over(so_far))
+    return level.withColumn("drawdown", F.col("level") / F.max("level").over(so_far) - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import text as tx
 from barloom.operators import calendars, cleaning, fx, index, metrics, news, portfolio, scans
-from barloom.plans.market import BARS, DAILY, FULL, ORACLE_SQL, PANEL, bars, daily, panel, query
+from barloom.plans.market import BARS, DAILY, FULL, GAPPY, ORACLE_SQL, PANEL, bars, daily, gappy, panel, query
 from barloom.plans.marts import BENCH, MARKET, staged
 from barloom.sources import adapters, tables
 from barloom.sources.scratch import checkpoint_dir
@@ -68,6 +68,14 @@ def _(s, d):
     return m.join(weights.select("date", "symbol", "actual_weight"), ["date", "symbol"], "left").select("symbol", "date", "price", "actual_weight", F.round("index_level", 4).alias("index_level"))
 
 
+@query("WIN36_local_portfolio", GAPPY + """, w AS (SELECT * FROM gap QUALIFY count(price) OVER (PARTITION BY date) = count(*) OVER (PARTITION BY date)),
+r AS (SELECT date, avg(r) AS daily_return FROM (SELECT date, coalesce(price / lag(price) OVER (PARTITION BY symbol ORDER BY date) - 1, 0) AS r FROM w) GROUP BY date),
+l AS (SELECT *, 100 * exp(sum(ln(1 + daily_return)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS level FROM r)
+SELECT date, round(daily_return, 6) + 0.0 AS daily_return, round(log10(level), 6) + 0.0 AS log_level, round(level / max(level) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) + 0.0 AS drawdown FROM l""")
+def _(s, d):
+    return index.local_portfolio(gappy(s, d)).select("date", "daily_return", F.log10("level").alias("log_level"), "drawdown")
+
+
 # ---- metrics beside the market
 
 MARKET_CURVE = BENCH.replace("WITH raw", ", raw") + f""", gb AS (SELECT date, avg(daily_return) AS daily_return FROM stg WHERE {MARKET} GROUP BY date),

@@ -162,6 +162,10 @@ def test_index_history_against_a_loop(spark):
 def test_local_portfolio(spark):
     panel = spark.createDataFrame([("A", day(0), 10.0), ("A", day(1), 11.0), ("B", day(0), 20.0), ("B", day(1), 18.0)], "symbol string, date date, price double")
     assert [round(r.level, 6) for r in index.local_portfolio(panel).orderBy("date").collect()] == [100.0, 100.0]
+    more = spark.createDataFrame([("A", day(2), 99.0), ("B", day(2), None), ("A", day(3), 5.5), ("B", day(3), 18.0), ("C", day(3), None)], panel.schema)
+    got = index.local_portfolio(panel.union(more)).orderBy("date").collect()  # day 2 isn't whole, C has no price
+    assert [(r.date, round(r.daily_return, 6), round(r.drawdown, 6)) for r in got] == [(day(0), 0, 0), (day(1), 0, 0), (day(3), -0.25, -0.25)]
+    assert index.local_portfolio(panel.limit(0)).count() == 0
 
 
 def test_conversion(spark):
