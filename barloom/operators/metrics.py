@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.nullsafe import divide, growth_log
 from barloom.operators.strategies import drawdowns, flag
+from barloom.operators.windows import latest_per_key
 
 DAYS = 252.0
 
@@ -85,6 +86,42 @@ def market_metrics(daily: DataFrame, curve: DataFrame, keys: Sequence[str] = ("s
     return out.withColumns({"total_cost_rate": F.col("total_fees") + F.col("total_slippage"), **{n: F.col("cumulative_return") - F.coalesce(c, F.lit(0.0)) for n, c in over.items()}})
 
 
+def equity_scalars(rows: DataFrame, keys: Sequence[str], equity: str = "equity", trade_return: str | None = None, order: str = "date", days: float = DAYS, risk_free: float = 0.0) -> DataFrame:
+    """By key, of a curve of equity: returns, volatility, ratios, drawdown, share of winning and profit factor, where what is undefined counts as 0.
+
+    The other convention beside strategy_metrics(), which has NULL there. Daily returns are the curve's changes, 0 on the
+    first day and where the value before is missing or 0. Winning and profit are judged on `trade_return` where it isn't
+    NULL, by default on the daily returns; all of them count, also those of 0, and gains without any loss are infinite.
+    Rows without an equity are left out; of equal dates all columns decide the order.
+    """
+    some = rows.where(F.col(equity).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(order, *(F.col(c) for c in sorted(set(rows.columns) - {*keys, order})))
+    e = F.col(equity).cast("double")
+    at = some.select(*keys, F.row_number().over(w).alias("_i_"), e.alias("_e_"), F.coalesce(divide(e, F.lag(e).over(w)) - 1, F.lit(0.0)).alias("_r_"), divide(e, F.max(e).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("_share_"), *([F.col(trade_return).alias("_t_")] if trade_return else []))
+    r, t = F.col("_r_"), F.col("_t_" if trade_return else "_r_")
+    year, falls = F.sqrt(F.lit(days)), F.when(r < 0, r)
+    sums = at.groupBy(*keys).agg(
+        F.count("*").alias("days"), F.min_by("_e_", "_i_").alias("_first_"), F.max_by("_e_", "_i_").alias("_last_"), (F.avg(r) * days - risk_free).alias("_excess_"), (F.stddev_samp(r) * year).alias("_vol_"), (F.stddev_samp(falls) * year).alias("_down_"),
+        F.coalesce(F.min("_share_") - 1, F.lit(0.0)).alias("max_drawdown"), F.coalesce(F.avg((t > 0).cast("double")), F.lit(0.0)).alias("win_rate"), F.coalesce(F.sum(F.when(t > 0, t)), F.lit(0.0)).alias("_won_"), F.coalesce(-F.sum(F.when(t < 0, t)), F.lit(0.0)).alias("_lost_"),
+    )
+    ratio = lambda a, b: F.coalesce(divide(F.col(a), F.col(b)), F.lit(0.0))
+    growth = divide(F.col("_last_"), F.col("_first_"))
+    yearly = F.when((F.col("days") < 2) | (F.col("_first_") <= 0), 0.0).otherwise(F.pow(growth, F.lit(days) / F.col("days")) - 1)
+    out = sums.withColumns({"cumulative_return": F.coalesce(growth - 1, F.lit(0.0)), "annualized_return": yearly, "annualized_volatility": F.coalesce("_vol_", F.lit(0.0)), "sharpe_ratio": ratio("_excess_", "_vol_"), "sortino_ratio": ratio("_excess_", "_down_")})
+    out = out.withColumns({"calmar_ratio": F.coalesce(divide(F.col("annualized_return"), F.abs("max_drawdown")), F.lit(0.0)), "profit_factor": F.when(F.col("_lost_") == 0, F.when(F.col("_won_") > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise(F.col("_won_") / F.col("_lost_"))})
+    return out.drop("_first_", "_last_", "_excess_", "_vol_", "_down_", "_won_", "_lost_")
+
+
+OVERVIEW = ("news_volume", "news_pressure_score", "weighted_sentiment_score", "news_acceleration", "geopolitical_risk_score", "supply_shock_score", "weather_risk_score")
+
+
+def overview(signals: DataFrame, metrics: DataFrame) -> DataFrame:
+    """A row a symbol: its latest signal with the news of that day, and the metrics of the strategy that gave it; of equal dates the first strategy by name."""
+    first = latest_per_key(signals.select("symbol", "date", "strategy_name", "close", "signal", *OVERVIEW), ["symbol"], [F.desc("date"), F.asc("strategy_name")])
+    named = first.withColumnsRenamed({"date": "latest_date", "close": "latest_close", "signal": "latest_signal"})
+    return named.join(metrics.drop("first_date", "last_date", "days"), ["symbol", "strategy_name"], "left")
+
+
 def benchmark_daily(daily: DataFrame, condition: Column) -> DataFrame:
     """Mean return by date over the rows that count as the global benchmark."""
     return daily.where(condition).groupBy("date").agg(F.avg("daily_return").alias("daily_return"))

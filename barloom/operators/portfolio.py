@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.nullsafe import divide
 from barloom.operators.metrics import DAYS
+from barloom.operators.staging import BENCHMARK, typed
 from barloom.operators.windows import series
 
 INDEX_ID = "synthetic_commodity_index"
@@ -111,6 +112,41 @@ def benchmark_rows(levels: DataFrame, index: DataFrame, prefix: str = "buy_hold_
     return hold.unionByName(whole).withColumns({"daily_return": change, "drawdown": fall}).withColumnRenamed("level", "benchmark_level")
 
 
+def stored_benchmarks(master: DataFrame, source: str, index_id: str = INDEX_ID, prefix: str = "buy_hold") -> DataFrame:
+    """Rows of the stored benchmark table, two for each row of the master data: the asset held, and the index with the asset's weights.
+
+    Needs symbol, date, price, asset_level, asset_return, index_level; index_return, index_drawdown, actual_weight,
+    target_weight, rebalance_executed, name, category and priority are taken where they are there. Both rows come from one scan.
+    """
+    have = lambda c, t="double": (F.col(c) if c in master.columns else F.lit(None)).cast(t)
+    name = F.coalesce(have("name", "string"), F.col("symbol"))
+    none = F.lit(None)
+
+    def row(id_: Column, kind: str, title: Column, level: str, change: Column, *index_only: Column) -> Column:
+        fall, actual, target, executed = index_only or (none.cast("double"),) * 3 + (none.cast("boolean"),)
+        return F.struct(id_.alias("benchmark_id"), F.lit(kind).alias("benchmark_type"), title.alias("benchmark_name"), have(level).alias("benchmark_level"), change.alias("daily_return"), fall.alias("drawdown"), actual.alias("actual_weight"), target.alias("target_weight"), executed.alias("rebalance_executed"))
+
+    held = row(F.concat(F.lit(f"{prefix}_"), F.lower("symbol")), "buy_and_hold", F.concat(F.lit("Buy & Hold "), name), "asset_level", have("asset_return"))
+    whole = row(F.lit(index_id), "synthetic_index", F.lit(index_id), "index_level", have("index_return"), have("index_drawdown"), have("actual_weight"), have("target_weight"), have("rebalance_executed", "boolean"))
+    rows = master.select("date", F.col("symbol").alias("component_id"), F.col("symbol").alias("component_symbol"), name.alias("component_name"), have("category", "string").alias("category"), have("priority", "string").alias("priority"), F.col("price").alias("close_price"), F.lit(source).alias("source"), F.inline(F.array(held, whole)))
+    return typed(rows, BENCHMARK)
+
+
+def external_benchmark(prices: DataFrame, benchmark_id: str, symbol: str, name: str, category: str, source: str, kind: str = "global", base: float = 100.0) -> DataFrame:
+    """A benchmark from outside (date, close; one row a date) as rows of the stored table, rebased to `base` on its first date with a price.
+
+    Rows without a date or price are left out; a first price of 0 gives NULL levels. One series has few rows, which is
+    what makes windows without keys affordable.
+    """
+    some = prices.where("date IS NOT NULL AND close IS NOT NULL").select("date", F.col("close").cast("double").alias("close_price"), F.lit(benchmark_id).alias("benchmark_id"))
+    w = series("benchmark_id")
+    rebased = some.withColumn("benchmark_level", divide(F.col("close_price"), F.first("close_price").over(w)) * base)
+    falls = divide(F.col("benchmark_level"), F.max("benchmark_level").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1
+    rows = rebased.withColumns({"daily_return": divide(F.col("benchmark_level"), F.lag("benchmark_level").over(w)) - 1, "drawdown": falls})
+    fixed = {"benchmark_type": kind, "benchmark_name": name, "component_id": "GLOBAL", "component_symbol": symbol, "component_name": name, "category": category, "source": source}
+    return typed(rows.withColumns({c: F.lit(v) for c, v in fixed.items()}), BENCHMARK)
+
+
 def master(levels: DataFrame, prices: DataFrame, index: DataFrame, dimension: DataFrame) -> DataFrame:
     """Prices with the asset's level and return, the index' level and the dimension's attributes; NULL where there are none."""
     own = levels.select("symbol", "date", F.col("level").alias("asset_level")).withColumn("asset_return", divide(F.col("asset_level"), F.lag("asset_level").over(series("symbol"))) - 1)

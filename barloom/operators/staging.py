@@ -52,12 +52,17 @@ def embeddings(raw: DataFrame) -> DataFrame:
     return typed(raw, EMBEDDINGS, ["article_id", "embedding"])
 
 
-def sentiment(raw: DataFrame) -> DataFrame:
-    return typed(raw, SENTIMENT, ["article_id"])
+def of_model(rows: DataFrame, column: str, model: str | None, keys: Sequence[str]) -> DataFrame:
+    """One model's rows, the one calculated last of each key. Without a model all rows stay, and a join with two models' rows gives each article twice."""
+    return rows if model is None else latest_per_key(rows.where(F.col(column) == model), keys, [F.desc_nulls_last("calculated_at")])
 
 
-def relevance(raw: DataFrame) -> DataFrame:
-    return typed(raw, RELEVANCE, ["article_id", "commodity_id"])
+def sentiment(raw: DataFrame, model: str | None = None) -> DataFrame:
+    return of_model(typed(raw, SENTIMENT, ["article_id"]), "sentiment_model", model, ["article_id"])
+
+
+def relevance(raw: DataFrame, model: str | None = None) -> DataFrame:
+    return of_model(typed(raw, RELEVANCE, ["article_id", "commodity_id"]), "embedding_model", model, ["article_id", "commodity_id"])
 
 
 def logs(raw: DataFrame) -> DataFrame:

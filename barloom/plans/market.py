@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,10 +112,10 @@ def tech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.technical(bars(spark, sf_dir))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules on indicators and news. News is joined to the bars, which are dealt by symbol and date already, before the one shuffle by symbol."""
+def signals(spark: SparkSession, sf_dir: str, also: Sequence[str] = ()) -> DataFrame:
+    """The rules on indicators and news, with further columns of them. News is joined to the bars, which are dealt by symbol and date already, before the one shuffle by symbol."""
     with_news = news.with_news(bars(spark, sf_dir), story.features(spark, sf_dir))
-    return strategies.fan_out(strategies.breakout_state(indicators.technical(with_news)), strategies.rules(), ("symbol", "date", "close", "simple_return"))
+    return strategies.fan_out(strategies.breakout_state(indicators.technical(with_news)), strategies.rules(), ("symbol", "date", "close", "simple_return", *also))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

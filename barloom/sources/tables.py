@@ -56,7 +56,8 @@ def truncate(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """Texts as they are: quotes doubled, line breaks and outer blanks kept. scan_csv() reads the same back, but for empty texts, which come back as NULL."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, partition: Sequence[str] = ()) -> bool:
@@ -104,9 +105,13 @@ ITEM = "title string, link string, guid string, description string, summary stri
 
 
 def published(col: Callable[[str], Column]) -> Column:
-    """The first of an item's dates that parses; without a zone it is in the session's."""
-    bare = lambda c: F.regexp_replace(F.regexp_replace(col(c), r"^\w{3},\s*", ""), r"\s+(GMT|UTC|Z)$", " +0000")
-    return F.coalesce(*(F.try_to_timestamp(bare(c), F.lit(f)) for c in ("pubDate", "updated", "created") for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX")))
+    """The first of an item's dates that parses; one without a zone is in UTC."""
+
+    def bare(c: str) -> Column:
+        day = F.regexp_replace(F.trim(col(c)), r"^\w{3},\s*", "")
+        return F.regexp_replace(F.regexp_replace(day, r"\s+(GMT|UTC|UT|Z)$", " +0000"), r"^(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})$", "$1 +0000")
+
+    return F.coalesce(*(F.try_to_timestamp(bare(c), F.lit(f)) for c in ("pubDate", "updated", "created") for f in ("d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX")))
 
 
 def feed_articles(items: DataFrame, feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
