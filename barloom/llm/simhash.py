@@ -263,14 +263,15 @@ def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[li
     return names[group[moved]].tolist(), names[moved].tolist()
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512, tile: int = 4) -> DataFrame:
     """(id, component_id) where documents are linked exactly if their sets of k-word shingles have that Jaccard similarity.
 
     Equal sets are one node. Similar nodes share a shingle of their prefixes (see there). All pairs of a group that shares one
     are candidates if it has up to `hot` nodes; groups of the same nodes are paired once. In a larger group each node
     is first compared with the least one and then with the one with most links. Groups that these links don't connect
     are cut into chunks of bounded size, and chunks that meet in a group are compared as a whole within a task, which
-    returns no more links than it has nodes: so their pairs are compared but never are rows. Chunks of one and the
+    returns fewer links than it has nodes for each two chunks: so their pairs are compared but never are rows. A task takes two tiles
+    of up to `tile` chunks, so a chunk's sets are sent once for a tile of partners, not once for each. Chunks of one and the
     same component aren't compared. Pairs are verified: sizes and prefixes bound the overlap from above, and what is
     left is compared by whole sets, as are chunks. Nothing depends on the number of documents. Wordless texts are one
     node; NULL ids count for no smallest id, and repeated rows keep a row each.
@@ -356,22 +357,30 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         large = home.groupBy("home", "group").agg(F.count("*").alias("members")).where("members >= 64").select("home", "group", F.lit(True).alias("alone"))
         kinds = scratch.put(home.join(large, ["home", "group"], "left").select("home", "node", "n", "group", F.coalesce("alone", F.lit(False)).alias("alone"), F.when(F.col("alone"), F.col("group")).otherwise(0).alias("kind")))
         cut = kinds.groupBy("home", "alone", "kind").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / chunk_nodes)).cast("int").alias("parts"))
-        chunks = scratch.put(kinds.join(cut, ["home", "alone", "kind"]).select("node", "group", "alone", "kind", F.xxhash64("home", "alone", "kind", F.pmod(F.xxhash64("node"), "parts")).alias("chunk")))
-        meets = scratch.put(left.select("key", "node").join(chunks, "node").select("key", "chunk", "alone", "kind").distinct())
-        other = meets.select("key", F.col("chunk").alias("with"), F.col("alone").alias("alone_too"), F.col("kind").alias("kind_too"))
-        tasks = meets.join(other, "key").where((F.col("chunk") <= F.col("with")) & ~(F.col("alone") & F.col("alone_too") & (F.col("kind") == F.col("kind_too")))).select("chunk", "with").distinct()
-        sides = tasks.select(F.struct("chunk", "with").alias("task"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("chunk").alias("of")), F.struct(F.lit(1).alias("side"), F.col("with").alias("of"))))).where("side = 0 or of <> task.chunk")
+        part = F.pmod(F.xxhash64("node"), "parts")
+        of_part = lambda p: F.xxhash64("home", "alone", "kind", p)
+        chunks = scratch.put(kinds.join(cut, ["home", "alone", "kind"]).select("node", "group", "alone", "kind", of_part(part).alias("chunk"), of_part(-1 - F.floor(part / tile)).alias("tile")))
+        meets = scratch.put(left.select("key", "node").join(chunks, "node").select("key", "chunk", "tile", "alone", "kind").distinct())
+        other = meets.select("key", F.col("chunk").alias("with"), F.col("tile").alias("tile_with"), F.col("alone").alias("alone_too"), F.col("kind").alias("kind_too"))
+        task = F.struct(F.least("tile", "tile_with").alias("low"), F.greatest("tile", "tile_with").alias("high"))
+        tasks = meets.join(other, "key").where((F.col("chunk") <= F.col("with")) & ~(F.col("alone") & F.col("alone_too") & (F.col("kind") == F.col("kind_too")))).select(task.alias("task"), "chunk", "with").distinct()
+        # a chunk goes once to a task, with those of the task that it is compared with
+        sides = tasks.select("task", F.inline(F.array(F.struct(F.col("chunk").alias("of"), F.col("with").alias("partner")), F.struct(F.col("with").alias("of"), F.lit(None).cast("bigint").alias("partner")))))
+        sides = sides.groupBy("task", "of").agg(F.collect_set("partner").alias("partners"))
         members = chunks.join(whole_sets(chunks.select("node")), "node").select(F.col("chunk").alias("of"), "node", "group", "s")
 
         def compare(t: pa.Table) -> pa.Table:
-            """Links between the chunks of a task, or within its only one."""
-            side, node, group = (np.asarray(t.column(c)) for c in ("side", "node", "group"))
-            sets = [x.values.to_numpy() for x in t.column("s")]
-            of = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
-            of[1] = of[1] if len(of[1]) else of[0]
-            links = similar_pairs([sets[i] for i in of[0]], [sets[i] for i in of[1]], similarity) & (group[of[0]][:, None] != group[of[1]][None, :])
-            a, b = spanning(links, node[of[0]], node[of[1]])
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            """Links between the chunks of a task that are partners of each other, or within one."""
+            of, node, group = (np.asarray(t.column(c)) for c in ("of", "node", "group"))
+            rows, found = {c: np.flatnonzero(of == c) for c in np.unique(of).tolist()}, []
+            partners = {c: t.column("partners")[int(i[0])].as_py() for c, i in rows.items()}
+            sets = {c: [t.column("s")[int(x)].values.to_numpy() for x in i] for c, i in rows.items()}
+            for c, i in rows.items():
+                for other in sorted(partners[c]):
+                    j = rows[other]
+                    links = similar_pairs(sets[c], sets[other], similarity) & (group[i][:, None] != group[j][None, :])
+                    found.append(spanning(links, node[i], node[j]))
+            return pa.table({"a": pa.array([x for a, _ in found for x in a], pa.int64()), "b": pa.array([x for _, b in found for x in b], pa.int64())})
 
         third = sides.join(members, "of").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
         return second.union(third)
