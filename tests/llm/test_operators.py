@@ -289,24 +289,6 @@ def test_large_groups_lose_no_link(spark, hot):
     assert got_components(spark, rows, hot=hot) == want
 
 
-@pytest.mark.parametrize("tile", [1, 3])
-def test_chunks_in_tiles_lose_no_link(spark, tile):
-    """Groups cut into chunks of a few nodes: each meets its partners once, whatever the tiles."""
-    rng = np.random.default_rng(11)
-    passage = [f"p{i}" for i in range(60)]
-    rows = []
-    for family in range(6):
-        centre = passage + [f"f{family}x{i}" for i in range(50 + 20 * family)]
-        for _ in range(30):
-            w = list(centre)
-            for j in rng.integers(0, len(w), rng.integers(0, 7)):
-                w[j] = f"e{rng.integers(0, 10**9)}"
-            rows.append((len(rows), " ".join(w)))
-    want = jaccard_components(rows)
-    assert 6 < len(set(want.values())) < len(rows)
-    assert got_components(spark, rows, hot=2, chunk_nodes=5, tile=tile) == want
-
-
 def edits(words, n, tag):
     """n words spaced out by at least k are changed: each takes 5 shingles."""
     return [f"{tag}{i}" if i % 7 == 3 and i < 7 * n else w for i, w in enumerate(words)]
