@@ -52,6 +52,24 @@ def test_best_match_of_text_ids_and_of_nothing(spark):
     assert similarity.best_before(table.where("1 = 0"), 3).count() == 0
 
 
+def shuffled_mb(spark):
+    """MB that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_disk_of_best_match_follows_the_sets(spark):
+    """Chunks that meet are read, not sent: the shuffle doesn't grow with the square of the chunks in a window."""
+    mb = []
+    for n in (400, 1600):
+        table = spark.range(n).select("id", F.lit(DAY).alias("at"), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.xxhash64("id", i % 39)).alias("t"))
+        before = shuffled_mb(spark)
+        assert similarity.best_before(table.withColumn("t", F.array_distinct("t")), 3, 0.5, 16).count() == n
+        mb.append(shuffled_mb(spark) - before)
+    assert mb[1] < 6 * mb[0]  # 4 times the sets
+
+
 def test_overlaps_in_both_ways():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.zipf(1.3, 60) % 400) for _ in range(90)]
