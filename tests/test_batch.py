@@ -124,6 +124,18 @@ def test_embeddings_only_of_what_is_pending_and_one_encoder_a_task(spark, tmp_pa
     assert one[0].v == pytest.approx(list(v[0])) and one[1].v == [0.0] * 4
 
 
+def test_byte_buckets_read_each_byte_once(spark):
+    """Without lambdas over the places of a text, which were run once for each bucket."""
+    texts = spark.createDataFrame([("Grüße €" * n,) for n in range(5)] + [(None,)], "t string")
+    out = texts.select("t", tx.byte_buckets(F.col("t")).alias("v"))
+    for r in out.collect():
+        raw = np.zeros(8)
+        for i, b in enumerate((r.t or "").encode()):
+            raw[i % 8] += b
+        assert r.v == pytest.approx(list(raw / (np.linalg.norm(raw) or 1)))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("chunk", [170, 400, 5000])
 def test_means_of_long_series_equal_those_of_whole_ones(spark, chunk):
     rng = np.random.default_rng(chunk)
