@@ -32,13 +32,24 @@ def strategy_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "
     """
     order = [k for k in ("symbol", "strategy_name", *keys) if k in keys]
     down = drawdowns(daily, 1 + F.col("cumulative_return"), sorted(set(order), key=order.index))
-    r = F.col("net_return")
+    return yearly(down.groupBy(*keys).agg(*(c.alias(n) for n, c in strategy_aggregates(benchmark_stat, costs=False).items()), *also))
+
+
+def strategy_aggregates(benchmark_stat: str = "last", end: str = "", costs: bool = True) -> dict[str, Column]:
+    """The metrics of daily rows with drawdowns, as aggregates by name; `end` is that of the columns of one rule, where rules stand side by side."""
+    of = lambda c: F.col(c + end)
+    r = of("net_return")
     held = F.max_by("cumulative_asset_return", "date") if benchmark_stat == "last" else F.max("cumulative_asset_return")
-    out = down.groupBy(*keys).agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("days"), F.max_by("cumulative_return", "date").alias("cumulative_return"), held.alias("buy_hold_cumulative_return"),
-        (F.stddev_samp(r) * F.sqrt(F.lit(DAYS))).alias("annualized_volatility"), sharpe(r).alias("sharpe_ratio"), sortino(r).alias("sortino_ratio"), F.min("drawdown").alias("max_drawdown"),
-        divide(F.count_if(r > 0), F.count_if(r != 0)).alias("win_rate"), divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r))).alias("profit_factor"), F.avg(F.abs("executed_position").cast("double")).alias("exposure"), *also,
-    )
+    out = {
+        "first_date": F.min("date"), "last_date": F.max("date"), "days": F.count("*"), "cumulative_return": F.max_by(of("cumulative_return"), "date"), "buy_hold_cumulative_return": held,
+        "annualized_volatility": F.stddev_samp(r) * F.sqrt(F.lit(DAYS)), "sharpe_ratio": sharpe(r), "sortino_ratio": sortino(r), "max_drawdown": F.min(of("drawdown")),
+        "win_rate": divide(F.count_if(r > 0), F.count_if(r != 0)), "profit_factor": divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r))), "exposure": F.avg(F.abs(of("executed_position")).cast("double")),
+    }
+    return out | (dict(zip(("trade_count", "total_fees", "total_slippage"), cost_totals(end))) if costs else {})
+
+
+def yearly(out: DataFrame) -> DataFrame:
+    """With what follows from the aggregates: annualized_return and calmar_ratio."""
     out = out.withColumn("annualized_return", F.pow(F.greatest(1 + F.col("cumulative_return"), F.lit(1e-6)), F.lit(DAYS) / F.col("days")) - 1)
     return out.withColumn("calmar_ratio", divide(F.col("annualized_return"), F.abs("max_drawdown")))
 
@@ -46,10 +57,11 @@ def strategy_metrics(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "
 TRADED = "position_change > 0"
 
 
-def cost_totals() -> list[Column]:
+def cost_totals(end: str = "") -> list[Column]:
     """Number of trades and their costs, as aggregates over daily rows; 0 without trades."""
-    total = lambda c: F.coalesce(F.sum(F.when(F.expr(TRADED), F.col(c))), F.lit(0.0))
-    return [F.count_if(F.expr(TRADED)).alias("trade_count"), total("fee_cost").alias("total_fees"), total("slippage_cost").alias("total_slippage")]
+    traded = F.col(f"position_change{end}") > 0
+    total = lambda c: F.coalesce(F.sum(F.when(traded, F.col(c + end))), F.lit(0.0))
+    return [F.count_if(traded).alias("trade_count"), total("fee_cost").alias("total_fees"), total("slippage_cost").alias("total_slippage")]
 
 
 def trade_costs(daily: DataFrame, keys: Sequence[str] = ("strategy_name", "symbol")) -> DataFrame:

@@ -50,3 +50,13 @@ def test_portfolio_by_inverse_volatility(spark):
     share = inverse[0] / sum(inverse)
     assert len(day) == 30 and day[0].date == DAY + dt.timedelta(10)
     assert day[1].level == pytest.approx(100 * (share * a[11] / a[10] + (1 - share) * b[11] / b[10]))
+
+
+def test_rules_of_a_ticker_share_its_rows(spark):
+    """Bars of many symbols are dealt out once, and rows are multiplied by the rules only as metrics."""
+    from barloom.operators import equity, strategies
+    from barloom.plans.equity import equities
+
+    rules = {n: c for n, c in strategies.rules().items() if n != "technical_news_filter"}
+    plan = equity.ticker_backtests(equities(spark, "/root/testdata/sf0.001"), rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate ") < plan.index("HashAggregate(") < plan.index("lag(")
