@@ -172,7 +172,7 @@ def frequent_shingles(docs: DataFrame, k: int, one_in: int = 8, least: int = 3,
 
 
 def prefixes(docs: DataFrame, k: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """(id, row, node, n, keys) for each row: its set of n shingles by hash, and the first of them in an order that puts `last` at the end.
+    """(id, row, node, n, fp, keys) for each row: its set of n shingles by hash, the set's fingerprint, and the first of them in an order that puts `last` at the end.
 
     Two sets of that similarity share at least similarity * n, so they share one of the first n - ceil(similarity * n) + 1
     of each, whatever the order, as long as it is the same for all.
@@ -185,20 +185,39 @@ def prefixes(docs: DataFrame, k: int, similarity: float, last: np.ndarray) -> Da
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                node, n, keys = [], [], []
+                node, n, keys, fps, waiting, size = [], [], [], [], [], 0
                 for t in texts(part, 2):
                     s = shingle_set(t, k)
                     node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     n.append(len(s))
+                    waiting.append(s.astype(">i8").tobytes())
+                    size += len(s)
+                    if size >= FLUSH:
+                        fps.append(majority(waiting, 1)[:, 0])
+                        waiting, size = [], 0
                     if len(late) and len(s):
                         common = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         s = np.concatenate([s[~common], s[common]])
                     keys.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+                fps.append(majority(waiting, 1)[:, 0])
                 ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], names=["id", "row", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.concatenate(fps).view(np.int64)), lists], names=["id", "row", "node", "n", "fp", "keys"])
 
-    return docs.select("id", "row", "_text_").mapInArrow(run, f"id {kept}, row bigint, node bigint, n int, keys array<bigint>")
+    return docs.select("id", "row", "_text_").mapInArrow(run, f"id {kept}, row bigint, node bigint, n int, fp bigint, keys array<bigint>")
+
+
+def fingerprint_pairs(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(a, b), a < b: pairs of `node` that connect all nodes (node, fp) whose fingerprints are within max_bits: the least node of
+    a fingerprint with its others, and with the least ones of the fingerprints close to it."""
+    scratch = Scratch(nodes.sparkSession)
+    least = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    left, right = (least.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b"))
+    close = close_pairs(least.select("fp"), max_bits).join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    out = scratch.put(same.union(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    scratch.drop(least)
+    return out
 
 
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -263,11 +282,14 @@ def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[li
     return names[group[moved]].tolist(), names[moved].tolist()
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512, max_bits: int = 2) -> DataFrame:
     """(id, component_id) where documents are linked exactly if their sets of k-word shingles have that Jaccard similarity.
 
-    Equal sets are one node. Similar nodes share a shingle of their prefixes (see there). All pairs of a group that shares one
-    are candidates if it has up to `hot` nodes; groups of the same nodes are paired once. In a larger group each node
+    Equal sets are one node. Nodes are first linked by SimHash: pairs of fingerprints within max_bits, found by pigeonhole
+    blocks and verified by whole sets. At that similarity fingerprints can be further apart, so a join completes the links,
+    of which it verifies those between nodes that fingerprints don't connect: similar nodes share a shingle of their
+    prefixes (see there). All pairs of a group that shares one are candidates if it has up to `hot` nodes; groups of the
+    same nodes are paired once. In a larger group each node
     is first compared with the least one and then with the one with most links. Groups that these links don't connect
     are cut into chunks of bounded size, and chunks that meet in a group are compared as a whole within a task, which
     returns no more links than it has nodes: so their pairs are compared but never are rows. Chunks of one and the
@@ -278,7 +300,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("_text_")).withColumn("row", F.xxhash64("id", "_text_"))
     rows = scratch.put(prefixes(source, k, similarity, frequent_shingles(source, k)))
-    nodes = scratch.put(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = scratch.put(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
@@ -307,14 +329,28 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
         return scratch.put(known.join(found.mapInArrow(run, "row bigint, s array<bigint>"), "row").select("node", "n", "s"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, close: DataFrame | None = None) -> DataFrame:
+        """The pairs that are similar. Of `close` and pairs: first the close ones, then those that they leave unconnected."""
         short = nodes.select("node", "n", F.col("keys").alias("s"))
-        likely = scratch.put(looked_up(pairs, short, likely_enough))
+        likely = scratch.put(looked_up(pairs if close is None else pairs.union(close), short, likely_enough))
         whole = whole_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-        out = scratch.put(looked_up(likely, whole, enough(F.size(F.array_intersect("s", "t")))))
+
+        def confirmed(some: DataFrame) -> DataFrame:
+            return scratch.put(looked_up(some, whole, enough(F.size(F.array_intersect("s", "t")))))
+
+        if close is None:
+            out = confirmed(likely)
+        else:
+            by_fingerprint = confirmed(likely.join(close, ["a", "b"], "left_semi"))
+            linked = scratch.put(connected_components(by_fingerprint))
+            of_a, of_b = (linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
+            apart = likely.join(of_b, "b", "left").join(of_a, "a", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+            out = by_fingerprint.union(confirmed(apart.select("a", "b")))
+            scratch.drop(linked)
         scratch.drop(likely, whole)
         return out
 
+    close = fingerprint_pairs(nodes.where("n > 0").select("node", "fp"), max_bits)
     own = F.struct("node", "n")
     each = nodes.select("node", "n", F.explode("keys").alias("key"))
     sizes = scratch.put(each.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("least")).where("size > 1"))
@@ -323,8 +359,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     before = F.transform("all", lambda c, i: F.transform(F.filter(F.slice("all", F.lit(1), i), lambda x: fits(x["n"], c["n"])), lambda x: F.struct(x["node"].alias("a"), c["node"].alias("b"))))
     crowd = met.where(F.col("size") > hot)
     star = crowd.where((F.col("least.node") != F.col("node")) & fits(F.col("least.n"), F.col("n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    first = verified(small.select(F.inline(F.flatten(before))).union(star).distinct())
-    scratch.drop(sizes)
+    first = verified(small.select(F.inline(F.flatten(before))).union(star).distinct(), close)
+    scratch.drop(sizes, close)
 
     def unconnected(links: DataFrame) -> DataFrame:
         """Rows of the larger groups that hold nodes which the links don't connect."""

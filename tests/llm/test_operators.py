@@ -289,6 +289,32 @@ def test_large_groups_lose_no_link(spark, hot):
     assert got_components(spark, rows, hot=hot) == want
 
 
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Near copies are linked by their fingerprints alone, if no prefix is there to join; a fingerprint that all share links nothing else."""
+    plain, rng, rows = simhash.prefixes, np.random.default_rng(9), []
+    for i in range(20):
+        w = [f"c{i}w{v}" for v in rng.integers(0, 10**6, 3000)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w[:-1], "changed"])), (3 * i + 2, " ".join(w[:1900]))]
+    rows += [(60, "some words"), (61, "Some words"), (62, "")]
+    want = jaccard_components(rows)
+    assert all(want[3 * i + 1] == 3 * i and want[3 * i + 2] == 3 * i + 2 for i in range(20))
+    for name, column in (("keys", F.array().cast("array<bigint>")), ("fp", F.lit(0).cast("bigint"))):
+        monkeypatch.setattr(simhash, "prefixes", lambda *a, n=name, c=column: plain(*a).withColumn(n, c))
+        assert got_components(spark, rows) == want
+
+
+def test_fingerprint_pairs_lose_no_link(spark):
+    """Nodes of equal and of close fingerprints, against all pairs."""
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in rng.integers(-(2**62), 2**62, 30)]
+    nodes = [(n, fps[n % 30] ^ sum(1 << int(b) for b in rng.integers(0, 60, n % 4))) for n in range(240)]
+    fp = dict(nodes)
+    want = brute_components(sorted(fp), lambda a, b: ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 2)
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame(nodes, "node long, fp long"))
+    got = {r.node: r.component for r in connected_components(pairs).collect()}
+    assert len(set(want.values())) < 240 and {n: got.get(n, n) for n in fp} == want
+
+
 def edits(words, n, tag):
     """n words spaced out by at least k are changed: each takes 5 shingles."""
     return [f"{tag}{i}" if i % 7 == 3 and i < 7 * n else w for i, w in enumerate(words)]
