@@ -299,8 +299,11 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("_text_")).withColumn("row", F.xxhash64("id", "_text_"))
-    rows = scratch.put(prefixes(source, k, similarity, frequent_shingles(source, k)))
-    nodes = scratch.put(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    found = scratch.put(prefixes(source, k, similarity, frequent_shingles(source, k)))
+    full = scratch.put(found.groupBy("node").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    rows = scratch.put(found.select("id", "node"))
+    scratch.drop(found)
+    nodes = scratch.put(full.drop("keys"))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
@@ -308,35 +311,32 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def enough(overlap: Column) -> Column:
         return overlap * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
 
-    def looked_up(pairs: DataFrame, sets: DataFrame, test: Column) -> DataFrame:
-        """The pairs that pass the test on n, s of a and m, t of b. b's set is looked up once, not once a pair."""
-        own = pairs.groupBy("b").agg(F.collect_set("a").alias("all")).join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t")), "b")
-        return own.select("b", "m", "t", F.explode("all").alias("a")).join(sets, (F.col("a") == F.col("node")) & test).select("a", "b")
-
-    # of the set whose prefix ends first, all shared ones up to there are in both prefixes; no more than its rest can follow
-    likely_enough = enough(F.size(F.array_intersect("s", "t")) + F.greatest(F.col("n") - F.size("s"), F.col("m") - F.size("t")))
+    def looked_up(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that can be similar by what s of a and t of b share, besides their rests. b's set is looked up once, not once a pair."""
+        own = pairs.groupBy("b").agg(F.collect_set("a").alias("all")).join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("s").alias("t")), "b")
+        likely = enough(F.size(F.array_intersect("s", "t")) + F.greatest("rest", "rest_b"))
+        return own.select("b", "m", "rest_b", "t", F.explode("all").alias("a")).join(sets, (F.col("a") == F.col("node")) & likely).select("a", "b")
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
-        """(node, n, s) for the nodes wanted, from the texts."""
+        """(node, n, rest, s) for the nodes wanted, from the texts; nothing follows a whole set."""
         known = nodes.join(wanted, "node", "left_semi").select("row", "node", "n")
-        found = source.select("row", "_text_").join(known.select("row"), "row", "left_semi").dropDuplicates(["row"])
+        found = source.select("row", "_text_").join(known, "row").dropDuplicates(["row"])  # a row has one node
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, k) for t in texts(part, 1)], pa.list_(pa.int64()))], names=["row", "s"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t, k) for t in texts(part, 2)], pa.list_(pa.int64()))], names=["node", "n", "s"])
 
-        return scratch.put(known.join(found.mapInArrow(run, "row bigint, s array<bigint>"), "row").select("node", "n", "s"))
+        return scratch.put(found.select("node", "n", "_text_").mapInArrow(run, "node bigint, n int, s array<bigint>").select("node", "n", F.lit(0).cast("long").alias("rest"), "s"))
 
     def verified(pairs: DataFrame, close: DataFrame | None = None) -> DataFrame:
         """The pairs that are similar. Of `close` and pairs: first the close ones, then those that they leave unconnected."""
-        short = nodes.select("node", "n", F.col("keys").alias("s"))
-        likely = scratch.put(looked_up(pairs if close is None else pairs.union(close), short, likely_enough))
+        likely = scratch.put(looked_up(pairs if close is None else pairs.union(close), short))
         whole = whole_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
 
         def confirmed(some: DataFrame) -> DataFrame:
-            return scratch.put(looked_up(some, whole, enough(F.size(F.array_intersect("s", "t")))))
+            return scratch.put(looked_up(some, whole))
 
         if close is None:
             out = confirmed(likely)
@@ -352,15 +352,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     close = fingerprint_pairs(nodes.where("n > 0").select("node", "fp"), max_bits)
     own = F.struct("node", "n")
-    each = nodes.select("node", "n", F.explode("keys").alias("key"))
+    each = full.select("node", "n", F.explode("keys").alias("key"))
     sizes = scratch.put(each.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("least")).where("size > 1"))
     met = scratch.put(each.join(sizes, "key"))
+    scratch.drop(full, sizes)
+    # a prefix's keys that no other node has count for no pair, so the rows of met are all that is kept of it; of the set whose
+    # prefix ends first, all shared ones up to there are in both prefixes, and no more than its rest can follow
+    short = scratch.put(met.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("key").alias("s")).select("node", "n", (F.ceil(similarity * F.col("n") - 1e-9) - 1).alias("rest"), "s"))
     small = met.where(F.col("size") <= hot).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all")).select("all").distinct()
     before = F.transform("all", lambda c, i: F.transform(F.filter(F.slice("all", F.lit(1), i), lambda x: fits(x["n"], c["n"])), lambda x: F.struct(x["node"].alias("a"), c["node"].alias("b"))))
     crowd = met.where(F.col("size") > hot)
     star = crowd.where((F.col("least.node") != F.col("node")) & fits(F.col("least.n"), F.col("n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     first = verified(small.select(F.inline(F.flatten(before))).union(star).distinct(), close)
-    scratch.drop(sizes, close)
+    scratch.drop(close)
 
     def unconnected(links: DataFrame) -> DataFrame:
         """Rows of the larger groups that hold nodes which the links don't connect."""
@@ -416,5 +420,5 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = component.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_node = scratch.put(component.join(least, "component").select("node", "component_id"))
-    scratch.drop(met, nodes)
-    return rows.select("id", "node").join(of_node, "node").select(F.col("id").alias(doc_id), "component_id")
+    scratch.drop(met, short, nodes)
+    return rows.join(of_node, "node").select(F.col("id").alias(doc_id), "component_id")

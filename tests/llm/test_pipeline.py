@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, and on odd inputs."""
 
 import collections
+import re
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -67,3 +68,18 @@ def test_clashing_columns(spark):
         if name != "pack":
             assert out.columns == docs.columns and out.where("score <> 'x' or lang_pred <> 'x' or item_id <> 'x'").count() == 0
         assert out.count() > 0
+
+
+def test_texts_are_dealt_out_once(spark):
+    """The last step of the near-duplicate stage sends each text through one exchange; repeated rows and those without an id keep their meaning."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (1, "other words"), (None, "alone"), (None, "alone"), (None, None), (7, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None).cast(t) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))})
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be sent to every task
+    try:
+        plan = out.select("*")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = [x for x in re.findall(r"^\(\d+\) Exchange *\nInput \[\d+\]: \[(.*)\]", plan, re.M) if "text#" in x or "valueSet#" in x]  # whole rows, or their partial aggregates
+    assert len(sent) == 1
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a b c d e f"), (1, "other words"), (None, "alone"), (None, None)], key=str)
