@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +75,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seconds that a statement takes at least for its shuffle files to be given back at once.
+SWEEP_S = 1.0
+
+
+def sweep(spark: SparkSession) -> None:
+    """Gives back the shuffle files of statements that have ended. Spark deletes them once the driver's garbage is collected, which
+    on its own happens the more rarely for the input the larger the steps are, so that a chain of steps piles up all it shuffles."""
+    gc.collect()
+    spark.sql("SELECT 1").collect()  # listeners hold the last statement until they hear of another
+    with contextlib.suppress(Py4JError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
-    """Tables in the shared checkpoint folder that cut lineage like checkpoints and can be deleted once they are used up."""
+    """Tables in the shared checkpoint folder that cut lineage like checkpoints and can be deleted once they are used up.
+
+    Those that take long also give back the shuffle files behind them: the table replaces these."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.serial = spark, 0
@@ -81,7 +101,10 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         self.serial += 1
         path = f"{self.folder}/{self.serial}"
+        began = time.monotonic()
         df.write.parquet(path)
+        if time.monotonic() - began >= SWEEP_S:
+            sweep(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path_ = path
         return out
@@ -92,6 +115,21 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def marks(hashes: DataFrame, slots: int = 1 << 18) -> DataFrame:
+    """(slot, bits): which of 64 * slots bits the long column `h` hits. At most `slots` rows, whatever the number of hashes."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    return hashes.groupBy(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(df: DataFrame, h: Column, marked_by: DataFrame, hit: bool = True, slots: int = 1 << 18) -> DataFrame:
+    """The rows whose hash hits a bit of marks(), or the others. No shuffle; rows that hit may do so by chance, the others are none of the marked."""
+    names = df.columns
+    held = df.withColumn("_h_", h).withColumn("_slot_", F.shiftrightunsigned("_h_", 6).bitwiseAND(F.lit(slots - 1)))
+    found = held.join(F.broadcast(marked_by.select(F.col("slot").alias("_slot_"), F.col("bits").alias("_bits_"))), "_slot_", "inner" if hit else "left")
+    bit = F.expr("coalesce(shiftrightunsigned(_bits_, cast(_h_ & 63 as int)), 0L) & 1")
+    return found.where(bit == (1 if hit else 0)).select(*(f"`{n}`" for n in names))
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) can reach.
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, texts
+from .common import Scratch, connected_components, marked, marks, texts
 
 SEED = 42
 #: The multipliers of the splitmix64 finaliser, which derives further hash words from the first.
@@ -282,7 +282,7 @@ def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[li
     return names[group[moved]].tolist(), names[moved].tolist()
 
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512, max_bits: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, hot: int = 32, chunk: int = 1 << 17, chunk_nodes: int = 512, max_bits: int = 2, wave: int = 1 << 24) -> DataFrame:
     """(id, component_id) where documents are linked exactly if their sets of k-word shingles have that Jaccard similarity.
 
     Equal sets are one node. Nodes are first linked by SimHash: pairs of fingerprints within max_bits, found by pigeonhole
@@ -293,7 +293,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     is first compared with the least one and then with the one with most links. Groups that these links don't connect
     are cut into chunks of bounded size, and chunks that meet in a group are compared as a whole within a task, which
     returns no more links than it has nodes: so their pairs are compared but never are rows. Chunks of one and the
-    same component aren't compared. Pairs are verified: sizes and prefixes bound the overlap from above, and what is
+    same component aren't compared. A chunk is sent once for each it meets, which grows with the square of a group; so the
+    tasks are run in waves that send at most `wave` shingles, or a quarter of the input's if these are more, and leave no
+    shuffle files to the next. Pairs are verified: sizes and prefixes bound the overlap from above, and what is
     left is compared by whole sets, as are chunks. Nothing depends on the number of documents. Wordless texts are one
     node; NULL ids count for no smallest id, and repeated rows keep a row each.
     """
@@ -319,8 +321,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
         """(node, n, rest, s) for the nodes wanted, from the texts; nothing follows a whole set."""
-        known = nodes.join(wanted, "node", "left_semi").select("row", "node", "n")
-        found = source.select("row", "_text_").join(known, "row").dropDuplicates(["row"])  # a row has one node
+        known = scratch.put(nodes.join(wanted, "node", "left_semi").select("row", "node", "n"))
+        hit = scratch.put(marks(known.select(F.col("row").alias("h"))))
+        likely = marked(source.select("row", "_text_"), F.col("row"), hit)  # else all texts would be dealt out
+        found = likely.join(known, "row").dropDuplicates(["row"])  # a row has one node
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -328,12 +332,15 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     part = b.slice(at, 256)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t, k) for t in texts(part, 2)], pa.list_(pa.int64()))], names=["node", "n", "s"])
 
-        return scratch.put(found.select("node", "n", "_text_").mapInArrow(run, "node bigint, n int, s array<bigint>").select("node", "n", F.lit(0).cast("long").alias("rest"), "s"))
+        out = scratch.put(found.select("node", "n", "_text_").mapInArrow(run, "node bigint, n int, s array<bigint>").select("node", "n", F.lit(0).cast("long").alias("rest"), "s"))
+        scratch.drop(known, hit)
+        return out
 
     def verified(pairs: DataFrame, close: DataFrame | None = None) -> DataFrame:
-        """The pairs that are similar. Of `close` and pairs: first the close ones, then those that they leave unconnected."""
-        likely = scratch.put(looked_up(pairs if close is None else pairs.union(close), short))
-        whole = whole_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        """The pairs that are similar. Of `close` and pairs: first the close ones, by whole sets alone, then those that they leave unconnected."""
+        likely = scratch.put(looked_up(pairs, short))
+        asked = likely if close is None else likely.union(close)
+        whole = whole_sets(asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct())
 
         def confirmed(some: DataFrame) -> DataFrame:
             return scratch.put(looked_up(some, whole))
@@ -341,7 +348,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         if close is None:
             out = confirmed(likely)
         else:
-            by_fingerprint = confirmed(likely.join(close, ["a", "b"], "left_semi"))
+            by_fingerprint = confirmed(close)
             linked = scratch.put(connected_components(by_fingerprint))
             of_a, of_b = (linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
             apart = likely.join(of_b, "b", "left").join(of_a, "a", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
@@ -396,12 +403,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         large = home.groupBy("home", "group").agg(F.count("*").alias("members")).where("members >= 64").select("home", "group", F.lit(True).alias("alone"))
         kinds = scratch.put(home.join(large, ["home", "group"], "left").select("home", "node", "n", "group", F.coalesce("alone", F.lit(False)).alias("alone"), F.when(F.col("alone"), F.col("group")).otherwise(0).alias("kind")))
         cut = kinds.groupBy("home", "alone", "kind").agg(F.greatest(F.ceil(F.sum("n") / chunk), F.ceil(F.count("*") / chunk_nodes)).cast("int").alias("parts"))
-        chunks = scratch.put(kinds.join(cut, ["home", "alone", "kind"]).select("node", "group", "alone", "kind", F.xxhash64("home", "alone", "kind", F.pmod(F.xxhash64("node"), "parts")).alias("chunk")))
+        chunks = scratch.put(kinds.join(cut, ["home", "alone", "kind"]).select("node", "n", "group", "alone", "kind", F.xxhash64("home", "alone", "kind", F.pmod(F.xxhash64("node"), "parts")).alias("chunk")))
         meets = scratch.put(left.select("key", "node").join(chunks, "node").select("key", "chunk", "alone", "kind").distinct())
         other = meets.select("key", F.col("chunk").alias("with"), F.col("alone").alias("alone_too"), F.col("kind").alias("kind_too"))
-        tasks = meets.join(other, "key").where((F.col("chunk") <= F.col("with")) & ~(F.col("alone") & F.col("alone_too") & (F.col("kind") == F.col("kind_too")))).select("chunk", "with").distinct()
-        sides = tasks.select(F.struct("chunk", "with").alias("task"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("chunk").alias("of")), F.struct(F.lit(1).alias("side"), F.col("with").alias("of"))))).where("side = 0 or of <> task.chunk")
-        members = chunks.join(whole_sets(chunks.select("node")), "node").select(F.col("chunk").alias("of"), "node", "group", "s")
+        tasks = scratch.put(meets.join(other, "key").where((F.col("chunk") <= F.col("with")) & ~(F.col("alone") & F.col("alone_too") & (F.col("kind") == F.col("kind_too")))).select("chunk", "with").distinct())
+        whole = whole_sets(chunks.select("node"))
+        members = scratch.put(chunks.join(whole, "node").select(F.col("chunk").alias("of"), "node", "group", "s"))
+        scratch.drop(left, home, kinds, meets, whole)
+
+        def sides(some: DataFrame) -> DataFrame:
+            return some.select(F.struct("chunk", "with").alias("task"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("chunk").alias("of")), F.struct(F.lit(1).alias("side"), F.col("with").alias("of"))))).where("side = 0 or of <> task.chunk")
+
+        sent = sides(tasks).join(chunks.groupBy(F.col("chunk").alias("of")).agg(F.sum("n").alias("n")), "of").agg(F.sum("n")).first()[0] or 0
+        waves = math.ceil(sent / max(wave, nodes.agg(F.sum("n")).first()[0] // 4)) if sent > wave else 1
 
         def compare(t: pa.Table) -> pa.Table:
             """Links between the chunks of a task, or within its only one."""
@@ -413,8 +427,12 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             a, b = spanning(links, node[of[0]], node[of[1]])
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        third = sides.join(members, "of").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
-        return second.union(third)
+        out = second
+        for i in range(waves):
+            some = tasks if waves == 1 else tasks.where(F.pmod(F.xxhash64("chunk", "with"), F.lit(waves)) == i)
+            out = out.union(scratch.put(sides(some).join(members, "of").groupBy("task").applyInArrow(compare, "a bigint, b bigint")))
+        scratch.drop(chunks, tasks, members)
+        return out
 
     linked = connected_components(within_crowds(first))
     component = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontam, langid, licenses, packing, quality_model, quality_rules, queries, secrets, simhash, suffix_tree
+from barloom.llm import chat, common, decontam, langid, licenses, packing, quality_model, quality_rules, queries, secrets, simhash, suffix_tree
 from barloom.llm.common import connected_components, in_fold
 
 SF = "/root/testdata/sf0.001"
@@ -347,6 +348,48 @@ def test_similarity_at_the_border_whatever_the_table(spark, others):
     assert all(got[1000 + i] == 1000 + i for i in range(others))
 
 
+def test_chunks_are_compared_in_waves(spark, monkeypatch):
+    """Families whose chunks meet each other are compared in several statements, with the links of one."""
+    put, plans = simhash.Scratch.put, []
+    monkeypatch.setattr(simhash.Scratch, "put", lambda self, df: plans.append(df._jdf.queryExecution().analyzed().toString()) or put(self, df))
+    rng, rows = np.random.default_rng(6), []
+    for family in range(3):
+        centre = [f"f{family}x{i}" for i in range(120)]
+        for _ in range(60):
+            w = list(centre)
+            for j in rng.integers(0, len(w), rng.integers(0, 9)):
+                w[j] = f"e{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    assert got_components(spark, rows, hot=4, chunk_nodes=8, wave=3000) == jaccard_components(rows)
+    assert sum("FlatMapGroupsInArrow" in p for p in plans) > 2
+
+
+def test_scratch_gives_shuffle_files_back(spark, monkeypatch):
+    monkeypatch.setattr(common, "SWEEP_S", 0)
+    held = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    common.sweep(spark)
+    time.sleep(1)
+    was, scratch = held.size(), common.Scratch(spark)
+    for i in range(8):
+        scratch.put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.monotonic() + 20
+    while held.size() > was and time.monotonic() < end:
+        time.sleep(0.2)
+    assert held.size() <= was
+
+
+def test_marks_lose_no_row(spark):
+    """Rows that hit are all the marked ones and few others; the rest are exactly those that don't hit. NULL and negative hashes are hashes too."""
+    df = spark.createDataFrame([(i, (i - 500) * 0x9E3779B97F4A7C1 % 2**62 - 2**61 if i else None) for i in range(1000)], "id long, x long").withColumn("slot", F.lit("s"))
+    h = F.xxhash64("x")
+    some = common.marks(df.where("id % 10 = 0").select(h.alias("h")))
+    hit, missed = ({r.id for r in common.marked(df, h, some, hit).collect()} for hit in (True, False))
+    assert hit | missed == set(range(1000)) and not hit & missed and set(range(0, 1000, 10)) <= hit and len(hit) < 110
+    assert common.marked(df, h, some).columns == df.columns
+    few = common.marks(df.where("id % 10 = 0").select(h.alias("h")), 4)  # more hashes than bits
+    assert few.count() <= 4 and {r.id for r in common.marked(df, h, few, True, 4).collect()} >= set(range(0, 1000, 10))
+
+
 def test_long_chain_of_components(spark):
     got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")).collect()
     assert {r.component for r in got if r.node <= 300} == {0} and {r.component for r in got if r.node > 300} == {1000} and len(got) == 303

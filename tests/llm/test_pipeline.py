@@ -1,7 +1,9 @@
 """The pipeline's stages against brute force, and on odd inputs."""
 
 import collections
+import random
 import re
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -83,3 +85,22 @@ def test_texts_are_dealt_out_once(spark):
     sent = [x for x in re.findall(r"^\(\d+\) Exchange *\nInput \[\d+\]: \[(.*)\]", plan, re.M) if "text#" in x or "valueSet#" in x]  # whole rows, or their partial aggregates
     assert len(sent) == 1
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a b c d e f"), (1, "other words"), (None, "alone"), (None, None)], key=str)
+
+
+def test_single_texts_are_not_dealt_out(spark):
+    """A text that has no near copy stays where it is read: the shuffle files of the last step are small beside the texts."""
+    rng, dirs = random.Random(3), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    written = lambda: {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    rows = [(i, " ".join(rng.randbytes(40).hex() for _ in range(100))) for i in range(400)]
+    rows += [(400, rows[7][1]), (7, rows[7][1]), (None, rows[8][1]), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None).cast(t) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, SF)
+        was = written()
+        got = out.collect()
+        new = sum(size for f, size in written().items() if f not in was)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([*rows[:400], (None, "alone")], key=str)
+    assert new < 0.2 * sum(len(t) for _, t in rows)
